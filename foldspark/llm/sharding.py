@@ -52,10 +52,10 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, n_shards: int) -> DataFrame
     share = F.sum("bytes").over(Window.partitionBy(F.lit(1))) / n_shards
     upto = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot"))
     slots = slots.withColumn("keeps", (F.col("shard") < n_shards) & (upto <= share))
-    loads = slots.where("keeps").groupBy("shard").agg(F.sum("bytes").alias("load"))
-    one = slots.where("not keeps").agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "bytes"))).alias("free"))
-    load = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("loads"))
-    start = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.coalesce(F.try_element_at("loads", s), F.lit(0).cast("long")))
+    kept = F.sum(F.when(F.col("keeps"), F.col("bytes"))).over(Window.partitionBy("shard"))
+    free = F.when(~F.col("keeps"), F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "bytes"))
+    one = slots.withColumn("load", kept).agg(F.sort_array(F.collect_list(free)).alias("free"), F.map_from_entries(F.collect_set(F.struct("shard", "load"))).alias("loads"))
+    start = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.coalesce(F.try_element_at("loads", s), F.lit(0)).cast("long"))
     least = lambda acc: F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")  # noqa: E731  from 1
     picked = F.aggregate(
         "free",
@@ -66,7 +66,7 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, n_shards: int) -> DataFrame
         ),
         lambda acc: acc["picks"],
     )
-    moved = one.crossJoin(load).select(F.explode(F.arrays_zip("free", picked.alias("picks"))).alias("m")).select(F.col("m.free.virtual_slot").alias("virtual_slot"), F.col("m.picks").alias("to"))
+    moved = one.select(F.explode(F.arrays_zip("free", picked.alias("picks"))).alias("m")).select(F.col("m.free.virtual_slot").alias("virtual_slot"), F.col("m.picks").alias("to"))
     return slots.join(F.broadcast(moved), "virtual_slot", "left").select("virtual_slot", F.coalesce("to", "shard").alias("shard"), (F.col("version") + 1).alias("version"))
 
 
