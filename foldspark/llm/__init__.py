@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "chat", "secrets", "packing", "topk")
+MODULES = ("sharding", "chat", "html", "secrets", "packing", "topk")
 
 
 def _gather(name: str) -> dict:
