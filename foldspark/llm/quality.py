@@ -17,20 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import cut, sized
-from foldspark.llm.words import text_bytes
+from foldspark.llm.words import batches_of_words, text_bytes
 
 #: Labelled rows that the model is fitted to at most, those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
 #: Bytes counted apart: upper case, digits, space, line feed, end marks, bang, bar, symbols, brackets, not ASCII.
 _CLASSES = [range(65, 91), range(48, 58), b" ", b"\n", b".,;:?", b"!", b"|", b"#$%&*@^~+", b"<>{}[]()\\/=_\"", range(128, 256)]
-N_FEATURES = len(_CLASSES) + 2
+N_FEATURES = len(_CLASSES) + 3
 _CLASS_OF = np.zeros(256, dtype=np.uint8)
 for _n, _bytes in enumerate(_CLASSES, 1):
     _CLASS_OF[list(_bytes)] = _n
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """A row for each text: shares of the byte classes, bytes a word, and the length's logarithm. Zeros for null and empty texts."""
+    """A row for each text: shares of the byte classes, of words that repeat the one before, bytes a word, and the length's logarithm. Zeros for null and empty texts."""
     offsets, data = text_bytes(column)
     n = np.diff(offsets)
     out = np.zeros((len(n), N_FEATURES))
@@ -39,6 +39,11 @@ def features(column: pa.Array) -> np.ndarray:
     for c in range(1, len(_CLASSES) + 1):
         np.cumsum(kind == c, out=upto[1:], dtype=np.int32)
         out[:, c - 1] = np.diff(upto[offsets]) / np.maximum(n, 1)
+    for a, b, words, first in batches_of_words(column):
+        same = np.zeros(len(words) + 1, dtype=np.int64)
+        np.cumsum(words[1:] == words[:-1], out=same[1 : len(words)])
+        ends = np.maximum(first[1:] - 1, first[:-1])
+        out[a:b, -3] = (same[ends] - same[first[:-1]]) / np.maximum(np.diff(first), 1)
     gaps = out[:, 2] + out[:, 3]
     out[:, -2] = np.where(n > 0, np.minimum(1 / np.maximum(gaps, 0.02), 50) / 50, 0)
     out[:, -1] = np.log1p(n) / 10
