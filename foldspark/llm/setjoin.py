@@ -19,14 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foldspark.llm.common import cut, sized
 from foldspark.llm.components import components
 from foldspark.llm.words import U, batches_of_words, mix, shingles
 
-#: Shingles that hold more than this share of all shingles of contested sets are ordered last: at most 100,000 of them.
-FREQUENT = 100_000
-
 
 class PartEnum:
     """Signatures for Jaccard similarity num/den."""
@@ -185,46 +183,27 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return near.join(left.drop("na"), "a").join(right.drop("nb"), "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long")
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """Sorted shingles that many of ``sets`` hold; their number is bounded by FREQUENT."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, n = np.unique(np.concatenate([np.frombuffer(e.as_buffer(), np.int64) for e in batch.column(0)]) if batch.num_rows else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["e", "c"])
-
-    often = sets.select("elements").mapInArrow(count, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")).where(F.col("c") > max(2, total / FREQUENT))
-    rows = often.orderBy("c", "e").select("e").toPandas()["e"].to_numpy(np.int64)
-    return rows.view(U)
-
-
 def contested_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of ``sets`` in different components that can be similar by their rarest shingles and their places."""
-    ordered = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+    """(a, b): all pairs of ``sets`` in different components that can be similar by their rarest shingles and their places.
+
+    Shingles are ordered by how many of ``sets`` hold them. Similar sets share one of their first n - ceil(n * num / den) + 1;
+    shingles that one set alone holds take places but need no row.
+    """
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_count = ordered.value
-        rank_of = np.argsort(by_count, kind="stable")
-        by_value = by_count[rank_of]
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for i, e in zip(batch.column("id").to_pylist(), batch.column("elements"), strict=True):
-                s = np.frombuffer(e.as_buffer(), U)
-                at = np.searchsorted(by_value, s)
-                at[at == len(by_value)] = 0
-                common = by_value[at] == s if len(by_value) else np.zeros(len(s), bool)
-                rank = np.where(common, rank_of[at] + 1 if len(by_value) else 0, 0)
-                size = len(s) - -(-len(s) * num // den) + 1
-                first = s[np.lexsort((s, rank))[:size]]
-                cols[0].append(first.view(np.int64))
-                cols[1].append(np.full(len(first), i))
-                cols[2].append(np.full(len(first), len(s)))
-                cols[3].append(np.arange(len(first)))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["e", "id", "n", "at"])
-
-    rows = cut(sets.mapInArrow(prefixes, "e long, id long, n long, at long").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "join-prefixes")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                e = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("elements")]
+                if e:
+                    n = part.column("n").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)), pa.array(np.repeat(part.column("id").to_numpy(), n)), pa.array(np.repeat(n, n))], names=["e", "id", "n"])
+
+    held = sets.select("id", "n", "elements").mapInArrow(unfold, "e long, id long, n long").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("e"))).where("c > 1")
+    own = Window.partitionBy("id")
+    placed = held.withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "e")) - 1)
+    first = placed.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("e", "id", "n", "at")
+    rows = cut(first.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "join-prefixes")
     x, y = (rows.select("e", *(F.col(c).alias(c + s) for c in ("id", "n", "at", "root"))) for s in "xy")
     can = 1 + F.least(F.col("nx") - 1 - F.col("atx"), F.col("ny") - 1 - F.col("aty"))
     similar = (
