@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Vectors of a chunk, queries of a block, dimensions accumulated at a time.
-CHUNK, QUERY_BLOCK, DIMS = 4096, 1024, 16
+#: Vectors of a chunk, chunks of a share, queries of a block, dimensions accumulated at a time.
+CHUNK, SHARE, QUERY_BLOCK, DIMS = 4096, 2, 1024, 16
 
 
 def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -105,8 +105,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     packed = candidates.mapInArrow(_pack(CHUNK), "dim int, ids binary, m binary")
     blocks = queries.repartition(max(1, math.ceil(queries.count() / QUERY_BLOCK))).mapInArrow(_pack(QUERY_BLOCK), "dim int, ids binary, m binary")
-    blocks = blocks.select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    pairs = packed.join(blocks, "dim")  # a set of queries against all rows, in blocks
+    # a set of queries against all rows, in blocks: chunks are dealt over shares, and each share gets every block
+    shares = max(1, math.ceil(candidates.count() / (SHARE * CHUNK)))
+    blocks = blocks.select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    pairs = packed.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).join(blocks, ["dim", "share"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}  # the k-th best score so far of a block's queries; the last few blocks
