@@ -61,19 +61,42 @@ def snapshot_rows(plan: ProjectionPlan, snapshot: DataFrame) -> DataFrame:
     )
 
 
-def flag(ops: DataFrame) -> DataFrame:
-    """Op rows with present (before the op), effective, failed, missed and incarnation."""
-    w = Window.partitionBy("key").orderBy(*ORDER)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+def flag(ops: DataFrame, split_every: int | None = None) -> DataFrame:
+    """Op rows with present (before the op), effective, failed, missed and incarnation.
+
+    ``split_every``: checkpoints of a range that is worked on by itself, so that the windows of a key with very many ops
+    are spread over tasks. What a range takes over from those before it, presence and births, are sums by key and range
+    that combine before they shuffle.
+    """
+    by = ["key"] if split_every is None else ["key", "_range"]
+    rows = ops if split_every is None else ops.withColumn("_range", F.floor(F.col("checkpoint") / split_every))
     fixes = F.when(F.col("op") == CREATE, True).when((F.col("op") == UPDATE) & F.col("accepts"), True).when(F.col("op") == DELETE, False)
-    flagged = ops.withColumn("fixes", fixes).withColumn("present", F.coalesce(F.last("fixes", ignorenulls=True).over(before), F.lit(False)))
+    rows = rows.withColumn("fixes", fixes)
+    start = F.lit(False)
+    if split_every is not None:
+        last = F.max_by("fixes", F.when(F.col("fixes").isNotNull(), _place()))
+        rows, start = _carry(rows, last, lambda before, w: F.coalesce(F.last(before, ignorenulls=True).over(w), F.lit(False))), F.col("_before")
+    w = Window.partitionBy(*by).orderBy(*ORDER)
     here, create = F.col("present"), F.col("op") == CREATE
+    flagged = rows.withColumn("present", F.coalesce(F.last("fixes", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), start)).drop("_before")
     applies = F.when(create, ~here | F.col("accepts")).when(F.col("op") == UPDATE, here | F.col("accepts")).otherwise(False)
     fails = (F.col("policy") == THROW) & F.when(create, here).otherwise(~here)
     misses = (F.col("op") != CREATE) & ~here
     flagged = flagged.withColumns({"effective": applies, "failed": fails, "missed": misses})
-    births = F.sum((F.col("effective") & ~here).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return flagged.withColumn("incarnation", births)
+    birth = (F.col("effective") & ~here).cast("int")
+    births = F.sum(birth).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if split_every is not None:
+        flagged = _carry(flagged, F.sum(birth), lambda before, w: F.coalesce(F.sum(before).over(w), F.lit(0)))
+        births = births + F.col("_before")
+    return flagged.withColumn("incarnation", births.cast("long")).drop("_before")
+
+
+def _carry(rows: DataFrame, figure: Column, over: Callable) -> DataFrame:
+    """``rows`` with _before: ``figure`` of each (key, range), carried over the key's earlier ranges."""
+    w = Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("key", "_range").agg(figure.alias("_figure"))
+    parts = parts.select(F.col("key").alias("_k"), F.col("_range").alias("_r"), over(F.col("_figure"), w).alias("_before"))
+    return rows.join(parts, F.col("key").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r"))).drop("_k", "_r")
 
 
 def _place() -> Column:
@@ -82,7 +105,6 @@ def _place() -> Column:
 
 def final_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
     """(key, fields) of the rows that live at the end."""
-    w = Window.partitionBy("key").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("key", "incarnation")
     rows = flagged.where("incarnation > 0")
     out = []
@@ -92,10 +114,13 @@ def final_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
         if how is None:
             out.append(last.alias(name))
             continue
-        # an assignment restarts the accumulator: only what follows the last one counts
-        rows = rows.withColumn(f"_e_{name}", F.count(F.when(sets, True)).over(w))
-        rows = rows.withColumn(f"_l_{name}", F.max(f"_e_{name}").over(whole))
-        counts = F.when(F.col("effective") & (F.col(f"_e_{name}") == F.col(f"_l_{name}")), F.col(f"add_{name}"))
+        # an assignment restarts the accumulator: only what is at or after the last one counts
+        if "_range" in rows.columns:
+            restarts = rows.groupBy(F.col("key").alias("_k"), F.col("incarnation").alias("_i")).agg(F.max(F.when(sets, _place())).alias(f"_l_{name}"))
+            rows = rows.join(restarts, F.col("key").eqNullSafe(F.col("_k")) & (F.col("incarnation") == F.col("_i"))).drop("_k", "_i")
+        else:
+            rows = rows.withColumn(f"_l_{name}", F.max(F.when(sets, _place())).over(whole))
+        counts = F.when(F.col("effective") & (F.col(f"_l_{name}").isNull() | (_place() >= F.col(f"_l_{name}"))), F.col(f"add_{name}"))
         if how == "count":
             out.append((F.coalesce(last, F.lit(0).cast(kind)) + F.count(counts)).cast(kind).alias(name))
         elif how == "sum":

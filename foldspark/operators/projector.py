@@ -48,16 +48,17 @@ class Projector:
     """Runs a plan over a log. Children see each event before their parent does, and a child's error stops the parent too.
 
     ``should_retry(error, attempt)`` is asked when a run raises; attempts count from 1. A retried run starts from the
-    same log and snapshot, so nothing is applied twice.
+    same log and snapshot, so nothing is applied twice. ``split_every`` spreads keys with very many ops (see ``fold.flag``).
     """
 
-    def __init__(self, plan: ProjectionPlan, children: list[Projector] | None = None, should_retry: Callable[[Exception, int], bool] | None = None, actions: dict[str, Callable[[DataFrame], None]] | None = None) -> None:
+    def __init__(self, plan: ProjectionPlan, children: list[Projector] | None = None, should_retry: Callable[[Exception, int], bool] | None = None, actions: dict[str, Callable[[DataFrame], None]] | None = None, split_every: int | None = None) -> None:
         if plan is None or any(c is None for c in children or []):
             raise ValueError("a plan and no missing children are needed")
         names = [plan.name, *(n for c in children or [] for n in c.names())]
         if len(set(names)) < len(names):
             raise ValueError("each projection needs a name of its own")
         self.plan, self.children, self.should_retry, self.actions = plan, children or [], should_retry or (lambda error, attempt: False), actions or {}
+        self.split_every = split_every
 
     def names(self) -> list[str]:
         return [self.plan.name, *(n for c in self.children for n in c.names())]
@@ -70,7 +71,7 @@ class Projector:
         ops = fold.op_rows(self.plan, log).where(F.col("op") != CUSTOM)
         if snapshot is not None:
             ops = ops.unionByName(fold.snapshot_rows(self.plan, snapshot), allowMissingColumns=True)
-        return fold.flag(ops)
+        return fold.flag(ops, self.split_every)
 
     def project(self, log: DataFrame, snapshots: dict[str, DataFrame] | None = None, on_error: str = "raise") -> ProjectionResult:
         """Fold ``log`` on top of ``snapshots`` (by projection name). ``on_error``: ``raise``, or ``cut`` to keep what came before the error."""

@@ -361,6 +361,12 @@ def stats_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("projector_id", "checkpoint", F.floor(F.col("eta_seconds") / 60).alias("eta_minutes"))
 
 
+@query(SQL["project_user_state"])
+def project_user_state_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with each user's history cut into ranges, as for users with very many events."""
+    return Projector(_deleting(_users()), split_every=2_000).project(logs.events_log(spark, sf_dir)).state.withColumnRenamed("key", "user_id")
+
+
 @query(SQL["project_user_state"])
 def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship as a stream: micro-batches are folded on snapshots in the shared folder."""

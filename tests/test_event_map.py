@@ -159,6 +159,8 @@ def test_random_ops_match_a_sequential_model(spark):
             want.pop(key, None)
     plan, rows = m.build(), log(spark, events)
     assert state(plan, rows) == {k: tuple(v) for k, v in want.items()}
+    split = Projector(plan, split_every=70).project(rows).state
+    assert {r.key: (r.category, r.price) for r in split.collect()} == {k: tuple(v) for k, v in want.items()}
     # in two parts, the second on the snapshot of the first
     first = Projector(plan).project(rows.where("checkpoint <= 300")).state
     assert state(plan, rows.where("checkpoint > 300"), snapshots={"p": first}) == {k: tuple(v) for k, v in want.items()}
