@@ -162,4 +162,15 @@ def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_chat_events": op3_chat_events}
-SQL: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|/?OUT\]|/?ROLE[ \]])', '\1\\\2\3', 'g')"
+SQL = {
+    "op3_chat_events": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (SELECT *, length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN length('<s>[INST]  [/INST]') WHEN 'assistant' THEN length('[OUT] </s>')
+      ELSE length('[ROLE ]') + 1 + length(' [/ROLE]') + length({_ESCAPED.format("replace(replace(role, '%', '%25'), ']', '%5D')")}) END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id"""
+}
