@@ -19,6 +19,7 @@ KINDS = {
     "ContractNegotiatedEvent": "Task",
     "BondIssuedEvent": "IsolationCertificate",
 }
+#: The names of events of validity periods.
 PERIODS = ["ValidityPeriodPlannedEvent", "ValidityPeriodResetEvent", "ValidityPeriodApprovedEvent", "ValidityPeriodClosedEvent", "ValidityPeriodCanceledEvent"]
 BODY = "Code string, Name string, Number string, DocumentNumber string, Kind string, Country string, InitialState string, State string, Area string, NextReviewAt timestamp_ntz, PeriodEnd timestamp_ntz, Sequence int, `From` timestamp_ntz, `To` timestamp_ntz, ClosedAt timestamp_ntz"
 
