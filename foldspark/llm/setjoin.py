@@ -161,12 +161,6 @@ def elements(docs: DataFrame, table: DataFrame, ids: DataFrame, k: int) -> DataF
     return texts.mapInArrow(rows, "id long, n long, elements binary").dropDuplicates(["id"])
 
 
-def near_sizes(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sizes let them be similar: only sizes are moved, not sets."""
-    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return near.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b")
-
-
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * intersection >= num * union."""
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
@@ -177,6 +171,8 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for r, (x, y) in enumerate(zip(batch.column("ea"), batch.column("eb"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                    continue
                 both = np.sort(np.concatenate((x, y)))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep[r] = den * shared >= num * (len(both) - shared)
@@ -230,7 +226,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     pairs = cut(star.select("a", "b").distinct(), "join-pairs")
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(elements(docs, table, ids(pairs), k), "join-elements")
-    links = cut(verify(near_sizes(pairs, sets, num, den), sets, num, den), "join-links")
+    links = cut(verify(pairs, sets, num, den), "join-links")
     labels = components(links)
     root = lambda c: labels.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
     held = star.join(root("a"), "a", "left").join(root("b"), "b", "left").select("bucket", "a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb"))
