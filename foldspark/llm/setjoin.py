@@ -13,6 +13,7 @@ lack a shared shingle there), and again every candidate is verified on whole set
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ class PartEnum:
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40) -> None:
         self.num, self.den = num, den
+        self._spare: dict[int, int] = {}
         ends = [0]
         while ends[-1] < largest:
             ends.append(max(ends[-1] + 1, (ends[-1] + 1) * den // num))
@@ -40,30 +42,52 @@ class PartEnum:
         """Elements that a similar pair can differ in, both in band instance - 1 or one in it and one in band ``instance``."""
         return int((self.ends[instance - 1] + self.ends[instance]) * (self.den - self.num) // (self.den + self.num))
 
-    def _enumerate(self, s: np.ndarray, instance: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """(signatures, which of them stand for two empty partitions)."""
-        groups = -(-(self.differences(instance) + 1) // 2)
+    def spare(self, instance: int) -> int:
+        """Groups beyond the k // 2 + 1 that are needed: as many as make signatures fewest, those of sets with more empty pairs included."""
+        needed, least = self.differences(instance) // 2 + 1, int(self.ends[max(0, instance - 2)]) + 1
+
+        def cost(spare: int) -> float:
+            groups = needed + spare
+            mean = groups * 3 * math.exp(-2 * least / (3 * groups))  # groups with a pair of empty partitions
+            term = within = math.exp(-mean)
+            for i in range(1, spare + 1):
+                term *= mean / i
+                within += term
+            return groups * (2 - within)
+
+        return min(range(12 + needed // 8), key=cost)
+
+    def _enumerate(self, s: np.ndarray, instance: int, seed: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, which of them stand for two empty partitions), a row for each way to choose two of three."""
+        groups = self.differences(instance) // 2 + 1 + spare
         h = mix(s + U(seed))
         parts = np.zeros(3 * groups, dtype=U)
         np.add.at(parts, (h % U(3 * groups)).astype(np.int64), mix(h + U(1)))
         parts = parts.reshape(groups, 3)
         label = mix(np.arange(groups, dtype=U) * U(64) + U(instance * 2**32 + seed))
         both = [(parts[:, a] * U(0x9FB21C651E98DF25) + mix(parts[:, b] + U(17 * a + b)), (parts[:, a] == 0) & (parts[:, b] == 0)) for a, b in ((0, 1), (0, 2), (1, 2))]
-        return np.concatenate([mix(x + label) for x, _ in both]), np.concatenate([e for _, e in both])
+        return np.array([mix(x + label) for x, _ in both]), np.array([e for _, e in both])
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Of a set of distinct hashes. What says only that partitions are empty is joined with each signature of a second, independent enumeration."""
+        """Of a set of distinct hashes.
+
+        A similar pair agrees on two partitions in at least 1 + spare groups. If one of the sets has empty pairs in no
+        more than ``spare`` groups, the two agree on a pair that is not empty, so empty pairs, which unlike sets share
+        too, give no signature. Sets with more of them also get a second, independent enumeration, shared by them alone.
+        """
         band = int(np.searchsorted(self.ends, len(s)))
         out = []
         for instance in (band, band + 1):
             if self.differences(instance) == 0:
                 out.append(mix(mix(s).sum(keepdims=True) + U(instance)))
                 continue
-            found, empty = self._enumerate(s, instance, 1)
+            if instance not in self._spare:
+                self._spare[instance] = self.spare(instance)
+            spare = self._spare[instance]
+            found, empty = self._enumerate(s, instance, 1, spare)
             out.append(found[~empty])
-            if empty.any():
-                second, _ = self._enumerate(s, instance, 2)
-                out.append(mix(found[empty][:, None] * U(3) + second).ravel())
+            if empty.any(axis=0).sum() > spare:
+                out.append(self._enumerate(s, instance, 2, 0)[0].ravel())
         return np.concatenate(out)
 
 
