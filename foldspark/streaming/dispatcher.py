@@ -144,3 +144,10 @@ def has_subscription(spark: SparkSession, id: str) -> bool:
     if len(found) > 1:
         raise ValueError(f"{len(found)} subscriptions are called {id}")
     return bool(found)
+
+
+def catch_up(query: StreamingQuery) -> None:
+    """Wait until all that is in the log now has been handled; raises what ended the query."""
+    query.processAllAvailable()
+    if query.exception() is not None:
+        raise query.exception()
