@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import unicodedata
 
 import numpy as np
@@ -25,7 +26,7 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _SHORT = {"s": 1, "t": 1, "m": 1, "d": 1, "re": 2, "ve": 2, "ll": 2}
 _R, _INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Distinct pre-tokens remembered before the memory starts anew, and code points worked on at once.
-REMEMBERED, POINTS = 2_000_000, 1 << 21
+REMEMBERED, POINTS = 500_000, 1 << 20
 
 
 @functools.lru_cache(1)
@@ -68,8 +69,9 @@ class BatchEncoder:
     """``path``: the tokenizers file; ``ranks``: the same vocabulary for tiktoken."""
 
     def __init__(self, path: str, ranks: str) -> None:
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.word = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -150,13 +152,19 @@ class BatchEncoder:
                 if any(s in t for s in self.special):
                     out += self._encode(held) if held else []
                     held, points = [], 0
-                    out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
+                    out.append(np.array(_library(self.path).encode(t, add_special_tokens=False).ids, dtype=np.uint32))
                 else:
                     held.append(t)
                     points += len(t)
         return out
 
 
+@functools.lru_cache(1)
+def _library(path: str) -> Tokenizer:
+    """Only texts with a special token's string need it; it takes far more memory than the ranks."""
+    return Tokenizer.from_file(path)
+
+
 @functools.lru_cache(1)
 def encoder(path: str, ranks: str) -> BatchEncoder:
     """One for each Python worker."""

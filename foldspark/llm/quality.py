@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import cut, sized
-from foldspark.llm.words import batches_of_words, text_bytes
+from foldspark.llm.words import batches_of_words, slices, text_bytes
 
 #: Labelled rows that the model is fitted to at most, those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
@@ -34,11 +34,12 @@ def features(column: pa.Array) -> np.ndarray:
     offsets, data = text_bytes(column)
     n = np.diff(offsets)
     out = np.zeros((len(n), N_FEATURES))
-    kind = _CLASS_OF[data]
-    upto = np.zeros(len(data) + 1, dtype=np.int32)
-    for c in range(1, len(_CLASSES) + 1):
-        np.cumsum(kind == c, out=upto[1:], dtype=np.int32)
-        out[:, c - 1] = np.diff(upto[offsets]) / np.maximum(n, 1)
+    for a, b in slices(offsets):  # a few MB of text at a time
+        kind, own = _CLASS_OF[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+        upto = np.zeros(len(kind) + 1, dtype=np.int32)
+        for c in range(1, len(_CLASSES) + 1):
+            np.cumsum(kind == c, out=upto[1:], dtype=np.int32)
+            out[a:b, c - 1] = np.diff(upto[own]) / np.maximum(n[a:b], 1)
     for a, b, words, first in batches_of_words(column):
         same = np.zeros(len(words) + 1, dtype=np.int64)
         np.cumsum(words[1:] == words[:-1], out=same[1 : len(words)])
