@@ -3,11 +3,12 @@
 Each document is cut into overlapping passages that cover the whole text. A passage is a query; the index holds the
 test items, its posting lists cut into blocks with the largest impact of each. Terms that a passage shares with no item
 cost nothing, and where the block maxima of a passage's terms cannot reach the threshold, no posting of the block is
-touched. Passages overlap so that an item is whole in one of them. All items at or over the threshold are retrieved; then the words of question and answer are looked for in the passage's
-neighbourhood, and either part alone is enough if it is long.
+touched. Passages overlap so that an item is whole in one of them. All items at or over the threshold are retrieved; then question and answer are aligned with the passage's neighbourhood,
+and either part alone is enough if it is long. An item's threshold is never over what a text that passes the alignment
+scores at least, so retrieval loses none.
 
 An item's question is its text up to its last sentence, its answer the last sentence. An item of one sentence is all
-question. The threshold is a share of the item's own score, so it means the same for every item.
+question. The threshold is a share of the item's own score, or less where a part alone or fewer words are enough.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from foldspark.llm.words import U, batches_of_words, mix
 K1, B = 1.2, 0.75
 #: Postings of a block; items of one shared index (a larger benchmark is handled in several passes).
 BLOCK, ITEMS = 16, 2048
-#: Retrieved: share of the item's own score. Verified: share of a part's word 5-grams found, and 5-grams that a part needs to count alone.
+#: Retrieved: share of the item's own score. Verified: share of a part's words left by the fewest edits that make it a run of the text's words, or of its 5-grams found, and distinct 5-grams that a part needs to count alone.
 RETRIEVE, OVERLAP, ALONE = 0.6, 0.8, 8
 GRAM = 5
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -45,6 +46,32 @@ def _grams(words: np.ndarray, k: int = GRAM) -> np.ndarray:
     return g
 
 
+def _spare(n: int) -> int:
+    """Edits that ``n`` words may have."""
+    return n - math.ceil(OVERLAP * n - 1e-9)
+
+
+def _lost(words: np.ndarray, own: dict[int, float]) -> float:
+    """No less than the score that ``words`` can lose with their spare edits: each costs a word, the dearest ones first."""
+    left, lost = _spare(len(words)), 0.0
+    for x, n in sorted(((own[t] / n, n) for t, n in Counter(words.tolist()).items()), reverse=True):
+        lost, left = lost + x * min(n, left), left - min(n, left)
+    return lost
+
+
+def aligned(part: np.ndarray, words: np.ndarray) -> float:
+    """Share of ``part``'s words left by the fewest edits (a word changed, left out or put in) that make it a run of ``words``."""
+    if not len(part):
+        return 0.0
+    at = np.arange(len(words) + 1)
+    edits = np.zeros(len(words) + 1, dtype=np.int64)
+    for i, w in enumerate(part):
+        new = edits + 1
+        np.minimum(new[1:], edits[:-1] + (words != w), out=new[1:])
+        edits = np.minimum.accumulate(new - at) + at
+    return (len(part) - int(edits.min())) / len(part)
+
+
 def question_answer(text: str) -> tuple[str, str]:
     parts = _SENTENCE.split(text.strip())
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
@@ -59,18 +86,23 @@ class Index:
         keep = [n for n, (q, a) in enumerate(words) if len(q) + len(a)]
         keep.sort(key=lambda n: sum(map(len, words[n])))  # a block's items are about as long, so its maxima are tight
         self.ids = [parts[n][0] for n in keep]
-        self.parts = [[np.unique(_grams(p)) for p in words[n]] for n in keep]
+        self.parts = [words[n] for n in keep]
+        self.long = [[len(np.unique(_grams(p))) >= ALONE for p in words[n]] for n in keep]
         every = [np.concatenate(words[n]) for n in keep]
         self.length = np.array([len(w) for w in every], dtype=np.int64)
         mean = self.length.mean() if len(every) else 1.0
         counts = [Counter(w.tolist()) for w in every]
         df = Counter(t for c in counts for t in c)
-        rows = []
+        rows, least = [], []
         for d, c in enumerate(counts):
             norm = K1 * (1 - B + B * len(every[d]) / mean)
             own = {t: math.log(1 + (len(every) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
             # impacts as shares of what the item needs: a score of 1 retrieves, whatever the item
             rows += [(t, d, x / (RETRIEVE * sum(own.values()))) for t, x in own.items()]
+            enough = [every[d], *(p for p, long in zip(self.parts[d], self.long[d], strict=True) if long)]
+            least.append(min(1.0, *((sum(own[t] for t in set(p.tolist())) - _lost(p, own)) / (RETRIEVE * sum(own.values())) for p in enough)))
+        #: What an item needs of a score: 1, or less where a verified text can have less.
+        self.least = np.array(least)
         self.terms = np.sort(np.array(list(df), dtype=U))
         term = np.searchsorted(self.terms, np.array([r[0] for r in rows], dtype=U))
         item = np.array([r[1] for r in rows], dtype=np.int64)
@@ -82,6 +114,7 @@ class Index:
         self.posting_key = (term * self.n_blocks + item // BLOCK)[order]
         self.posting_item, self.posting_impact = (item % BLOCK)[order], impact[order]
         longest = int(self.length.max(initial=2))
+        longest += _spare(longest)  # words may be put in
         self.step, self.window = max(1, longest // 2), longest + max(1, longest // 2)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.terms >> U(44)).astype(np.int64)] = True
@@ -108,11 +141,14 @@ class Index:
         starts = np.repeat(n[:-1] - before[:-1] * self.step, each) + np.arange(before[-1]) * self.step
         return starts, key // max(1, len(self.terms)), key % max(1, len(self.terms))
 
-    def retrieve(self, words: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first word of a passage, item): every item whose score reaches 1 for a passage.
+    def retrieve(self, words: np.ndarray, n: np.ndarray, least: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """(first word of a passage, item): every item whose score reaches ``least``, or 1, for a passage.
 
-        A passage goes into a block of items only if the block's maxima of its terms add up to 1.
+        A passage goes into a block of items only if the block's maxima of its terms add up to the least of the block.
         """
+        need = np.full(self.n_blocks * BLOCK, np.inf)
+        need[: len(self.length)] = 1 if least is None else least
+        needs = need.reshape(-1, BLOCK).min(axis=1) if len(need) else need
         starts, passage, term = self._shared(words, n)
         if not len(passage):
             return
@@ -121,7 +157,7 @@ class Index:
         for a in range(0, len(begin), 4096):
             b = min(a + 4096, len(begin))
             bound = np.add.reduceat(self.most[term[begin[a] : end[b - 1]]], begin[a:b] - begin[a], axis=0)
-            row, block = np.nonzero(bound >= 1)
+            row, block = np.nonzero(bound >= needs)
             if not len(row):
                 continue
             row += a
@@ -133,32 +169,40 @@ class Index:
             size = high - low
             post = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
             score = np.bincount(np.repeat(pair, size) * BLOCK + self.posting_item[post], self.posting_impact[post], len(row) * BLOCK)
-            for x in np.flatnonzero(score >= 1 - 1e-9):
+            for x in np.flatnonzero(score >= need.reshape(-1, BLOCK)[block].ravel() - 1e-9):
                 yield int(starts[passage[begin[row[x // BLOCK]]]]), int(block[x // BLOCK] * BLOCK + x % BLOCK)
 
     def overlap(self, item: int, words: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and of the answer's 5-grams among ``words``' runs."""
+        """Of question and answer, the share of the words that align with a run of ``words``, or of the 5-grams that are there if that is more: a long insertion costs these least."""
         out = []
         for part in self.parts[item]:
-            k = GRAM if len(part) > 1 else min(GRAM, int(self.length[item]))
-            out.append(float(np.isin(part, _grams(words, k)).mean()) if len(part) else 0.0)
+            grams = float(np.isin(np.unique(_grams(part)), _grams(words, min(GRAM, len(part)))).mean()) if len(part) else 0.0
+            out.append(grams if grams == 1 else max(grams, aligned(part, words)))
         return out[0], out[1]
 
+    def _can_hold(self, item: int, words: np.ndarray) -> bool:
+        """Whether ``words`` hold as many of the words of the item, or of a long part, as alignment asks: far cheaper than to align."""
+        there = [np.isin(p, words) for p in self.parts[item]]
+        return any(len(x) - int(x.sum()) <= _spare(len(x)) for x in (np.concatenate(there), *(x for x, long in zip(there, self.long[item], strict=True) if long)))
+
     def leaks(self, words: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float, float]]:
         """(text, item, question overlap, answer overlap) of the items that consecutive texts hold; text i's words are words[n[i]:n[i + 1]]."""
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for start, item in self.retrieve(words, n):
+        for start, item in self.retrieve(words, n, self.least):
             text = int(np.searchsorted(n, start, "right")) - 1
-            q, a = self.overlap(item, words[max(n[text], start - self.step) : min(n[text + 1], start + self.window + self.step)])
-            if self._verified(item, q, a) and (q, a) > best.get((text, item), (-1.0, -1.0)):
+            near = words[max(n[text], start - self.step) : min(n[text + 1], start + self.window + self.step)]
+            if not self._can_hold(item, near):
+                continue
+            q, a = self.overlap(item, near)
+            if (q, a) > best.get((text, item), (-1.0, -1.0)) and (self._verified(item, q, a) or aligned(np.concatenate(self.parts[item]), near) >= OVERLAP):
                 best[text, item] = (q, a)
         return [(*k, *best[k]) for k in sorted(best)]
 
     def _verified(self, item: int, q: float, a: float) -> bool:
-        question, answer = (len(p) for p in self.parts[item])
-        if q >= OVERLAP and (a >= OVERLAP or not answer or question >= ALONE):
+        question, answer = self.long[item]
+        if q >= OVERLAP and (a >= OVERLAP or not len(self.parts[item][1]) or question):
             return True
-        return a >= OVERLAP and answer >= ALONE
+        return a >= OVERLAP and answer
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[Index]:

@@ -55,6 +55,37 @@ def test_retrieval_matches_plain_bm25():
             assert got == want
 
 
+def found_in(items, texts):
+    index = d.Index(items)
+    return [{index.ids[i] for _, _, h, n in batches_of_words(pa.array([t])) for _, i, _, _ in index.leaks(h, n)} for t in texts]
+
+
+def test_one_changed_word_or_one_long_part_is_still_a_leak():
+    rng = random.Random(9)
+    items = [(i, sentence(rng, rng.randrange(12, 28)) + (" " + sentence(rng, rng.randrange(12, 28)) if i % 2 else "")) for i in range(30)]
+    texts, want = [], []
+    for i, text in items:
+        words = text.split()
+        texts += [" ".join([*words[:k], "changed" + "." * words[k].endswith("."), *words[k + 1 :]]) for k in range(len(words))]
+        texts += [p for p in d.question_answer(text) if p]
+        want += [{i}] * (len(words) + 1 + i % 2)
+    texts = [sentence(rng, 150) + "\n" + t + "\n" + sentence(rng, 150) for t in texts]
+    assert found_in(items, texts) == want
+
+
+def test_an_item_with_a_long_insertion_is_still_a_leak():
+    rng = random.Random(10)
+    text = sentence(rng, 40)
+    words = text.split()
+    assert found_in([(1, text)], [" ".join([*words[:20], sentence(rng, 12), *words[20:]])]) == [{1}]
+
+
+def test_fewest_edits():
+    w = lambda t: np.array([ord(c) for c in t], dtype=np.uint64)
+    for part, text, share in (("abcde", "xxabcdexx", 1.0), ("abcde", "xabxdex", 0.8), ("abcde", "xabcxde", 0.8), ("abcde", "abde", 0.8), ("abcde", "edcba", 0.2), ("a", "", 0.0), ("", "abc", 0.0)):
+        assert d.aligned(w(part), w(text)) == share
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(docs, items).count() == 0 and d.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
