@@ -80,6 +80,12 @@ def test_an_item_with_a_long_insertion_is_still_a_leak():
     assert found_in([(1, text)], [" ".join([*words[:20], sentence(rng, 12), *words[20:]])]) == [{1}]
 
 
+def test_items_with_short_parts_are_found():
+    items = [(1, "What is the capital of France? Paris."), (2, "Who sings? The tall man from the harbour choir."), (3, "Really? Yes."), (4, "One two three.")]
+    texts = ["It says: what is the capital of France? Paris. And more words follow here.", "Who sings? The tall man from the harbour choir.", "well really? yes. indeed", "so one two three. four", "the capital of Spain is what it is"]
+    assert found_in(items, texts) == [{1}, {2}, {3}, {4}, set()]
+
+
 def test_fewest_edits():
     w = lambda t: np.array([ord(c) for c in t], dtype=np.uint64)
     for part, text, share in (("abcde", "xxabcdexx", 1.0), ("abcde", "xabxdex", 0.8), ("abcde", "xabcxde", 0.8), ("abcde", "abde", 0.8), ("abcde", "edcba", 0.2), ("a", "", 0.0), ("", "abc", 0.0)):
