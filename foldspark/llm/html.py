@@ -3,7 +3,7 @@
 The standard library's parser streams events into lines, one for each block of text, each with the number of tags met
 on the way. A line's ratio of text to tags is smoothed with its neighbours'; lines over the threshold (the spread of
 the smoothed ratios) are the content cluster. The content region is the element that holds that cluster: an article
-or main element where the page has one, else the deepest element with most of the cluster's text. All lines of the
+or main element where the page has one (all articles of the chosen main element, or all if there is none), else the deepest element with most of the cluster's text. All lines of the
 region are kept, short ones too, save those inside elements that are no article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments).
 """
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Elements that a region can be, or that can hide what they hold. Others (p, b, h1, ...) need no closing tag.
-_CONTAINERS = frozenset("html body main article section div nav aside header footer form table tbody thead tr td th ul ol dl li blockquote figure dialog menu fieldset template noscript select button iframe svg object video audio canvas math head".split())
+_CONTAINERS = frozenset("html body main article section div nav aside header footer form table tbody thead tr td th ul ol dl li blockquote figure dialog menu fieldset template noscript select button iframe svg object video audio canvas math head datalist".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 hr pre dt dd figcaption address caption title option legend details summary center".split())
-_NEVER = frozenset("nav aside footer form script style noscript template head title select button iframe svg object video audio canvas math dialog menu fieldset textarea option".split())
+_NEVER = frozenset("nav aside footer form script style noscript template head title select button iframe svg object video audio canvas math dialog menu fieldset textarea option datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of class, id and role that mark an element as no article text.
 _MARKS = frozenset(
@@ -33,6 +33,8 @@ _MARKS = frozenset(
 )
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Start tags that can stand in a head; any other one ends it.
+_HEAD = frozenset("head title base link meta style script noscript template".split())
 SIGMA, SHARE = 1.0, 0.6
 
 
@@ -63,6 +65,10 @@ class _Lines(HTMLParser):
             return
         if tag in _BLOCKS:
             self._break()
+        if tag not in _HEAD and any(t == "head" for t, _, _ in self.stack):
+            self._close("head")
+        if self.skip == "option" and tag in _CONTAINERS:
+            self.skip = None
         if tag in _CONTAINERS:
             self.stack.append((tag, len(self.names), self._hides(tag, attrs) or bool(self.stack) and self.stack[-1][2]))
             self.names.append(tag)
@@ -87,8 +93,13 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             self._break()
         if tag in _CONTAINERS and any(t == tag for t, _, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
+            if self.skip == "option":  # its end tag may be left out: it ends with what holds it
+                self.skip = None
+            self._close(tag)
+
+    def _close(self, tag: str) -> None:
+        while self.stack.pop()[0] != tag:
+            pass
 
     def handle_data(self, data: str) -> None:
         if self.skip is None:
@@ -128,14 +139,24 @@ def extract(html: str | None) -> str:
     for (text, _, path, _), good in zip(lines, content, strict=True):
         for n in path:
             held[n] = held.get(n, 0) + (len(text) if good else 0)
+    # the main element with most content, or the articles outside of any; of those inside it the outermost are kept where they hold most of its content
+    paths = {n: path[: path.index(n)] for _, _, path, _ in lines for n in path}
     named = [n for n in held if page.names[n] in ("article", "main")]
-    articles = [n for n in named if page.names[n] == "article"] or named
-    if articles:
-        region = max(articles, key=lambda n: (held[n], -n))
+    tops = [n for n in named if not any(page.names[m] == "article" for m in paths[n])]
+    mains = [n for n in tops if page.names[n] == "main"]
+    main = max(mains, key=lambda n: (held[n], -n), default=None)
+    articles = [n for n in tops if page.names[n] == "article"]
+    inside = [n for n in articles if main is not None and main in paths[n]]
+    outside = [n for n in articles if not any(m in paths[n] for m in mains)]
+    if main is not None and held[main] >= sum(held[n] for n in outside):
+        regions = set(inside if inside and sum(held[n] for n in inside) >= SHARE * held[main] else [main])
+    elif articles:
+        regions = set(outside or articles)
     else:
         total = sum(len(t) for (t, _, _, _), good in zip(lines, content, strict=True) if good)
         region = max((n for n in held if held[n] >= SHARE * total and page.names[n] not in ("tr", "tbody", "li")), default=None)
-    return "\n".join(t for t, _, path, _ in lines if region is None or region in path)
+        regions = set() if region is None else {region}
+    return "\n".join(t for t, _, path, _ in lines if not regions or not regions.isdisjoint(path))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

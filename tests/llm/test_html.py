@@ -24,6 +24,24 @@ def test_odd_pages():
     assert extract("<div>a</span></p></div>b") in ("a\nb", "a", "b")
 
 
+def test_end_tags_may_be_left_out():
+    assert extract("<body><form><select><option>A<option>B</select></form><p>" + "The text of the page. " * 5) == ("The text of the page. " * 5).strip()
+    assert extract("<body><div><datalist><option>A<option>B</datalist></div><p>The text of the page.") == "The text of the page."
+    assert extract("<article><p>One.<datalist><option>A<option>B</datalist><p>Two.</article>") == "One.\nTwo."
+    assert extract("<html><head><title>T</title><body><p>The text of the page.") == "The text of the page."
+    assert extract("<head><title>T</title><p>The text of the page.") == "The text of the page."
+    assert extract("<head><title>T</title><script>x</script></head><p>The text of the page.") == "The text of the page."
+
+
+def test_all_articles_and_a_main_beside_small_ones():
+    long = ("A long paragraph of text, and more of it. " * 6).strip()
+    two = f"<body><main><article><p>{long}</article><article><p>Second. {long}</article></main>"
+    assert extract(two) == f"{long}\nSecond. {long}"
+    assert extract(two.replace("main>", "div>")) == f"{long}\nSecond. {long}"
+    assert extract(f"<body><main><p>{long}<p>{long}<article><p>A card.</article></main>") == f"{long}\n{long}\nA card."
+    assert extract(f"<body><main><p>{long}<p>{long}</main><article><p>A card.</article>") == f"{long}\n{long}"
+
+
 def test_smoothing_and_threshold():
     assert smooth([5.0] * 4) == [5.0] * 4
     good = content_lines([1.0, 1.0, 90.0, 5.0, 80.0, 1.0, 1.0, 1.0])
