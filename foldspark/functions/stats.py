@@ -6,8 +6,17 @@ value), events (body). All figures are DataFrames.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import FloatType, StructField, StructType
+
+from foldspark.operators.fold import same_key
 
 #: Of the two samplers: seconds that must pass for a new sample (strictly more), and samples kept.
 SHORT, LONG = (5, 12), (60, 9)
@@ -25,50 +34,112 @@ def last_properties(properties: DataFrame) -> DataFrame:
     return properties.groupBy("projector_id", "name").agg(last.alias("l")).select("projector_id", "name", F.col("l.value").alias("value"), F.col("l.ts").alias("ts"))
 
 
-def _samples(records: Column, threshold: int, keep: int) -> Column:
+class _Sampler:
     """The newest ``keep`` speeds (checkpoints a second, 32 bits): the first record is the base, each record over ``threshold`` seconds after the last base is a sample and the new base."""
-    seconds = lambda x, acc: F.unix_micros(x["ts"]) / 1e6 - F.unix_micros(acc["ts"]) / 1e6
-    start = F.struct(records[0]["ts"].alias("ts"), records[0]["checkpoint"].alias("checkpoint"), F.array().cast("array<float>").alias("s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        sample = ((x["checkpoint"] - acc["checkpoint"]) / seconds(x, acc)).cast("float")
-        more = F.concat(acc["s"], F.array(sample))
-        kept = F.when(F.size(more) > keep, F.slice(more, 2, keep)).otherwise(more)
-        return F.when(seconds(x, acc) > threshold, F.struct(x["ts"].alias("ts"), x["checkpoint"].alias("checkpoint"), kept.alias("s"))).otherwise(acc)
 
-    return F.aggregate(records, start, step, lambda acc: acc["s"])
-
-
-def _weighted(samples: Column) -> Column:
-    """The mean weighted 1 for the oldest to n for the newest; NULL without samples."""
-    weights = F.size(samples) * (F.size(samples) + 1) / 2
-    total = F.aggregate(F.transform(samples, lambda x, i: (x * (i + 1)).cast("float")), F.lit(0).cast("float"), lambda acc, x: (acc + x).cast("float"))
-    return F.when(F.size(samples) > 0, (total / weights).cast("float"))
+    def __init__(self, threshold: int, keep: int) -> None:
+        self.threshold, self.samples, self.base = threshold, deque(maxlen=keep), None
+
+    def add(self, at: np.ndarray, checkpoint: np.ndarray) -> None:
+        """Records in order of calls, ``at`` in seconds. A sample is looked for in steps that double, so a dense log costs little a record."""
+        n = 0
+        if self.base is None and len(at):
+            self.base, n = (at[0], checkpoint[0]), 1
+        while n < len(at):
+            width = 64
+            while not (later := np.flatnonzero(at[n : n + width] - self.base[0] > self.threshold)).size and n + width < len(at):
+                n, width = n + width, 2 * width
+            if not later.size:
+                return
+            n += int(later[0])
+            self.samples.append(np.float32((checkpoint[n] - self.base[1]) / (at[n] - self.base[0])))
+            self.base, n = (at[n], checkpoint[n]), n + 1
+
+
+def _weighted(samples: list[np.float32]) -> np.float32 | None:
+    """The mean weighted 1 for the oldest to n for the newest; None without samples."""
+    if not samples:
+        return None
+    total = np.float32(0)
+    for n, x in enumerate(samples, 1):
+        total = np.float32(total + np.float32(x * np.float32(n)))
+    return np.float32(float(total) / (len(samples) * (len(samples) + 1) / 2))
 
 
 def speeds(progress: DataFrame) -> DataFrame:
-    """(projector_id, speed): checkpoints a second, from samples of the last minute and the last ten; the minute's speed is the newest of the latter."""
-    records = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("ts").cast("timestamp").alias("ts"), "checkpoint"))), lambda x: F.struct(x["ts"].alias("ts"), x["checkpoint"].alias("checkpoint")))
-    each = progress.groupBy("projector_id").agg(records.alias("r"))
-    minute = each.select("projector_id", "r", _weighted(_samples(F.col("r"), *SHORT)).alias("m"), _samples(F.col("r"), *LONG).alias("s"))
-    return minute.select("projector_id", _weighted(F.when(F.col("m").isNull(), F.col("s")).otherwise(F.concat("s", F.array("m")))).alias("speed"))
+    """(projector_id, speed): checkpoints a second, from samples of the last minute and the last ten; the minute's speed is the newest of the latter.
+
+    A projector's log streams through one task in order of ``seq``; what is held is one base and at most 12 and 9
+    samples, however long it is. Records without a time or checkpoint are no samples; a projector without samples has a
+    null speed.
+    """
+    kind = progress.schema["projector_id"].dataType
+    schema = StructType([StructField("projector_id", kind), StructField("speed", FloatType())])
+    out = to_arrow_schema(schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, current, samplers = False, None, ()
+
+        def close() -> pa.RecordBatch:
+            minute, ten = ([*s.samples] for s in samplers)
+            newest = _weighted(minute)
+            speed = _weighted(ten if newest is None else [*ten, newest])
+            return pa.RecordBatch.from_pylist([{"projector_id": current, "speed": None if speed is None else float(speed)}], schema=out)
+
+        for b in batches:
+            ids = b.column("projector_id").to_pylist()
+            at, checkpoint = b.column("at").to_numpy() / 1e6, b.column("checkpoint").to_numpy().astype(np.float64)
+            starts = [n for n in range(len(ids)) if n == 0 or not same_key(ids[n], ids[n - 1])]
+            for n, end in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if not began or not same_key(ids[n], current):
+                    if began:
+                        yield close()
+                    began, current, samplers = True, ids[n], (_Sampler(*SHORT), _Sampler(*LONG))
+                there = checkpoint[n:end] == checkpoint[n:end]
+                for s in samplers:
+                    s.add(at[n:end][there], checkpoint[n:end][there])
+        if began:
+            yield close()
+
+    rows = progress.select("projector_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("ts").isNotNull(), F.col("checkpoint").cast("double")).alias("checkpoint"))
+    rows = rows.select("projector_id", "seq", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("checkpoint", F.lit(float("nan"))).alias("checkpoint"))
+    return rows.repartition("projector_id").sortWithinPartitions("projector_id", "seq").mapInArrow(fold, schema)
+
+
+#: The longest time there is, in seconds: 64 bits of 100 nanoseconds.
+LONGEST = 922_337_203_685
 
 
 def time_to_reach(progress: DataFrame, target: Column | int) -> DataFrame:
-    """(projector_id, checkpoint, speed, eta_seconds): 0 if the target is reached, NULL without a speed or at speed 0; whole seconds, cut towards zero."""
+    """(projector_id, checkpoint, speed, eta_seconds): whole seconds, cut towards zero, of 32-bit division.
+
+    0 if the target is reached; NULL without a speed, at speed 0 and beyond the longest time; negative at a negative speed.
+    """
     goal = target if isinstance(target, Column) else F.lit(target)
     both = last_checkpoints(progress).join(speeds(progress), "projector_id")
-    rest = F.try_divide((goal - F.col("checkpoint")).cast("double"), F.col("speed").cast("double"))
-    fits = F.abs(rest) <= F.lit(9223372036854775807).cast("double")
-    eta = F.when(goal <= F.col("checkpoint"), F.lit(0).cast("long")).when(fits, rest.try_cast("long"))
+    rest = F.try_divide((goal - F.col("checkpoint")).cast("float").cast("double"), F.col("speed").cast("double")).cast("float")
+    eta = F.when(goal <= F.col("checkpoint"), F.lit(0).cast("long")).when(F.abs(rest) <= LONGEST, rest.try_cast("long"))
     return both.select("projector_id", "checkpoint", "speed", eta.alias("eta_seconds"))
 
 
 def eta_parts(seconds: Column) -> Column:
-    """struct(days, hours, minutes, seconds, milliseconds)."""
-    return F.struct(
-        F.floor(seconds / 86400).alias("days"), F.floor(seconds / 3600 % 24).alias("hours"), F.floor(seconds / 60 % 60).alias("minutes"), (seconds % 60).alias("seconds"), F.lit(0).alias("milliseconds")
-    )
+    """struct(days, hours, minutes, seconds, milliseconds), each cut towards zero and of the sign of the whole."""
+    whole = seconds.cast("long")
+    cut = lambda n: (whole - whole % n) / n  # noqa: E731  % keeps the sign
+    part = lambda x: x.cast("long")
+    return F.struct(part(cut(86400)).alias("days"), part(cut(3600) % 24).alias("hours"), part(cut(60) % 60).alias("minutes"), (whole % 60).alias("seconds"), F.lit(0).alias("milliseconds"))
+
+
+def restored(projector_id: str, properties: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(progress, properties, events) of a projector restored from stored properties (name, value, ts) and events (body, ts).
+
+    Restored rows come before every later call (seq below 0, in order of time); progress starts anew, with no checkpoint.
+    """
+    spark = properties.sparkSession
+    own = F.lit(projector_id).alias("projector_id")
+    before = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1 << 62)).alias("seq")
+    progress = spark.createDataFrame([], "projector_id string, seq long, ts timestamp, checkpoint long")
+    return progress, properties.select(own, F.lit(-1).cast("long").alias("seq"), "ts", "name", "value"), events.select(own, before, "ts", "body")
 
 
 def summary(progress: DataFrame, base_url: str = "") -> DataFrame:

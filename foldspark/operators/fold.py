@@ -148,34 +148,41 @@ def history_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
     return rows.select("key", *ORDER, "op", (~F.col("removes")).alias("exists"), (F.col("effective") | F.col("removes")).alias("_took"), *fields).where("_took").drop("_took")
 
 
+def same_key(a: object, b: object) -> bool:
+    """Equality as Spark groups: nulls are equal, and so are NaNs."""
+    return a == b or (isinstance(a, float) and isinstance(b, float) and a != a and b != b)
+
+
 def fold_rows(ops: DataFrame, step: Callable[[dict | None, dict], dict | None], schema: str, key: str = "key") -> DataFrame:
     """The general fold, for handlers that read the row they change: ``step(row or None, op) -> row or None`` in order.
 
-    Each key's ops go through Python in one task, a batch at a time; only the row is held. Use it where no rule can say the same.
+    Each key's ops go through Python in one task, an Arrow batch at a time; only the row is held. Values are as Spark
+    has them: nulls are None, 64-bit integers are exact. Ops with a null key are those of one key. Use it where no rule
+    can say the same.
     """
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    names = [c for c in ops.columns]
+    names, out = list(ops.columns), to_arrow_schema(StructType.fromDDL(schema))
 
     def rows(batches):
-        began, current, state = False, None, None
+        began, current, state, done = False, None, None, []
         for batch in batches:
-            done = []
-            for values in batch.itertuples(index=False, name=None):
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 op = dict(zip(names, values, strict=True))
-                if not began or op[key] != current:
+                if not began or not same_key(op[key], current):
                     if began and state is not None:
                         done.append({key: current, **state})
                     began, current, state = True, op[key], None
                 state = step(state, op)
-            yield pd.DataFrame(done, columns=columns)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=out)
+                done = []
         if began and state is not None:
-            yield pd.DataFrame([{key: current, **state}], columns=columns)
-
-    from pyspark.sql.types import StructType
+            yield pa.RecordBatch.from_pylist([{key: current, **state}], schema=out)
 
-    columns = [f.name for f in StructType.fromDDL(schema).fields]
-    return ops.repartition(key).sortWithinPartitions(key, *ORDER).mapInPandas(rows, schema)
+    return ops.repartition(key).sortWithinPartitions(key, *ORDER).mapInArrow(rows, schema)
 
 
-__all__ = ["ACCEPT", "CUSTOM", "IGNORE", "ORDER", "final_rows", "flag", "fold_rows", "history_rows", "op_rows", "snapshot_rows"]
+__all__ = ["ACCEPT", "CUSTOM", "IGNORE", "ORDER", "final_rows", "flag", "fold_rows", "history_rows", "op_rows", "same_key", "snapshot_rows"]

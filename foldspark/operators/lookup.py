@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -24,10 +25,15 @@ def as_of(left: DataFrame, right: DataFrame, key: str, order: list[str], values:
 def nest(rows: DataFrame, parent: str, sequence: str, order: list[str], fields: list[str], name: str) -> DataFrame:
     """(parent, ``name``): the last values of each (parent, sequence), as an array of structs in order of first touch.
 
-    Fields that an op leaves NULL keep what an earlier one set.
+    Fields that an op leaves NULL keep what an earlier one set. A field of type struct<v> is assigned its v, NULL too.
     """
     place = F.struct(*order)
-    each = rows.groupBy(parent, sequence).agg(F.min(place).alias("_first"), *(F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias(f) for f in fields))
+
+    def last(f: str) -> Column:
+        found, kind = F.max_by(f, F.when(F.col(f).isNotNull(), place)), rows.schema[f].dataType
+        return found["v"] if isinstance(kind, StructType) and kind.names == ["v"] else found
+
+    each = rows.groupBy(parent, sequence).agg(F.min(place).alias("_first"), *(last(f).alias(f) for f in fields))
     items = F.sort_array(F.collect_list(F.struct("_first", sequence, *fields)))
     return each.groupBy(parent).agg(F.transform(items, lambda x: F.struct(x[sequence].alias(sequence), *(x[f].alias(f) for f in fields))).alias(name))
 

@@ -13,12 +13,20 @@ from foldspark.plans.event_map import CONDITION, CUSTOM, DELETE, THROW, Projecti
 
 
 class ProjectionError(Exception):
-    """The first op that failed: where, for which key, in which projection."""
+    """An error of a projection: where, for which key, in which projection. A field that is set keeps its value."""
+
+    _ONCE = ("projector", "child", "transaction_id", "event", "batch")
 
     def __init__(self, message: str, projector: str = "", child: str | None = None, transaction_id: str | None = None, event: dict | None = None, batch: tuple[int, int] | None = None) -> None:
         super().__init__(message)
         self.projector, self.child, self.transaction_id, self.event, self.batch = projector, child, transaction_id, event, batch
 
+    def __setattr__(self, name: str, value: object) -> None:
+        old = getattr(self, name, None)
+        if name in self._ONCE and old not in (None, "") and old != value:
+            raise RuntimeError(f"{name} is already set to a different value")
+        super().__setattr__(name, value)
+
 
 @dataclass
 class ProjectionResult:
@@ -48,17 +56,26 @@ class Projector:
     """Runs a plan over a log. Children see each event before their parent does, and a child's error stops the parent too.
 
     ``should_retry(error, attempt)`` is asked when a run raises; attempts count from 1. A retried run starts from the
-    same log and snapshot, so nothing is applied twice. ``split_every`` spreads keys with very many ops (see ``fold.flag``).
+    same log and snapshot, so nothing is applied twice. ``actions`` takes the events of the custom actions that it
+    names, as DataFrames, and must name all that the map does unless it is left out (``ProjectionResult.custom`` has
+    them then); ``around`` decorates them: it is given the action's name and events and a function that runs the action.
+    ``split_every`` spreads keys with very many ops (see ``fold.flag``).
     """
 
-    def __init__(self, plan: ProjectionPlan, children: list[Projector] | None = None, should_retry: Callable[[Exception, int], bool] | None = None, actions: dict[str, Callable[[DataFrame], None]] | None = None, split_every: int | None = None) -> None:
+    def __init__(
+        self, plan: ProjectionPlan, children: list[Projector] | None = None, should_retry: Callable[[Exception, int], bool] | None = None, actions: dict[str, Callable[[DataFrame], None]] | None = None,
+        split_every: int | None = None, around: Callable[[str, DataFrame, Callable[[], None]], None] | None = None,
+    ) -> None:
         if plan is None or any(c is None for c in children or []):
             raise ValueError("a plan and no missing children are needed")
         names = [plan.name, *(n for c in children or [] for n in c.names())]
         if len(set(names)) < len(names):
             raise ValueError("each projection needs a name of its own")
         self.plan, self.children, self.should_retry, self.actions = plan, children or [], should_retry or (lambda error, attempt: False), actions or {}
-        self.split_every = split_every
+        self.split_every, self.around = split_every, around or (lambda name, events, run: run())
+        named = {r.action for r in plan.rules if r.op == CUSTOM}
+        if actions is not None and named - set(actions):
+            raise ValueError(f"no action is given for: {', '.join(sorted(named - set(actions)))}")
 
     def names(self) -> list[str]:
         return [self.plan.name, *(n for c in self.children for n in c.names())]
@@ -82,9 +99,21 @@ class Projector:
             try:
                 return self._project(log, snapshots or {}, on_error)
             except Exception as error:
-                if not self.should_retry(error, attempt):
+                if self.should_retry(error, attempt):
+                    attempt += 1
+                    continue
+                if isinstance(error, ProjectionError):
                     raise
-                attempt += 1
+                bounds = self._bounds(log)
+                raise ProjectionError("Projector failed to project an event.", self.plan.name, getattr(error, "_child", None), batch=bounds) from error
+
+    def _bounds(self, log: DataFrame) -> tuple[int, int] | None:
+        """The checkpoints between which an error lies that names no event: those of the log, if it can be read."""
+        try:
+            low, high = log.agg(F.min("checkpoint"), F.max("checkpoint")).first()
+        except Exception:  # the log itself is what failed
+            return None
+        return None if low is None else (low, high)
 
     def _project(self, log: DataFrame, snapshots: dict[str, DataFrame], on_error: str) -> ProjectionResult:
         order = self._in_order()
@@ -115,7 +144,13 @@ class Projector:
         before = F.lit(True) if cut is None else place < F.struct(F.lit(cut[0]).cast("long").alias("checkpoint"), F.lit(cut[1]).alias("event_seq"), F.lit(cut[2]).alias("p"), F.lit(cut[3]).alias("rule_seq"))
         custom = fold.op_rows(self.plan, log).where((F.col("op") == CUSTOM) & before)
         for name, action in self.actions.items():
-            action(custom.where(F.col("action") == name))
+            events = custom.where(F.col("action") == name)
+            try:
+                self.around(name, events, lambda action=action, events=events: action(events))
+            except Exception as error:
+                if order[-1] is not self:
+                    error._child = self.plan.name
+                raise
         state = None
         if rows is not None:
             rows = rows.where(before)

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.fold import ORDER, final_rows, flag, op_rows
-from foldspark.operators.lookup import contiguous_chain, nest
+from foldspark.operators.fold import ORDER, final_rows, flag, fold_rows, history_rows, op_rows
+from foldspark.operators.lookup import as_of
 from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
 
 #: The kind that each creating event gives; the first is an update of a document that must exist.
@@ -51,21 +51,51 @@ def documents() -> ProjectionPlan:
     return m.build()
 
 
-def with_periods(log: DataFrame) -> DataFrame:
-    """(key, incarnation, periods) of documents: periods in order of first touch; the last value of each field, and status."""
-    ops = flag(op_rows(documents(), log)).where(F.col("effective") & F.col("event_type").isin(PERIODS))
-    b, kind = F.col("body"), F.col("event_type")
-    status = F.when(kind == PERIODS[2], "Valid").when(kind == PERIODS[3], "Closed").when(kind == PERIODS[4], "Canceled").when(kind == PERIODS[1], "Planned").otherwise(None)
-    touched = ops.select(
-        F.struct("key", "incarnation").alias("parent"), b.Sequence.alias("sequence"), *ORDER, F.when(kind == PERIODS[0], b["From"]).alias("from"),
-        F.when(kind == PERIODS[0], b["To"]).when(kind == PERIODS[3], b["ClosedAt"]).alias("to"), status.alias("status"),
-    )
-    return nest(touched, "parent", "sequence", ORDER, ["from", "to", "status"], "periods").select("parent.*", "periods")
+def _touch(row: dict | None, op: dict) -> dict:
+    """A document's periods after one of their events, in order of first touch, and the validity that the last approval gave it."""
+    row = row or {"periods": [], "starts": None, "ends": None}
+    period = next((p for p in row["periods"] if p["sequence"] == op["sequence"]), None)
+    if period is None:
+        period = {"sequence": op["sequence"], "from": None, "to": None, "status": None}
+        row["periods"].append(period)
+    planned, reset, approved, closed, _ = PERIODS
+    kind = op["event_type"]
+    if kind in (planned, reset):
+        period["from"], period["to"] = (op["from"], op["to"]) if kind == planned else (None, None)
+    elif kind == closed:
+        period["to"], period["status"] = op["closed_at"], "Closed"
+    elif kind == approved:
+        period["status"] = "Valid"
+        chain = adjoining(row["periods"])
+        row["starts"], row["ends"] = chain[0]["from"], chain[-1]["to"]
+    else:
+        period["status"] = "Canceled"
+    return row
+
+
+def adjoining(periods: list[dict]) -> list[dict]:
+    """The valid periods that lead up to the last valid one, by sequence: before each the valid one that ends where it starts, two NULLs being equal.
+
+    Of several such the first touched one counts, and none counts twice.
+    """
+    valid = [p for p in periods if p["status"] == "Valid"]
+    chain = valid[-1:]
+    while before := next((p for p in valid if p["to"] == chain[-1]["from"] and not any(p is c for c in chain)), None):
+        chain.append(before)
+    return sorted(chain, key=lambda p: p["sequence"])
+
 
+def with_periods(log: DataFrame) -> DataFrame:
+    """(key, incarnation, periods, starts, ends) of documents, each incarnation by itself.
 
-def validity(periods: Column) -> Column:
-    """struct(first, last) of the chain of valid periods."""
-    return contiguous_chain(F.transform(periods, lambda p: F.struct(p["sequence"].alias("sequence"), p["from"].alias("from"), p["to"].alias("to"), (p["status"] == "Valid").alias("valid"))))
+    A handler of an approval reads all periods of its document, so this is the general fold, over one document's rows at a time.
+    """
+    ops = flag(op_rows(documents(), log)).where(F.col("effective") & F.col("event_type").isin(PERIODS))
+    b = F.col("body")
+    touched = ops.select(F.struct("key", "incarnation").alias("parent"), *ORDER, "event_type", b.Sequence.alias("sequence"), b["From"].alias("from"), b["To"].alias("to"), b.ClosedAt.alias("closed_at"))
+    period = "struct<sequence: int, `from`: timestamp_ntz, `to`: timestamp_ntz, status: string>"
+    schema = f"parent struct<key: string, incarnation: bigint>, periods array<{period}>, starts timestamp_ntz, ends timestamp_ntz"
+    return fold_rows(touched, _touch, schema, "parent").select("parent.*", "periods", "starts", "ends")
 
 
 def realtime_state(state: Column, next_review_at: Column, expiration: Column, start: Column, end: Column, now: Column | datetime) -> Column:
@@ -75,20 +105,50 @@ def realtime_state(state: Column, next_review_at: Column, expiration: Column, st
     return F.when(~state.eqNullSafe(F.lit("Active")), state).otherwise(derived)
 
 
+def required(rows: DataFrame, lookup: DataFrame, key: str, name: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``name``: the one ``lookup`` row (key, name) of each ``key``. A key that is missing there, or there more than once, is an error.
+
+    The check is one row for each distinct key of ``rows``, or of ``wanted``, where keys must be there without having rows.
+    """
+    keys = (rows if wanted is None else wanted).select(F.col(key).alias("_key")).distinct()
+    found = lookup.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias(name))
+    bad = keys.join(found, F.col("_key").eqNullSafe(F.col("_k")), "left").where("_n is null or _n > 1").select("_key", F.coalesce("_n", F.lit(0)).alias("n")).orderBy("_key").take(1)
+    if bad:
+        raise LookupError(f"{key} {bad[0][0]} is {'missing from' if not bad[0].n else 'more than once in'} the lookup")
+    return rows.drop(name).join(found, F.col(key).eqNullSafe(F.col("_k"))).drop("_k", "_n")
+
+
 def counts_per_state(docs: DataFrame, lookup: DataFrame, kind: str | None = None, country: str | None = None) -> DataFrame:
-    """(country, country_name, area, kind, state, count) over (country, area, kind, state) rows; a country that is not registered is an error row's NULL name."""
+    """(country, country_name, area, kind, state, count) over (country, area, kind, state) rows.
+
+    The name comes from ``lookup`` as it is now, where each country must be exactly once (see ``required``).
+    """
     rows = docs
     for column, value in (("kind", kind), ("country", country)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     counted = rows.groupBy("country", "area", "kind", "state").agg(F.count(F.lit(1)).alias("count"))
-    return counted.join(lookup.select(F.col("key").alias("country"), F.col("name").alias("country_name")), "country", "left").select("country", "country_name", "area", "kind", "state", "count")
-
-
-def register(log: DataFrame, now: datetime) -> DataFrame:
-    """Documents at the end of ``log`` with the state that holds at ``now``."""
-    rows = final_rows(documents(), flag(op_rows(documents(), log)))
-    latest = with_periods(log).groupBy("key").agg(F.max_by("periods", "incarnation").alias("periods"))
-    chain = rows.join(latest, "key", "left").withColumn("validity", validity(F.col("periods")))
-    state = realtime_state(F.col("state"), F.col("next_review_at"), F.col("lifetime_end"), F.col("validity.first.from"), F.col("validity.last.to"), F.lit(now).cast("timestamp_ntz"))
-    return chain.withColumn("state", state)
+    wanted = None if country is None else docs.sparkSession.range(1).select(F.lit(country).alias("country"))
+    return required(counted, lookup, "country", "country_name", wanted).select("country", "country_name", "area", "kind", "state", "count")
+
+
+def country_names(log: DataFrame) -> DataFrame:
+    """(key, incarnation, country_name) of documents whose country was set: the country's name when that happened, empty if it was not registered then."""
+    names = history_rows(countries(), flag(op_rows(countries(), log)))
+    ops = flag(op_rows(documents(), log)).where(F.col("effective") & F.col("set_country").isNotNull())
+    set_at = ops.groupBy("key", "incarnation").agg(F.max(F.struct("checkpoint", "event_seq", "rule_seq", F.col("set_country.v").alias("country"))).alias("l")).select("key", "incarnation", "l.checkpoint", "l.event_seq", "l.country")
+    # a document's event finds what the events before it left: its own place is after that of a country's event
+    found = as_of(set_at, names.select("checkpoint", "event_seq", F.col("key").alias("country"), F.col("name").alias("country_name")), "country", ["checkpoint", "event_seq"], ["country_name"])
+    return found.select("key", "incarnation", F.coalesce("country_name", F.lit("")).alias("country_name"))
+
+
+def register(log: DataFrame, now: datetime | None = None) -> DataFrame:
+    """Documents at the end of ``log`` with their periods and validity; with ``now`` their state is the one that holds then."""
+    flagged = flag(op_rows(documents(), log))
+    rows = final_rows(documents(), flagged)
+    latest = flagged.groupBy("key").agg(F.max("incarnation").alias("incarnation"))
+    parts = latest.join(with_periods(log), ["key", "incarnation"], "left").join(country_names(log), ["key", "incarnation"], "left")
+    docs = rows.join(parts.drop("incarnation"), "key", "left").withColumn("periods", F.coalesce("periods", F.array().cast(parts.schema["periods"].dataType)))
+    if now is None:
+        return docs
+    return docs.withColumn("state", realtime_state(F.col("state"), F.col("next_review_at"), F.col("lifetime_end"), F.col("starts"), F.col("ends"), F.lit(now).cast("timestamp_ntz")))

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foldspark.functions import stats
 from foldspark.operators import fold
 from foldspark.operators.lookup import as_of, contiguous_chain, nest
 from foldspark.operators.projector import Projector
+from foldspark.plans import documents
 from foldspark.plans.documents import counts_per_state as count_states
 from foldspark.plans.documents import realtime_state as classify
 from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
 from foldspark.plans.types import TypeRegistry
 from foldspark.sources import log as logs
-from foldspark.streaming.dispatcher import Dispatcher, SnapshotStore
+from foldspark.streaming.dispatcher import Dispatcher, SnapshotStore, SubscriptionOptions, shared_folder
+from foldspark.streaming.state import stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,8 +88,7 @@ def _deleting(m: EventMapBuilder) -> ProjectionPlan:
 @query("SELECT event_id + 1 AS checkpoint, event_type FROM events WHERE event_id + 1 > 5000")
 def log_scan_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter is on the stored column, so that it reaches the scan."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") > 4999)
-    return logs.after(logs.as_events_log(rows), 5000).select("checkpoint", "event_type")
+    return logs.events_after(spark, sf_dir, 5000).select("checkpoint", "event_type")
 
 
 @query("SELECT event_id + 1 AS checkpoint, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 't' || CAST(event_id AS VARCHAR) END, ''), CAST(event_id + 1 AS VARCHAR)) AS transaction_id FROM events")
@@ -357,6 +358,7 @@ def stats_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SPEED + """SELECT id AS projector_id, last AS checkpoint, CASE WHEN last >= 25000 THEN 0 ELSE CAST(trunc((25000 - last) / speed / 60) AS BIGINT) END AS eta_minutes
 FROM speeds JOIN (SELECT id, arg_max(c, seq) AS last FROM p GROUP BY id) USING (id)""")
 def stats_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To minutes: the SQL's speeds are sums in another order. ``stats_eta_corners`` has whole seconds."""
     found = stats.time_to_reach(_progress(spark, sf_dir), 25000)
     return found.select("projector_id", "checkpoint", F.floor(F.col("eta_seconds") / 60).alias("eta_minutes"))
 
@@ -370,10 +372,287 @@ def project_user_state_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL["project_user_state"])
 def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship as a stream: micro-batches are folded on snapshots in the shared folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldspark-")).rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = lambda options: logs.as_events_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").options(**options).parquet(sf_dir))
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     store = SnapshotStore(spark, f"{path}/state")
-    Dispatcher(stream, lambda: logs.events_log(spark, sf_dir)).subscribe(Projector(_deleting(_users())), store, f"{path}/progress").awaitTermination()
+    _dispatcher(spark, sf_dir).subscribe(Projector(_deleting(_users())), store, f"{path}/progress").awaitTermination()
     return store.read("users").withColumnRenamed("key", "user_id")
+
+
+def _stream(spark: SparkSession, sf_dir: str, options: dict[str, str]) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return logs.as_events_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").options(**options).parquet(sf_dir))
+
+
+def _dispatcher(spark: SparkSession, sf_dir: str) -> Dispatcher:
+    return Dispatcher(lambda options: _stream(spark, sf_dir, options), lambda: logs.events_log(spark, sf_dir))
+
+
+@query(SQL["project_user_state"])
+def stream_user_state_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship as keyed streaming state: each batch gives out the rows that it changed, and the last one of a key counts."""
+    path = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    changes = stateful(_deleting(_users()), _stream(spark, sf_dir, {}))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch_id", F.lit(n)).write.mode("overwrite").parquet(f"{path}/changes/batch={n}")
+
+    changes.writeStream.outputMode("update").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/changes").groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("exists", *FIELDS), "batch_id").alias("l"))
+    return last.where("l.exists").select("user_id", *(F.col(f"l.{n}").alias(n) for n in FIELDS))
+
+
+@query("SELECT max(event_id + 1) AS checkpoint, 1 AS batches FROM events")
+def stream_tracks_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subscription that handles each batch and then tracks its checkpoint: the last one tracked."""
+    path, tracked = f"{shared_folder(spark)}/tracked-{uuid.uuid4().hex}", []
+    options = SubscriptionOptions(id=f"tracked-{uuid.uuid4().hex}", success_handler=lambda info: tracked.append((options.id, info.batch_id, datetime.now(), info.checkpoint)))
+    _dispatcher(spark, sf_dir).subscribe(Projector(_deleting(_users())), SnapshotStore(spark, f"{path}/state"), f"{path}/progress", options=options).awaitTermination()
+    progress = spark.createDataFrame(tracked, "projector_id string, seq long, ts timestamp, checkpoint long")
+    return stats.last_checkpoints(progress).select("checkpoint", F.lit(len(tracked)).alias("batches"))
+
+
+@query(f"SELECT * FROM ({SQL['project_user_state']}) WHERE user_id % 3 <> 0 AND user_id <> 7")
+def repository_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored state from which a range of keys and one key are removed, and what was removed of another is added again."""
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/repository-{uuid.uuid4().hex}")
+    store.write("first", 0, Projector(_deleting(_users())).project(logs.events_log(spark, sf_dir)).state)
+    whole, keys = store.read("first"), F.col("key")
+    store.add_range("users", whole)
+    store.remove_range("users", whole.where(keys % 3 == 0).select("key"))
+    store.remove_by_key("users", 7)
+    store.remove_range("users", whole.where(keys % 3 == 1).select("key"))
+    store.add_range("users", whole.where((keys % 3 == 1) & (keys != 7)))
+    return store.read("users").withColumnRenamed("key", "user_id")
+
+
+@query("""
+SELECT CAST(CASE WHEN user_id % 10 <> 0 THEN user_id + 1152921504606846976 END AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS n, CAST(max(CASE WHEN event_id % 3 <> 0 THEN event_id + 1152921504606846976 END) AS VARCHAR) AS last_id,
+       arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1""")
+def fold_null_and_large_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general fold over keys and values beyond doubles, and null ones."""
+    large = 1 << 60
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ops = rows.select(
+        F.when(F.col("user_id") % 10 != 0, F.col("user_id") + large).alias("key"), F.col("event_id").alias("checkpoint"), F.lit(0).alias("event_seq"), F.lit(0).alias("rule_seq"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id") + large).alias("id"), "event_type",
+    )
+
+    def step(row: dict | None, op: dict) -> dict:
+        row = row or {"n": 0, "last_id": None}
+        return {"n": row["n"] + 1, "last_id": row["last_id"] if op["id"] is None else op["id"], "last_type": op["event_type"]}
+
+    found = fold.fold_rows(ops, step, "key bigint, n bigint, last_id bigint, last_type string")
+    return found.select(F.col("key").cast("string").alias("key"), "n", F.col("last_id").cast("string").alias("last_id"), "last_type")
+
+
+@query(_fold_sql(_ops_sql("false"), _STATE))
+def older_verbs_if_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older names: create if there is none, update and delete if there is one."""
+    m = EventMapBuilder("users", "bigint", FIELDS, TYPES)
+    m.map("signup").as_create_if_does_not_exist_of(_USER).using(**_SET)
+    for kind in ("click", "view", "purchase"):
+        m.map(kind).as_update_if_exists_of(_USER).using(**_SET)
+    m.map("error").as_delete_if_exists_of(_USER)
+    return _state(m.build(), logs.events_log(spark, sf_dir))
+
+
+@query(SQL["create_overwrite"])
+def older_verbs_create_or_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = EventMapBuilder("users", "bigint", FIELDS)
+    m.map("signup").as_create_or_update_of(_USER).using(**_SET)
+    m.map("error").as_delete_if_exists_of(_USER)
+    return _state(m.build(), logs.events_log(spark, sf_dir))
+
+
+@query("""
+SELECT event_id + 1 AS checkpoint, 'lifecycle' AS action FROM events WHERE event_type IN ('signup', 'error') UNION ALL SELECT event_id + 1, 'error' FROM events WHERE event_type = 'error'
+UNION ALL SELECT event_id + 1, 'any' FROM events WHERE event_type IN ('click', 'view', 'purchase')""")
+def map_first_registered_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two mapped ancestors only the one registered first has its handlers run."""
+    m = EventMapBuilder("types", registry=TypeRegistry(TYPES.parents | {"activity": "event", "lifecycle": "event"}))
+    for name, kind in (("lifecycle", "lifecycle"), ("any", "event"), ("error", "error"), ("activity", "activity")):
+        m.map(kind).as_action(name)
+    return Projector(m.build()).project(logs.events_log(spark, sf_dir)).custom.select("checkpoint", "action")
+
+
+@query("""
+WITH s AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'signup'), bad AS (SELECT min(event_id) AS cut_at FROM s WHERE n = 2)
+SELECT projection, user_id, last_value, error_checkpoint, child, projector FROM (
+  SELECT unnest(['grandchild', 'child', 'parent']) AS projection, user_id, value AS last_value, cut_at + 1 AS error_checkpoint, 'grandchild' AS child, 'parent' AS projector FROM s, bad WHERE event_id < cut_at)""")
+def children_stop_their_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels on one log: the innermost fails first, and no level keeps more than what came before; the error names it and the root."""
+
+    def level(name: str, policy: str) -> ProjectionPlan:
+        m = EventMapBuilder(name, "bigint", {"last_value": "double"})
+        getattr(m.map("signup").as_create_of(_USER), policy)().using(last_value=lambda e, c: e.value)
+        return m.build()
+
+    throwing = EventMapBuilder("grandchild", "bigint", {"last_value": "double"})
+    throwing.map("signup").as_create_of(_USER).using(last_value=lambda e, c: e.value)
+    child = Projector(level("child", "overwriting_duplicates"), [Projector(throwing.build())])
+    found = Projector(level("parent", "overwriting_duplicates"), [child]).project(logs.events_log(spark, sf_dir), on_error="cut")
+    inner = found.children["child"]
+    rows = [r.state.select(F.lit(n).alias("projection"), F.col("key").alias("user_id"), "last_value") for n, r in (("parent", found), ("child", inner), ("grandchild", inner.children["grandchild"]))]
+    e = found.error
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("*", F.lit(e.event["checkpoint"]).alias("error_checkpoint"), F.lit(e.child).alias("child"), F.lit(e.projector).alias("projector"))
+
+
+@query("""
+SELECT 'big' AS action, CAST(count(*) AS BIGINT) AS n, 'before, run, after' AS steps FROM events WHERE event_type = 'purchase' AND value > 60
+UNION ALL SELECT 'error', count(*), 'before, run, after' FROM events WHERE event_type = 'error'""")
+def actions_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Custom actions of a keyed map, each decorated."""
+    m, steps, counts = _users(), {}, {}
+    m.map("purchase").when(lambda e, c: e.value > 60).as_action("big")
+    m.map("error").as_action("error")
+
+    def around(name: str, events: DataFrame, run) -> None:
+        steps[name] = ["before"]
+        run()
+        steps[name].append("after")
+
+    def action(name: str):
+        def handle(events: DataFrame) -> None:
+            counts[name] = events.count()
+            steps[name].append("run")
+
+        return handle
+
+    Projector(m.build(), actions={n: action(n) for n in ("big", "error")}, around=around).project(logs.events_log(spark, sf_dir))
+    return spark.createDataFrame([(n, counts[n], ", ".join(steps[n])) for n in counts], "action string, n bigint, steps string")
+
+
+@query("""
+WITH p AS (SELECT n_nationkey AS projector_id, CAST((n_nationkey - 5) * 10 / 100.0 AS FLOAT) AS speed, 1000 + (n_nationkey - 5) * 10 AS checkpoint, CASE WHEN n_nationkey % 7 = 6 THEN 9000000000000000000 ELSE 1000000 END AS goal FROM nation WHERE n_nationkey < 24),
+e AS (SELECT *, CASE WHEN speed <> 0 THEN CAST(CAST(goal - checkpoint AS FLOAT) AS DOUBLE) / CAST(speed AS DOUBLE) END AS rest FROM p)
+SELECT projector_id, checkpoint, round(CAST(speed AS DOUBLE), 6) AS speed, CASE WHEN abs(rest) <= 922337203685 THEN CAST(trunc(CAST(rest AS FLOAT)) AS BIGINT) END AS eta_seconds FROM e
+UNION ALL SELECT n_nationkey, 1000, NULL, NULL FROM nation WHERE n_nationkey = 24""")
+def stats_eta_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speeds below, at and over 0, a goal too far away, and a projector with one record."""
+    n, begin = F.col("n_nationkey"), F.lit(datetime(2020, 1, 1))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.cast("long").alias("n_nationkey"))
+    rows = nations.select(n.alias("projector_id"), F.explode(F.when(n == 24, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(100)))).alias("t"))
+    progress = rows.select("projector_id", F.col("t").alias("seq"), F.timestamp_seconds(F.unix_timestamp(begin) + F.col("t")).alias("ts"), (1000 + F.col("t") / 10 * (F.col("projector_id") - 5)).cast("long").alias("checkpoint"))
+    goal = F.when(F.col("projector_id") % 7 == 6, F.lit(9_000_000_000_000_000_000)).otherwise(1_000_000)
+    return stats.time_to_reach(progress, goal).select("projector_id", "checkpoint", F.round(F.col("speed").cast("double"), 6).alias("speed"), "eta_seconds")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, CAST((o_orderkey % 2001 - 1000) * 997 AS BIGINT) AS x FROM orders)
+SELECT o_orderkey, CAST(trunc(x / 86400.0) AS BIGINT) AS days, CAST(trunc(x / 3600.0) AS BIGINT) % 24 AS hours, CAST(trunc(x / 60.0) AS BIGINT) % 60 AS minutes, x % 60 AS seconds FROM s""")
+def stats_eta_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", stats.eta_parts((F.col("o_orderkey") % 2001 - 1000) * 997).alias("p"))
+    return rows.select("o_orderkey", "p.days", "p.hours", "p.minutes", "p.seconds")
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS l_quantity FROM r WHERE n = 1""")
+def nested_lines_with_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``nested_lines_per_order``; a returned line resets its quantity to NULL."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), F.struct(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("v")).alias("l_quantity"))
+    nested = nest(lines, "l_orderkey", "l_linenumber", ["l_partkey", "l_suppkey", "q"], ["l_partkey", "l_quantity"], "lines")
+    return nested.select("l_orderkey", F.explode("lines").alias("x")).select("l_orderkey", "x.l_linenumber", "x.l_partkey", "x.l_quantity")
+
+
+#: Steps of an order's events as a document, after 100 times its key.
+_KIND_OF = ("Warrant", "Certificate", "Audit", "Task", "IsolationCertificate")
+
+
+def _register_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents with all kinds of events, their lines as periods, nations as countries that are registered in between."""
+    from foldspark.plans.documents import BODY, KINDS, PERIODS
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).distinct().join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey")
+    k, cust, day, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate"), F.col("n")
+    names = StructType.fromDDL(BODY)
+
+    def event(rows: DataFrame, step, kind, **body) -> DataFrame:
+        fields = [body.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in names.fields]
+        return rows.select((k * 100 + step).cast("long").alias("checkpoint"), (kind if not isinstance(kind, str) else F.lit(kind)).alias("event_type"), F.struct(*fields).alias("body"))
+
+    number, later = k.cast("string"), lambda d: day + F.make_dt_interval(F.lit(d) if isinstance(d, int) else d.cast("int"))
+    country = lambda plus: ((cust + plus) % 25).cast("string")
+    creators = F.element_at(F.array(*(F.lit(x) for x in KINDS)), (k % 5 + 1).cast("int"))
+    opened = F.when(F.col("o_orderstatus") == "O", "Active").otherwise(F.col("o_orderstatus"))
+    doc = {"DocumentNumber": number}
+    period = doc | {"Sequence": n}
+    parts = [
+        event(orders, 0, creators, Number=number, Kind=F.col("o_orderpriority"), Country=country(0), InitialState=opened),
+        event(orders.where(k % 11 == 0), 1, "ConstitutionEstablishedEvent", Number=number, Kind=F.col("o_orderpriority"), Country=country(1), InitialState=F.lit("P")),
+        event(orders.where(cust % 3 >= 1), 2, "AreaRestrictedEvent", **doc, Area=F.concat(F.lit("A"), (cust % 4).cast("string"))),
+        event(orders.where(cust % 3 == 2), 3, "AreaRestrictionCancelledEvent", **doc),
+        event(orders.where(k % 13 == 0), 4, "CountryCorrectedEvent", **doc, Country=country(7)),
+        event(orders.where(k % 4 == 0), 5, "NextReviewScheduledEvent", **doc, NextReviewAt=later(900)),
+        event(orders.where(k % 6 < 2), 6, "LifetimeRestrictedEvent", **doc, PeriodEnd=later(700)),
+        event(orders.where(k % 6 == 1), 7, "LifetimeRestrictionRemovedEvent", **doc),
+        event(orders.where((k % 10).isin(1, 2)), 8, "StateTransitionedEvent", **doc, State=F.when(k % 10 == 1, "Closed").otherwise("Moved")),
+        event(orders.where(k % 20 == 2), 9, "StateRevertedEvent", **doc, State=F.lit("Back")),
+        event(lines, 20 + n, PERIODS[0], **period, From=later(10 * n), To=later(10 * n + 10 + F.when(n == 4, 1).otherwise(0))),
+        event(lines.where(n != 3), 40 + n, PERIODS[2], **period),
+        event(lines.where(n == 6), 60 + n, PERIODS[1], **period),
+        event(lines.where(n == 2), 60 + n, PERIODS[3], **period, ClosedAt=later(10 * n + 5)),
+        event(lines.where(n == 5), 60 + n, PERIODS[4], **period),
+        event(lines.where((n == 1) & (k % 3 == 0)), 80, PERIODS[2], **period),
+        event(orders.where(k % 17 == 0), 90, "DocumentArchivedEvent", **doc),
+        event(orders.where(k % 34 == 0), 91, "LicenseGrantedEvent", Number=number, Kind=F.lit("anew"), Country=country(2), InitialState=F.lit("New")),
+    ]
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") * 500).alias("o_orderkey"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
+    parts.append(event(nations, 50, "CountryRegisteredEvent", Code=F.col("code"), Name=F.col("name")))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return logs.make_log(rows, checkpoint=F.col("checkpoint"), event_type=F.col("event_type"), body=F.col("body"))
+
+
+_REGISTER = """
+WITH RECURSIVE o AS (SELECT *, o_orderkey % 34 = 0 AS anew FROM orders WHERE o_orderkey % 17 <> 0 OR o_orderkey % 34 = 0),
+l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN o ON o_orderkey = l_orderkey AND NOT anew),
+late AS (SELECT DISTINCT k FROM l WHERE n = 1 AND k % 3 = 0),
+p AS (SELECT l.k, n, CASE WHEN late.k IS NOT NULL AND n = 6 THEN NULL ELSE 10 * n END AS f,
+             CASE WHEN late.k IS NOT NULL AND n = 6 THEN NULL WHEN late.k IS NOT NULL AND n = 2 THEN 10 * n + 5 ELSE 10 * n + 10 + CASE WHEN n = 4 THEN 1 ELSE 0 END END AS t
+      FROM l LEFT JOIN late ON late.k = l.k WHERE n <> 3 AND NOT (late.k IS NOT NULL AND n IN (2, 5))),
+c(k, n, f, t) AS (SELECT k, n, f, t FROM p q WHERE n = (SELECT max(n) FROM p WHERE p.k = q.k) UNION ALL SELECT p.k, p.n, p.f, p.t FROM c JOIN p ON p.k = c.k AND p.t IS NOT DISTINCT FROM c.f AND p.n < c.n),
+v AS (SELECT k, min(n) AS low, max(n) AS high FROM c GROUP BY k),
+bounds AS (SELECT v.k, a.f, b.t FROM v JOIN p a ON a.k = v.k AND a.n = v.low JOIN p b ON b.k = v.k AND b.n = v.high),
+d AS (SELECT o.*, CASE WHEN anew THEN (o_custkey + 2) % 25 WHEN o_orderkey % 13 = 0 THEN (o_custkey + 7) % 25 WHEN o_orderkey % 11 = 0 THEN (o_custkey + 1) % 25 ELSE o_custkey % 25 END AS nat,
+             o_orderkey * 100 + CASE WHEN anew THEN 91 WHEN o_orderkey % 13 = 0 THEN 4 WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS set_at FROM o),
+r AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN anew THEN 'Audit' WHEN o_orderkey % 11 = 0 THEN 'Constitution' ELSE ['Warrant', 'Certificate', 'Audit', 'Task', 'IsolationCertificate'][CAST(o_orderkey % 5 + 1 AS INTEGER)] END AS type,
+       CASE WHEN anew THEN 'anew' ELSE o_orderpriority END AS kind, CAST(nat AS VARCHAR) AS country, CASE WHEN nat * 50000 + 50 < set_at THEN n_name ELSE '' END AS country_name,
+       CASE WHEN anew THEN 'New' WHEN o_orderkey % 20 = 2 THEN 'Back' WHEN o_orderkey % 10 = 2 THEN 'Moved' WHEN o_orderkey % 11 = 0 THEN 'P' WHEN o_orderstatus = 'O' THEN 'Active' ELSE o_orderstatus END AS state,
+       CASE WHEN NOT anew AND o_custkey % 3 = 1 THEN 'A' || (o_custkey % 4) END AS area, CASE WHEN NOT anew AND o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL 900 DAY END AS next_review_at,
+       CASE WHEN NOT anew AND o_orderkey % 6 = 0 THEN o_orderdate + INTERVAL 700 DAY END AS lifetime_end, o_orderdate + to_days(CAST(f AS INTEGER)) AS starts, o_orderdate + to_days(CAST(t AS INTEGER)) AS ends,
+       CAST((SELECT count(*) FROM l WHERE l.k = o_orderkey) AS INTEGER) AS n_periods
+FROM d JOIN nation ON n_nationkey = nat LEFT JOIN bounds ON bounds.k = o_orderkey)
+"""
+
+
+@query(_REGISTER + "SELECT * FROM r")
+def document_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the register: kinds, lookups as of the event, cleared fields, periods with resets, closings and approvals, archived and created anew."""
+    return documents.register(_register_log(spark, sf_dir)).select(
+        "key", "type", "kind", "country", "country_name", "state", "area", "next_review_at", "lifetime_end", "starts", "ends", F.size("periods").alias("n_periods")
+    )
+
+
+@query(_REGISTER + """, s AS (SELECT country, area, kind, CASE WHEN state <> 'Active' THEN state WHEN TIMESTAMP '1997-06-15' > next_review_at THEN 'InReview' WHEN TIMESTAMP '1997-06-15' > lifetime_end THEN 'Expired'
+  WHEN TIMESTAMP '1997-06-15' > ends THEN 'Revalidate' WHEN TIMESTAMP '1997-06-15' < starts THEN 'AwaitingActivation' ELSE 'Active' END AS state FROM r WHERE kind = '1-URGENT')
+SELECT country, n_name AS country_name, area, kind, state, count(*) AS count FROM s JOIN nation ON CAST(n_nationkey AS VARCHAR) = country GROUP BY ALL""")
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register's counts by state at a time; each country must be registered exactly once."""
+    log = _register_log(spark, sf_dir)
+    names = Projector(documents.countries()).project(log).state
+    return documents.counts_per_state(documents.register(log, NOW), names, kind="1-URGENT")
+
+
+@query("""SELECT 'country 24 is missing from the lookup' AS error UNION ALL SELECT 'country 3 is more than once in the lookup' UNION ALL SELECT 'country 99 is missing from the lookup'""")
+def required_lookup_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"))
+    docs, errors = nations.select(F.col("key").alias("country"), F.lit("a").alias("area"), F.lit("k").alias("kind"), F.lit("s").alias("state")), []
+    for lookup, country in ((nations.where("key <> '24'"), None), (nations.unionByName(nations.where("key = '3'")), None), (nations, "99")):
+        try:
+            documents.counts_per_state(docs, lookup, country=country)
+        except LookupError as error:
+            errors.append((str(error),))
+    return spark.createDataFrame(errors, "error string")

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import uuid
 import zipfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,15 +63,38 @@ def as_events_log(events: DataFrame) -> DataFrame:
 
 
 def after(log: DataFrame, checkpoint: int | None) -> DataFrame:
-    """What a subscription from ``checkpoint`` gets: strictly greater ones. The filter reaches a Parquet scan."""
+    """What a subscription from ``checkpoint`` gets: strictly greater ones.
+
+    The filter reaches the scan of a log that stores its checkpoints. Where they are worked out, as in ``events_log``,
+    filter the stored column before (``events_after``): Spark does not turn the sum round.
+    """
     return log.where(F.col("checkpoint") > (checkpoint or 0))
 
 
+def events_after(spark: SparkSession, sf_dir: str, checkpoint: int | None) -> DataFrame:
+    """``after`` of ``events_log``, by a filter on the stored event_id that the scan takes."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") >= (checkpoint or 0))
+    return as_events_log(rows)
+
+
 def is_ahead(log: DataFrame, checkpoint: int | None) -> bool:
     """Whether a subscriber's checkpoint is beyond the log's last one; an empty log ends at 0."""
     return checkpoint is not None and checkpoint > (log.agg(F.max("checkpoint")).first()[0] or 0)
 
 
+#: Rows of a range, about, and ranges at most: what is worked out over all ranges at once has a row for each.
+RANGE_ROWS, RANGES = 10_000, 100_000
+
+
+def _in_ranges(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with _range: equal cuts of the values of ``order`` (a number or a time), in their order, so that no task sees all rows. Nulls come first."""
+    value = F.col(order).cast("double")
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+    parts = max(1, min(RANGES, n // RANGE_ROWS))
+    cut = F.least(F.floor((value - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1.0)) * parts), F.lit(parts - 1))
+    return rows.withColumn("_range", F.coalesce(cut, F.lit(-1)))
+
+
 def in_batches(log: DataFrame, size: int) -> DataFrame:
     """``log`` with batch_id: transactions in checkpoint order in batches of ``size``, the last may be short.
 
@@ -77,25 +102,33 @@ def in_batches(log: DataFrame, size: int) -> DataFrame:
     """
     if size < 1:
         raise ValueError("a batch holds one transaction at least")
-    width = 10_000
-    own = log.select("checkpoint").distinct().withColumn("range", F.floor(F.col("checkpoint") / width))
-    ranges = own.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    numbered = own.join(before, "range").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("checkpoint")) - 1)
+    own = _in_ranges(log.select("checkpoint").distinct(), "checkpoint")
+    ranges = own.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = ranges.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("before"))
+    numbered = own.join(before, "_range").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("_range").orderBy("checkpoint")) - 1)
     return log.join(numbered.select("checkpoint", F.floor(F.col("at") / size).alias("batch_id")), "checkpoint")
 
 
 def assign_checkpoints(transactions: DataFrame, order: str, last: int = 0) -> DataFrame:
-    """Give transactions whose checkpoint is -1 or null the next ones after ``last``; explicit ones replace the counter, as they come in ``order``.
+    """Give transactions whose checkpoint is -1 or null the next ones after ``last``; explicit ones replace the counter, as they come in ``order`` (a number or a time).
 
-    The counter restarts at each explicit checkpoint, so each transaction is the last explicit one before it plus its distance from there.
+    The counter restarts at each explicit checkpoint, so each transaction is the last explicit one before it plus its
+    distance from there. Ranges of ``order`` are worked on by themselves; what a range takes over from those before it,
+    the last explicit checkpoint and its distance, comes from a table with a row for each range.
     """
-    w = Window.orderBy(order)
+    w = Window.partitionBy("_range").orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     explicit = F.when(F.col("checkpoint") != -1, F.col("checkpoint"))
-    runs = transactions.withColumn("_run", F.count(explicit).over(w))
-    base = F.coalesce(F.max(explicit).over(Window.partitionBy("_run")), F.lit(last))
-    step = F.row_number().over(Window.partitionBy("_run").orderBy(order)) - F.when(F.col("_run") > 0, 1).otherwise(0)
-    return runs.withColumn("checkpoint", (base + step).cast("long")).drop("_run")
+    rows = _in_ranges(transactions, order).withColumn("_at", F.row_number().over(w))
+    rows = rows.withColumn("_own", F.last(F.when(explicit.isNotNull(), F.struct(explicit.alias("base"), F.col("_at").alias("at"))), ignorenulls=True).over(upto))
+    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max_by("_own", "_at").alias("own"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    known = F.when(F.col("own").isNotNull(), F.struct(F.col("own.base").alias("base"), (F.col("start") + F.col("own.at")).alias("at")))
+    first = F.struct(F.lit(last).cast("long").alias("base"), F.lit(0).cast("long").alias("at"))
+    ranges = ranges.select("_range", "start", F.coalesce(F.last(known, ignorenulls=True).over(earlier), first).alias("_before"))
+    found = F.coalesce(F.col("_own.base") + F.col("_at") - F.col("_own.at"), F.col("_before.base") + F.col("start") + F.col("_at") - F.col("_before.at"))
+    return rows.join(ranges, "_range").withColumn("checkpoint", found.cast("long")).select(*transactions.columns)
 
 
 def check_order(log: DataFrame, on_disorder: str = "error") -> DataFrame:
@@ -108,10 +141,11 @@ def check_order(log: DataFrame, on_disorder: str = "error") -> DataFrame:
 def read_json_zip(spark: SparkSession, path: str, page_size: int = 100, per_transaction: int = 6) -> DataFrame:
     """JSON lines of the first ``*.json`` entry of each zip as a log: six events a transaction, ``page_size`` transactions a page.
 
-    Page k (from 0) begins at checkpoint k * (page_size + 1) + 1, so one number is skipped between pages. The type is the
-    class name in ``$type``, without name space and assembly; no class is made from it.
+    Page k (from 0) begins at checkpoint k * (page_size + 1) + 1, so one number is skipped between pages. Of several
+    zips the pages follow one another in order of path, each file beginning a page of its own. The type is the class
+    name in ``$type``, without name space and assembly; no class is made from it.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def lines(rows):
         for row in rows:
@@ -123,12 +157,17 @@ def read_json_zip(spark: SparkSession, path: str, page_size: int = 100, per_tran
                         for raw in entry:
                             if raw.strip():
                                 text = raw.decode("utf-8-sig").strip()
-                                yield at, str(json.loads(text).get("$type", "")).split(",")[0].rsplit(".", 1)[-1], text
+                                yield row.path, at, str(json.loads(text).get("$type", "")).split(",")[0].rsplit(".", 1)[-1], text
                                 at += 1
 
-    found = spark.createDataFrame(files.rdd.mapPartitions(lines), "line bigint, event_type string, body string")
+    found = spark.createDataFrame(files.rdd.mapPartitions(lines), "path string, line bigint, event_type string, body string")
+    per_page = page_size * per_transaction
+    pages = found.groupBy("path").agg(F.ceil((F.max("line") + 1) / per_page).alias("pages"))  # a row for each file
+    before = pages.select(F.col("path").alias("_path"), (F.sum("pages").over(Window.orderBy("path")) - F.col("pages")).alias("_page"))
+    numbered = found.join(before, F.col("path") == F.col("_path"))
     transaction = F.floor(F.col("line") / per_transaction)
-    return make_log(found, checkpoint=transaction + F.floor(transaction / page_size) + 1, event_seq=F.col("line") % per_transaction, event_type=F.col("event_type"), body=F.col("body"))
+    page = F.col("_page") + F.floor(transaction / page_size)
+    return make_log(numbered, checkpoint=page * (page_size + 1) + transaction % page_size + 1, event_seq=F.col("line") % per_transaction, event_type=F.col("event_type"), body=F.col("body"))
 
 
 @dataclass
@@ -156,6 +195,24 @@ class LogStore:
     def stream(self, **options: str) -> DataFrame:
         return self.spark.readStream.schema(JSON_LOG).options(**options).parquet(self.path)
 
+    def last(self) -> int:
+        """The last checkpoint, 0 where there is none."""
+        try:
+            return self.read().agg(F.max("checkpoint")).first()[0] or 0
+        except AnalysisException as e:  # a folder that is not there yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return 0
+
+    def wait_for_growth(self, checkpoint: int, timeout: float = 30, poll: float = 0.1) -> bool:
+        """Wait until the log goes beyond ``checkpoint``; whether it did in ``timeout`` seconds."""
+        end = time.monotonic() + timeout
+        while self.last() <= checkpoint:
+            if time.monotonic() > end:
+                return False
+            time.sleep(poll)
+        return True
+
     def write_events(self, *events: tuple) -> int:
         return self.write(Transaction(events))
 
@@ -166,12 +223,7 @@ class LogStore:
     def write(self, *transactions: Transaction) -> int:
         """Append; returns the last checkpoint. -1 takes the next number; an explicit one replaces the counter."""
         if self._last is None:
-            try:
-                self._last = self.read().agg(F.max("checkpoint")).first()[0] or 0
-            except Exception as e:  # a folder that is not there yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                self._last = 0
+            self._last = self.last()
         rows = []
         for t in transactions:
             self._last = self._last + 1 if t.checkpoint == -1 else t.checkpoint

@@ -7,11 +7,14 @@ own named after the batch. A batch that runs again writes the same folder again,
 from __future__ import annotations
 
 import logging
+import tempfile
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +24,17 @@ from foldspark.sources.log import after
 log = logging.getLogger(__name__)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="foldspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 class Resolution(Enum):
     ABORT = "abort"
     RETRY = "retry"
@@ -29,8 +43,11 @@ class Resolution(Enum):
 
 @dataclass
 class Info:
+    """What a handler is told: the subscription, and the batch and its last checkpoint."""
+
     id: str
     batch_id: int | None = None
+    checkpoint: int | None = None
 
 
 @dataclass
@@ -50,7 +67,11 @@ class SubscriptionOptions:
 
 
 class SnapshotStore:
-    """Snapshots in ``path``/batch=N for each projection; the newest finished one counts."""
+    """Snapshots in ``path``/name/batch=N for each projection; the newest finished one counts. Edits by hand are versions of it, batch=N.1 and on.
+
+    A batch writes a projection's whole state, so this is for states that are small beside the log; ``stateful`` writes
+    only the rows that change.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -59,23 +80,69 @@ class SnapshotStore:
     def _dir(self, name: str) -> object:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def batches(self, name: str) -> list[int]:
+    def versions(self, name: str) -> list[tuple[int, int]]:
+        """(batch, edit) of the finished snapshots, in order."""
         if not self._fs.exists(self._dir(name)):
             return []
         found = [s.getPath() for s in self._fs.listStatus(self._dir(name))]
-        return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("batch=") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        finished = [p.getName().partition("=")[2] for p in found if p.getName().startswith("batch=") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted((int(n.partition(".")[0]), int(n.partition(".")[2] or 0)) for n in finished)
+
+    def batches(self, name: str) -> list[int]:
+        return sorted({n for n, _ in self.versions(name)})
+
+    def _at(self, name: str, version: tuple[int, int]) -> str:
+        return f"{self.path}/{name}/batch={version[0]}" + (f".{version[1]}" if version[1] else "")
 
     def read(self, name: str, before: int | None = None) -> DataFrame | None:
-        known = [b for b in self.batches(name) if before is None or b < before]
-        return self.spark.read.parquet(f"{self.path}/{name}/batch={known[-1]}") if known else None
+        known = [v for v in self.versions(name) if before is None or v[0] < before]
+        return self.spark.read.parquet(self._at(name, known[-1])) if known else None
 
-    def write(self, name: str, batch_id: int, state: DataFrame, keep: int = 2) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
-        for old in self.batches(name)[:-keep]:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch={old}"), True)
+    def _write(self, name: str, version: tuple[int, int], state: DataFrame, keep: int) -> None:
+        state.write.mode("overwrite").parquet(self._at(name, version))
+        for old in self.versions(name)[:-keep]:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name, old)), True)
 
-    def clear(self) -> None:
-        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
+    def write(self, name: str, batch_id: int, state: DataFrame, keep: int = 2) -> None:
+        """The state after a batch. A batch that runs again replaces what it wrote before, and edits of that."""
+        for v in self.versions(name):
+            if v[0] == batch_id and v[1]:
+                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name, v)), True)
+        self._write(name, (batch_id, 0), state, keep)
+
+    def find(self, name: str, key: object) -> Row | None:
+        """The row of ``key``, or None; the filter reaches the scan."""
+        state = self.read(name)
+        return None if state is None else next(iter(state.where(F.col("key").eqNullSafe(F.lit(key))).take(1)), None)
+
+    def count(self, name: str) -> int:
+        state = self.read(name)
+        return 0 if state is None else state.count()
+
+    def add_range(self, name: str, rows: DataFrame) -> None:
+        """Add rows (key and fields); a key that is there is an error, as is one that comes twice."""
+        state = self.read(name)
+        every = rows if state is None else state.unionByName(rows)
+        if every.groupBy("key").count().where("count > 1").limit(1).count():
+            raise ValueError("a key is there already, or comes twice")
+        batch, edit = next(reversed(self.versions(name)), (0, 0))
+        self._write(name, (batch, edit + 1), every, 2)
+
+    def remove_range(self, name: str, keys: DataFrame) -> None:
+        """Remove the rows whose key is in column ``key`` of ``keys``; keys that are not there do no harm."""
+        state, gone = self.read(name), keys.select(F.col("key").alias("_gone")).distinct()
+        if state is not None:
+            batch, edit = self.versions(name)[-1]
+            self._write(name, (batch, edit + 1), state.join(gone, F.col("key").eqNullSafe(F.col("_gone")), "left_anti"), 2)
+
+    def remove_by_key(self, name: str, key: object) -> None:
+        state = self.read(name)
+        if state is not None:
+            self.remove_range(name, self.spark.range(1).select(F.lit(key).cast(state.schema["key"].dataType).alias("key")))
+
+    def clear(self, name: str | None = None) -> None:
+        """Remove one projection's snapshots, or all."""
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path) if name is None else self._dir(name), True)
 
 
 class Dispatcher:
@@ -85,10 +152,13 @@ class Dispatcher:
         if stream is None or batch is None:
             raise ValueError("a streaming and a batch log are needed")
         self.stream, self.batch = stream, batch
+        #: The last checkpoint that each subscription has handled here.
+        self.handled: dict[str, int] = {}
+        self._progress = threading.Condition()
 
     def handle_batch(self, projector: Projector, store: SnapshotStore, rows: DataFrame, batch_id: int, options: SubscriptionOptions) -> None:
         """One micro-batch under the policy. Ignore keeps what came before the error and goes on with the next batch."""
-        info, attempts = Info(options.id, batch_id), 0
+        info, attempts = Info(options.id, batch_id, rows.agg(F.max("checkpoint")).first()[0]), 0
         on_error = "raise"
         while True:
             attempts += 1
@@ -98,6 +168,7 @@ class Dispatcher:
                     store.write(name, batch_id, state)
                 if on_error == "raise":
                     options.success_handler(info)
+                self._handled(info)
                 return
             except Exception as error:
                 what = options.exception_handler(error, attempts, info)
@@ -106,16 +177,41 @@ class Dispatcher:
                     raise
                 if what is Resolution.IGNORE:
                     if on_error == "cut":
+                        self._handled(info)
                         return
                     on_error = "cut"
 
+    def _handled(self, info: Info) -> None:
+        with self._progress:
+            self.handled[info.id] = max(self.handled.get(info.id, 0), info.checkpoint or 0)
+            self._progress.notify_all()
+
+    def wait_until_checkpoint(self, query: StreamingQuery, checkpoint: int, timeout: float | None = None) -> bool:
+        """Wait until the query has handled ``checkpoint``; whether it did in ``timeout`` seconds. Raises what ended the query."""
+        end = None if timeout is None else time.monotonic() + timeout
+        with self._progress:
+            while self.handled.get(query.name, 0) < checkpoint:
+                if not query.isActive:
+                    if query.exception() is not None:
+                        raise query.exception()
+                    return False
+                if end is not None and time.monotonic() > end:
+                    return False
+                self._progress.wait(0.1)
+        return True
+
     def _states(self, projector: Projector, result) -> list[tuple[str, DataFrame]]:
         own = [(projector.plan.name, result.state)] if result.state is not None else []
         return [*own, *(x for c in projector.children for x in self._states(c, result.children[c.plan.name]))]
 
     def subscribe(self, projector: Projector, store: SnapshotStore, checkpoint_dir: str, from_checkpoint: int | None = None, options: SubscriptionOptions | None = None, available_now: bool = True) -> StreamingQuery | None:
-        """Start the query. None if a restart was due and its handler said abort."""
+        """Start the query. None if a restart was due and its handler said abort.
+
+        Each restart has a progress folder of its own beside ``checkpoint_dir``, named by its number; later
+        subscriptions go on in the last one.
+        """
         options = options or SubscriptionOptions()
+        restarts = self._restarts(store, checkpoint_dir.rstrip("/"))
         if from_checkpoint is not None and options.restart_when_ahead and from_checkpoint > (self.batch().agg(F.max("checkpoint")).first()[0] or 0):
             attempts = 0
             while True:
@@ -131,13 +227,24 @@ class Dispatcher:
                     if what is Resolution.IGNORE:
                         break
             store.clear()
-            checkpoint_dir, from_checkpoint = f"{checkpoint_dir.rstrip('/')}-restarted", None
+            self.handled.pop(options.id, None)
+            restarts, from_checkpoint = restarts + 1, None
+        if restarts:
+            checkpoint_dir = f"{checkpoint_dir.rstrip('/')}-restart-{restarts}"
         rows = after(self.stream(options.reader_options), from_checkpoint)
         writer = rows.writeStream.queryName(options.id).option("checkpointLocation", checkpoint_dir)
         writer = writer.foreachBatch(lambda batch, n: self.handle_batch(projector, store, batch, n, options))
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+    @staticmethod
+    def _restarts(store: SnapshotStore, checkpoint_dir: str) -> int:
+        """The number of the last restart that has begun to read."""
+        pattern = store.spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir}-restart-*")
+        found = pattern.getFileSystem(store.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return max((int(n) for n in (s.getPath().getName().rpartition("-")[2] for s in found) if n.isdigit()), default=0)
+
+
 def has_subscription(spark: SparkSession, id: str) -> bool:
     """Whether exactly one query of this name runs; two are an error."""
     found = [q for q in spark.streams.active if q.name == id]

@@ -48,26 +48,33 @@ def apply_op(plan: ProjectionPlan, row: dict | None, op: dict) -> dict | None:
 
 
 def stateful(plan: ProjectionPlan, log: DataFrame) -> DataFrame:
-    """A streaming log as a stream of changed rows (key, exists, fields), in update mode. Events of a key run in order within a batch; batches in theirs."""
+    """A streaming log as a stream of changed rows (key, exists, fields), in update mode. Events of a key run in order within a batch; batches in theirs.
+
+    Ops and rows cross into Python as one struct each, so that 64-bit integers are exact and nulls stay apart from NaN.
+    What a key gets in one micro-batch is held to be sorted: ``maxFilesPerTrigger`` bounds it.
+    """
     fields = plan.fields
     sets = [c for n in fields for c in (F.col(f"set_{n}").isNotNull().alias(f"has_{n}"), F.col(f"set_{n}.v").alias(f"v_{n}"))]
     adds = [f"add_{n}" for n, (_, how) in fields.items() if how]
-    ops = op_rows(plan, log).where(F.col("op") != CUSTOM).select("key", *ORDER, "op", "policy", "accepts", *sets, *adds)
-    columns = ", ".join(f"`{n}` {kind}" for n, (kind, _) in fields.items())
-
-    def clean(v: object) -> object:
-        return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v
+    ops = op_rows(plan, log).where(F.col("op") != CUSTOM).select("key", F.struct("key", *ORDER, "op", "policy", "accepts", *sets, *adds).alias("change"))
+    floats = [n for n, (kind, _) in fields.items() if kind in ("float", "double")]  # as text where pandas takes NaN for a null
+    kinds = {n: "string" if n in floats else kind for n, (kind, _) in fields.items()}
+    schema = f"found struct<key: {plan.key_type}, exists: boolean, {', '.join(f'`{n}`: {k}' for n, k in kinds.items())}>"
+    stored = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    plan_rules = ProjectionPlan(plan.name, plan.key_type, plan.fields, (), (), plan.registry)  # no columns go to the tasks
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row = None
         if state.exists:
             there, *values = state.get
-            row = dict(zip(fields, values, strict=True)) if there else None
-        for op in pd.concat(list(batches)).sort_values(ORDER).to_dict("records"):
-            row = apply_op(plan_rules, row, {k: clean(v) for k, v in op.items()})
-        values = [None if row is None else row[n] for n in fields]
+            row = {n: float(v) if n in floats and v is not None else v for n, v in zip(fields, values, strict=True)} if there else None
+        changes = [x if isinstance(x, dict) else x.asDict() for batch in batches for x in batch["change"]]
+        for op in sorted(changes, key=lambda op: tuple(op[c] for c in ORDER)):
+            row = apply_op(plan_rules, row, op)
+        values = [None if row is None or row[n] is None else repr(float(row[n])) if n in floats else row[n] for n in fields]
         state.update((row is not None, *values))
-        yield pd.DataFrame([(key[0], row is not None, *values)], columns=["key", "exists", *fields])
+        yield pd.DataFrame({"found": [{"key": changes[0]["key"], "exists": row is not None, **dict(zip(fields, values, strict=True))}]})
 
-    plan_rules = ProjectionPlan(plan.name, plan.key_type, plan.fields, (), (), plan.registry)  # no columns go to the tasks
-    return ops.groupBy("key").applyInPandasWithState(fold, f"key {plan.key_type}, exists boolean, {columns}", f"exists boolean, {columns}", "update", GroupStateTimeout.NoTimeout)
+    return ops.groupBy("key").applyInPandasWithState(fold, schema, f"exists boolean, {stored}", "update", GroupStateTimeout.NoTimeout).select(
+        "found.key", "found.exists", *(F.col(f"found.{n}").cast(kind).alias(n) for n, (kind, _) in fields.items())
+    )

@@ -202,3 +202,40 @@ def test_empty_log(spark):
     m.map("Added").as_create_of(KEY).using(**CATEGORY)
     assert state(m.build(), log(spark, []).limit(0)) == {}
     assert fold.ORDER[0] == "checkpoint" and datetime
+
+
+def test_foreign_errors_are_wrapped(spark):
+    rows = log(spark, [("Discontinued", "a", None, None), ("Discontinued", "b", None, None)])
+    m, parent = EventMapBuilder("inner"), EventMapBuilder("outer")
+    m.map("Discontinued").as_action("fails")
+    parent.map("Discontinued").as_action("fine")
+
+    def fails(events):
+        raise OSError("disk")
+
+    with pytest.raises(ProjectionError, match="failed to project") as e:
+        Projector(parent.build(), [Projector(m.build(), actions={"fails": fails})]).project(rows)
+    assert isinstance(e.value.__cause__, OSError) and (e.value.projector, e.value.child, e.value.batch) == ("outer", "inner", (1, 2))
+    e.value.transaction_id = "7"
+    e.value.transaction_id = "7"
+    for name in ("transaction_id", "projector", "batch"):
+        with pytest.raises(RuntimeError, match="already set"):
+            setattr(e.value, name, "other")
+
+
+def test_every_named_action_is_served(spark):
+    m = EventMapBuilder("actions")
+    m.map("Discontinued").as_action("archive")
+    with pytest.raises(ValueError, match="archive"):
+        Projector(m.build(), actions={"other": print})
+
+
+def test_general_fold_keeps_nulls_and_large_numbers(spark):
+    big = (1 << 60) + 1
+    rows = [(k, n, 0, 0, v) for n, (k, v) in enumerate([(big, 1), (None, None), (big, None), (None, big), (big - 1, 5)])]
+    ops = spark.createDataFrame(rows, "key long, checkpoint long, event_seq int, rule_seq int, v long").repartition(2)
+    found = fold.fold_rows(ops, lambda row, op: {"vs": [*(row or {"vs": []})["vs"], op["v"]]}, "key long, vs array<long>")
+    assert {r.key: r.vs for r in found.collect()} == {big: [1, None], None: [None, big], big - 1: [5]}
+    nan = float("nan")
+    floats = spark.createDataFrame([(x, n, 0, 0) for n, x in enumerate([nan, 1.0, nan, None])], "key double, checkpoint long, event_seq int, rule_seq int")
+    assert sorted(r.n for r in fold.fold_rows(floats, lambda row, op: {"n": (row or {"n": 0})["n"] + 1}, "key double, n int").collect()) == [1, 1, 2]

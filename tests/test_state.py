@@ -39,3 +39,17 @@ def test_state_matches_the_batch_fold(spark, tmp_path):
     assert not has_subscription(spark, "state")
     want = {r.key: (r["last"], r.total, r.n) for r in Projector(plan()).project(store.read()).state.collect()}
     assert {k: v for k, v in seen.items() if v is not None} == want
+
+
+def test_large_numbers_nulls_and_nan(spark, tmp_path):
+    store = logs.LogStore(spark, str(tmp_path / "log"))
+    m = EventMapBuilder("values", "bigint", {"n": "bigint", "x": "double", "sum": ("bigint", "sum")})
+    big = 1 << 60
+    key = F.when(F.col("stream_id") != "none", F.col("stream_id").cast("long") + big)
+    m.map("set").as_create_of(lambda e, c: key).overwriting_duplicates().adding({"n": F.when(F.col("checkpoint") % 2 == 1, F.col("checkpoint") + big), "x": F.when(F.col("checkpoint") != 3, F.lit(float("nan")))}, sum=F.lit(big))
+    store.write(*(logs.Transaction([("set", {})], stream_id=s) for s in ("1", "none", "3", "1")))
+    found = {}
+    query = stateful(m.build(), store.stream()).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+    query.foreachBatch(lambda batch, _: found.update({r.key: (r.n, r.x, r["sum"]) for r in batch.collect()})).start().awaitTermination()
+    assert set(found) == {big + 1, None, big + 3}
+    assert found[big + 3] == (big + 3, None, big) and found[big + 1][0] is None and found[big + 1][1] != found[big + 1][1] and found[big + 1][2] == 2 * big and found[None][0] is None
