@@ -13,6 +13,7 @@ question. The threshold is a share of the item's own score, or less where a part
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -27,8 +28,10 @@ from foldspark.llm.common import cut, sized
 from foldspark.llm.words import U, batches_of_words, mix
 
 K1, B = 1.2, 0.75
-#: Postings of a block; items of one shared index (a larger benchmark is handled in several passes).
-BLOCK, ITEMS = 16, 2048
+#: Postings of a block; items and words of one index (about, or one item), and indexes that one pass over the documents holds.
+BLOCK, ITEMS, WORDS, INDEXES = 16, 2048, 1 << 18, 8
+#: Words up to which items share the first class of lengths; each further class has items up to four times as long.
+SHORT = 128
 #: Retrieved: share of the item's own score. Verified: share of a part's words left by the fewest edits that make it a run of the text's words, or of its 5-grams found, and distinct 5-grams that a part needs to count alone.
 RETRIEVE, OVERLAP, ALONE = 0.6, 0.8, 8
 GRAM = 5
@@ -84,34 +87,38 @@ class Index:
         parts = [(i, *question_answer(t or "")) for i, t in items]
         words = [[self._words(p) for p in (q, a)] for _, q, a in parts]
         keep = [n for n, (q, a) in enumerate(words) if len(q) + len(a)]
-        keep.sort(key=lambda n: sum(map(len, words[n])))  # a block's items are about as long, so its maxima are tight
-        self.ids = [parts[n][0] for n in keep]
-        self.parts = [words[n] for n in keep]
-        self.long = [[len(np.unique(_grams(p))) >= ALONE for p in words[n]] for n in keep]
-        every = [np.concatenate(words[n]) for n in keep]
-        self.length = np.array([len(w) for w in every], dtype=np.int64)
-        mean = self.length.mean() if len(every) else 1.0
-        counts = [Counter(w.tolist()) for w in every]
-        df = Counter(t for c in counts for t in c)
-        rows, least = [], []
-        for d, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(every[d]) / mean)
+        every = {n: np.concatenate(words[n]) for n in keep}
+        long = {n: [len(np.unique(_grams(p))) >= ALONE for p in words[n]] for n in keep}
+        mean = sum(map(len, every.values())) / len(every) if every else 1.0
+        counts = {n: Counter(w.tolist()) for n, w in every.items()}
+        df = Counter(t for c in counts.values() for t in c)
+        impacts, least = {}, {}
+        for n, c in counts.items():
+            norm = K1 * (1 - B + B * len(every[n]) / mean)
             own = {t: math.log(1 + (len(every) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()}
             # impacts as shares of what the item needs: a score of 1 retrieves, whatever the item
-            rows += [(t, d, x / (RETRIEVE * sum(own.values()))) for t, x in own.items()]
-            enough = [every[d], *(p for p, long in zip(self.parts[d], self.long[d], strict=True) if long)]
-            least.append(min(1.0, *((sum(own[t] for t in set(p.tolist())) - _lost(p, own)) / (RETRIEVE * sum(own.values())) for p in enough)))
+            need = RETRIEVE * sum(own.values())
+            impacts[n] = {t: x / need for t, x in own.items()}
+            enough = [every[n], *(p for p, alone in zip(words[n], long[n], strict=True) if alone)]
+            least[n] = min(1.0, *((sum(own[t] for t in set(p.tolist())) - _lost(p, own)) / need for p in enough))
+        keep.sort(key=lambda n: (least[n], len(every[n])))  # a block's items need about as much, so that one item's need does not open it for all
+        self.ids = [parts[n][0] for n in keep]
+        self.parts = [words[n] for n in keep]
+        self.long = [long[n] for n in keep]
+        self.length = np.array([len(every[n]) for n in keep], dtype=np.int64)
+        rows = [(t, d, x) for d, n in enumerate(keep) for t, x in impacts[n].items()]
         #: What an item needs of a score: 1, or less where a verified text can have less.
-        self.least = np.array(least)
+        self.least = np.array([least[n] for n in keep])
         self.terms = np.sort(np.array(list(df), dtype=U))
         term = np.searchsorted(self.terms, np.array([r[0] for r in rows], dtype=U))
         item = np.array([r[1] for r in rows], dtype=np.int64)
         impact = np.array([r[2] for r in rows])
-        self.n_blocks = -(-len(every) // BLOCK)
+        self.n_blocks = -(-len(keep) // BLOCK)
         self.most = np.zeros((len(self.terms), self.n_blocks), dtype=np.float32)  # the block maxima, a little above
         np.maximum.at(self.most, (term, item // BLOCK), impact * 1.00001)
         order = np.lexsort((item, term))
-        self.posting_key = (term * self.n_blocks + item // BLOCK)[order]
+        posting = np.bincount(term * self.n_blocks + item // BLOCK, minlength=len(self.terms) * self.n_blocks)
+        self.posting_start = np.concatenate(([0], np.cumsum(posting)))  # of each term and block
         self.posting_item, self.posting_impact = (item % BLOCK)[order], impact[order]
         longest = int(self.length.max(initial=2))
         longest += _spare(longest)  # words may be put in
@@ -165,8 +172,8 @@ class Index:
             pair = np.repeat(np.arange(len(row)), count)
             at = np.repeat(begin[row] - np.cumsum(count) + count, count) + np.arange(count.sum())
             key = term[at] * self.n_blocks + block[pair]
-            low, high = np.searchsorted(self.posting_key, key), np.searchsorted(self.posting_key, key, "right")
-            size = high - low
+            low = self.posting_start[key]
+            size = self.posting_start[key + 1] - low
             post = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
             score = np.bincount(np.repeat(pair, size) * BLOCK + self.posting_item[post], self.posting_impact[post], len(row) * BLOCK)
             for x in np.flatnonzero(score >= need.reshape(-1, BLOCK)[block].ravel() - 1e-9):
@@ -206,44 +213,54 @@ class Index:
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index for every ITEMS items: each is bounded, and together they hold all."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = items.count()
-    for p in range(math.ceil(n / ITEMS)):
-        own = items if n <= ITEMS else items.where(F.pmod(F.xxhash64("item_id"), F.lit(math.ceil(n / ITEMS))) == p)
-        yield Index([(r.item_id, r.text) for r in own.toLocalIterator()])
+    """Indexes that together hold all items, each with items of one class of lengths, so that its passages fit them, and bounded in items and words."""
+    n_words = F.size(F.split(F.trim("text"), r"\s+"))
+    length = F.when(n_words <= SHORT, 0).otherwise(F.ceil(F.log(4.0, n_words / SHORT))).cast("int")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("length", length)
+    for c in items.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum(n_words).alias("words")).orderBy("length").collect():  # a row for each class
+        n = max(math.ceil(c.n / ITEMS), math.ceil(c.words / WORDS))
+        own = items.where(F.col("length") == c.length)
+        for p in range(n):
+            yield Index([(r.item_id, r.text) for r in (own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p)).toLocalIterator()])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, question_overlap, answer_overlap): the items that each whole text holds, once each.
+_FOUND = "doc_id long, text_hash long, item_id long, question_overlap double, answer_overlap double"
 
-    Null and empty texts and items hold and match nothing; repeated rows give repeated results; without items there are none.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for index in _indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``leaks`` with the text's hash: a row is known by its id, which may be null or repeated, and its text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+    out, indexes = docs.sparkSession.createDataFrame([], _FOUND), _indexes(benchmark)
+    while some := list(itertools.islice(indexes, INDEXES)):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                ids, found = batch.column(0).to_pylist(), []
-                for a, b, hashes, n in batches_of_words(batch.column(1)):
-                    found += [(ids[a + i], index.ids[k], q, r) for i, k, q, r in index.leaks(hashes, n)]
+                ids, texts, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+                for a, _, hashes, n in batches_of_words(batch.column(2)):
+                    found += [(ids[a + i], texts[a + i], index.ids[k], q, r) for index in shared.value for i, k, q, r in index.leaks(hashes, n)]
                 if found:
-                    i, k, q, r = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(q, pa.float64()), pa.array(r, pa.float64())], names=["doc_id", "item_id", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+        out = out.unionByName(rows.mapInArrow(find, _FOUND))
+    return out
 
-        found = rows.mapInArrow(find, "doc_id long, item_id long, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, question_overlap double, answer_overlap double")
-    return empty if out is None else out
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, question_overlap, answer_overlap): the items that each whole text holds, once each.
+
+    Null and empty texts and items, of any length, hold and match nothing; null ids stay null; repeated rows and items
+    give repeated results; without documents or items there are none. Other columns are left alone.
+    """
+    return _leaks(docs, benchmark).drop("text_hash")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    found = cut(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(sized(found), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold an item, and no others: a row is known by its id and text."""
+    found = cut(_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
+    return rows.join(sized(found), F.col("doc").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti").select("row.*")
 
 
 def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,26 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(docs, items).count() == 0 and d.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert d.leaks(docs, spark.createDataFrame([(1, " ")], "item_id long, text string")).count() == 0
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    """Null and repeated ids: the row that holds an item goes, a clean one with its id stays; columns named like the operator's are kept."""
+    items, docs, want = fixture()
+    leak = next(t for i, t in docs if i == min(i for i, _ in want))
+    rows = [(None, leak), (None, "clean"), (7, leak), (7, "clean"), (7, "clean"), (8, None)]
+    table = spark.createDataFrame([(*r, 1, "h", "r") for r in rows], "doc_id long, text string, _id int, _hash string, row string")
+    kept = d.drop_leaks(table, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == table.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, "clean"), (7, "clean"), (7, "clean"), (8, None)], key=repr)
+
+
+def test_several_indexes_and_classes_of_lengths(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, sentence(rng, 20) + " " + sentence(rng, 6)) for i in range(40)] + [(100 + i, " ".join(sentence(rng, 30) for _ in range(n))) for i, n in enumerate((6, 7, 40, 41))] + [(None, sentence(rng, 25)), (3, sentence(rng, 25))]
+    docs = [(n, " ".join([sentence(rng, 60), t, sentence(rng, 60)])) for n, (_, t) in enumerate(items)] + [(999, " ".join(sentence(rng, 60) for _ in range(50)))]
+    monkeypatch.setattr(d, "ITEMS", 7)
+    monkeypatch.setattr(d, "INDEXES", 3)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(list(d._indexes(spark.createDataFrame(items, "item_id long, text string")))) > 6
+    found = d.leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in found), key=repr) == sorted(((n, i) for n, (i, _) in enumerate(items)), key=repr)
+    assert d.leaks(table.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0 and d.leaks(table, spark.createDataFrame([], "item_id long, text string")).count() == 0
