@@ -17,48 +17,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Vectors of a chunk, chunks of a share, queries of a block, dimensions accumulated at a time.
-CHUNK, SHARE, QUERY_BLOCK, DIMS = 4096, 2, 1024, 16
+#: Vectors of a chunk, chunks of a share, queries of a block, dimensions accumulated at a time, vectors that give each query its first bound.
+CHUNK, SHARE, QUERY_BLOCK, DIMS, SEEDS = 4096, 4, 1024, 16, 1024
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+_PACKED = "dim int, ids binary, keys binary, m binary"
 
 
 def quantize(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, dim, v): floor(scale * x) of each component, x as double.
+    """(vec_id, dim, v): floor(scale * x) of each component, x as double; whole doubles, of any size.
 
-    Vectors that are null or hold a null or non-finite component, and rows with a null vec_id, take no part. Vectors of different lengths are never compared.
+    Vectors that are null or hold a null or non-finite component, or one that is no longer finite when scaled, and rows
+    with a null vec_id, take no part. Vectors of different lengths are never compared.
     """
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    v = F.transform(F.col("embedding"), lambda x: x.cast("double") * scale)
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & usable)
-        .select("vec_id", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    )
+    # F.floor gives a long; from 2**53 on a double is whole already
+    floor = F.transform("v", lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & usable).select("vec_id", F.size("v").alias("dim"), floor.alias("v"))
 
 
 def _pack(size: int):
-    """Rows (vec_id, dim, v) to chunks of one dimension: ids, and the matrix with a row per dimension."""
+    """Rows (vec_id, key, dim, v) to chunks of one dimension: ids, keys, and the matrix with a row per dimension, of 16-bit numbers where they fit."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, rows = zip(*held.pop(dim), strict=True)
-            m = np.array(rows, dtype=np.float64).reshape(len(ids), dim).T
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())], names=["dim", "ids", "m"])
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        count: dict[int, int] = {}
+
+        def out(dim: int) -> Iterator[pa.RecordBatch]:
+            ids, keys, rows = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+            count.pop(dim)
+            for at in range(0, len(ids), size):
+                m = rows[at : at + size].T
+                narrow = np.abs(m).max(initial=0) < 1 << 15
+                m = np.ascontiguousarray(m, dtype=np.int16 if narrow else np.float64)
+                columns = [pa.array([x[at : at + size].tobytes()], pa.binary()) for x in (ids, keys)]
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *columns, pa.array([m.tobytes()], pa.binary())], names=["dim", "ids", "keys", "m"])
 
         for b in batches:
-            for i, d, v in zip(b.column("vec_id").to_pylist(), b.column("dim").to_pylist(), b.column("v").to_pylist(), strict=True):
-                held.setdefault(d, []).append((i, v))
-                if len(held[d]) >= size or sum(map(len, held.values())) >= 4 * size:
-                    yield out(max(held, key=lambda x: len(held[x])))
+            ids, keys, dims = (b.column(n).to_numpy() for n in ("vec_id", "key", "dim"))
+            flat, first = b.column("v").flatten().to_numpy(), np.cumsum(dims) - dims
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                held.setdefault(d, []).append((ids[at], keys[at], flat[first[at][:, None] + np.arange(d)]))
+                count[d] = count.get(d, 0) + len(at)
+                if count[d] >= size or sum(count.values()) >= 4 * size:
+                    yield from out(max(count, key=count.get))
         while held:
-            yield out(next(iter(held)))
+            yield from out(next(iter(held)))
 
     return chunks
 
 
 def _matrix(dim: int, ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(m, np.float64).reshape(dim, len(i))
+    return i, np.frombuffer(m, np.int16 if len(m) == 2 * dim * len(i) else np.float64).astype(np.float64).reshape(dim, len(i))
 
 
 def _rest(m: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
@@ -90,48 +102,78 @@ def search_block(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarra
         if exact:
             keep = score >= floor[j]
             ids, score = ids[keep], score[keep].astype(np.int64)
+        else:
+            score = np.array([min(max(x, _LEAST), _MOST) for x in score], dtype=np.int64)
         if len(ids) > k:
-            edge = np.partition(score, len(score) - k)[len(score) - k] if exact else sorted(score)[-k]
-            near = score >= edge
+            near = score >= np.partition(score, len(score) - k)[len(score) - k]
             ids, score = ids[near], score[near]
-        best = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k]
+        best = sorted(range(len(ids)), key=lambda i: (-int(score[i]), ids[i]))[:k]
         yield j, ids[best], score[best]
 
 
+def _seeded(seeds: list[tuple[int, list[float]]], k: int):
+    """Blocks of queries, each with the k-th best score of each query among ``seeds``: what others must reach from the first chunk on."""
+    by: dict[int, list] = {}
+    for i, v in seeds:
+        by.setdefault(len(v), []).append((i, v))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            floors = []
+            for dim, ids, m in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "m")), strict=True):
+                qi, q = _matrix(dim, ids, m)
+                floor = np.full(len(qi), -np.inf)
+                if dim in by:
+                    c = np.array([v for _, v in by[dim]], dtype=np.float64).reshape(len(by[dim]), dim).T
+                    for j, best, score in search_block(qi, q, np.array([i for i, _ in by[dim]], dtype=np.int64), c, k, floor.copy()):
+                        if len(best) == k and abs(int(score[-1])) < 1 << 53:
+                            floor[j] = score[-1]
+                floors.append(floor.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(floors, pa.binary())], names=[*b.schema.names, "floor"])
+
+    return blocks
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query with every other row, ties to the smaller vec_id.
 
-    ``candidates`` and ``queries`` are results of ``quantize``. A row is no candidate for queries with its own vec_id; repeated rows are candidates each.
+    ``candidates`` and ``queries`` are results of ``quantize``. A row is no candidate for queries with its own vec_id;
+    repeated rows are candidates each. Query rows equal in id and vector are one query; different vectors of one id are
+    queries of their own, each with ranks from 1. A score beyond 64 bits counts as the nearest 64-bit number.
     """
-    packed = candidates.mapInArrow(_pack(CHUNK), "dim int, ids binary, m binary")
-    blocks = queries.repartition(max(1, math.ceil(queries.count() / QUERY_BLOCK))).mapInArrow(_pack(QUERY_BLOCK), "dim int, ids binary, m binary")
+    packed = candidates.withColumn("key", F.lit(0).cast("long")).mapInArrow(_pack(CHUNK), _PACKED)
+    queries = queries.dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("v"))
+    blocks = queries.repartition(max(1, math.ceil(queries.count() / QUERY_BLOCK))).mapInArrow(_pack(QUERY_BLOCK), _PACKED)
+    seeds = [(r.vec_id, r.v) for r in candidates.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "v").limit(SEEDS).collect()]
+    blocks = blocks.mapInArrow(_seeded(seeds, k), f"{_PACKED}, floor binary")
     # a set of queries against all rows, in blocks: chunks are dealt over shares, and each share gets every block
     shares = max(1, math.ceil(candidates.count() / (SHARE * CHUNK)))
-    blocks = blocks.select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    pairs = packed.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).join(blocks, ["dim", "share"])
+    blocks = blocks.select("dim", F.col("ids").alias("qids"), F.col("keys").alias("qkeys"), F.col("m").alias("qm"), "floor", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    pairs = packed.drop("keys").withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).join(blocks, ["dim", "share"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}  # the k-th best score so far of a block's queries; the last few blocks
         for b in batches:
-            for dim, ids, m, qids, qm in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "m", "qids", "qm")), strict=True):
-                (ci, c), (qi, q) = _matrix(dim, ids, m), _matrix(dim, qids, qm)
+            for dim, ids, m, qids, qkeys, qm, least in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "m", "qids", "qkeys", "qm", "floor")), strict=True):
+                (ci, c), (qi, q), keys = _matrix(dim, ids, m), _matrix(dim, qids, qm), np.frombuffer(qkeys, np.int64)
                 if len(known) > 64:
                     known.clear()
-                floor = known.setdefault(qids, np.full(len(qi), -np.inf))
+                floor = known.setdefault(qids + qkeys, np.frombuffer(least, np.float64).copy())
                 found = []
                 for j, best, score in search_block(qi, q, ci, c, k, floor):
-                    found.append((np.full(len(best), qi[j]), best, score))
-                    if len(best) == k and score[-1] > floor[j] and abs(int(score[-1])) < 2**53:
+                    found.append((np.full(len(best), qi[j]), np.full(len(best), keys[j]), best, score))
+                    if len(best) == k and score[-1] > floor[j] and abs(int(score[-1])) < 1 << 53:
                         floor[j] = score[-1]
                 cols = [np.concatenate(x) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["query_id", "key", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k)
+    found = pairs.mapInArrow(search, "query_id long, key long, vec_id long, score long")
+    # the bitwise complement turns the order round and, unlike the negative, is there for every long
+    best = F.slice(F.sort_array(F.collect_list(F.struct(F.bitwise_not("score").alias("less"), "vec_id"))), 1, k)
     # two steps: lists of a query are cut to k within 16 salts before they meet
-    salted = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("salt")).agg(best.alias("best"))
-    merged = salted.select("query_id", F.explode("best").alias("b")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("b")), 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
+    salted = found.groupBy("query_id", "key", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("salt")).agg(best.alias("best"))
+    merged = salted.select("query_id", "key", F.explode("best").alias("b")).groupBy("query_id", "key").agg(F.slice(F.sort_array(F.collect_list("b")), 1, k).alias("best"))
+    return merged.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.bitwise_not("b.less").alias("score"))
 
 
 def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:

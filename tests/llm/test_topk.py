@@ -26,13 +26,36 @@ def test_matches_brute_force(spark):
 
 
 def test_beyond_doubles_and_empty(spark):
-    rows = [(0, [3.0e14, 1.0]), (1, [3.0e7, 1.0]), (2, [3.0e7, 2.0]), (50, [1.0, 1.0])]
-    v = topk.quantize(spark.createDataFrame(rows[1:], "vec_id long, embedding array<double>"))
-    found = sorted(tuple(r) for r in topk.top_k(v, v, 2).collect())
-    assert found == brute(rows[1:], lambda q: True, 2)
+    rows = [(0, [3.0e14, 1.0]), (1, [3.0e5, 1.0]), (2, [3.0e5, 2.0]), (3, [-1.0e300, 4.0]), (4, [1.0e16, 0.5]), (5, [1.0e307, 1.0]), (50, [1.0, 1.0]), (51, [1.0, 2.0**-8])]
+    v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = sorted(tuple(r) for r in topk.top_k(v, v, 3).collect())
+    assert {r[0] for r in found} == {0, 1, 2, 3, 4, 50, 51}  # 256 * 1e307 is no double
+    within = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    use = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i != 5]
+    want = []
+    for q, a in use:
+        scored = sorted((-within(sum(x * y for x, y in zip(a, e, strict=True))), i) for i, e in use if i != q)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert found == sorted(want)
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_repeated_queries_and_candidates(spark):
+    rows = [(0, [1.0, 0.0])] * 2 + [(0, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [0.25, 0.5]), (2, [0.25, 0.5])]
+    v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    found = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id = 0"), 2).collect())
+    assert found == sorted([(0, 1, 1, 256 * 128), (0, 2, 2, 256 * 64), (0, 1, 2, 256 * 128), (0, 2, 2, 256 * 128)])
+
+
+def test_every_chunk_is_bounded_by_the_seeds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(topk, "SEEDS", 50)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 32)]) for i in range(600)]
+    v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    found = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect())
+    assert found == brute(rows, lambda q: q % 50 == 0, 5)
+
+
 def test_small_blocks_prune_and_stay_exact():
     rng = np.random.default_rng(1)
     q, c = rng.integers(-99, 99, (64, 9)).astype(float), rng.integers(-99, 99, (64, 500)).astype(float)
