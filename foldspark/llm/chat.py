@@ -2,14 +2,16 @@
 
 A log of conversation events is partitioned by conversation and message, sorted by sequence, and folded: streamed
 deltas append, edits and regenerations replace. The final messages, in order, are rendered by a template whose control
-strings are escaped inside texts, so that the output can be read back. Both folds stream over sorted partitions: a
+strings are escaped inside texts, so that the output can be read back. Both passes stream over sorted partitions: a
 task holds one message, or one turn, at a time, however long a conversation is.
 
-Events: conv_id, seq, kind, message, role, text. Kinds: ``message`` starts a message at its place, ``delta`` appends
-to it, ``edit`` and ``regenerate`` replace its text (a regeneration starts anew, deltas after it append to it),
-``delete`` removes it. ``message`` is the sequence number at which the message began; null means the event's own.
-Events of a message that never began are ignored. A null text is empty, a null role is the empty role, a null kind is
-``message``. Events of one kind with equal sequence numbers run in order of role and text, and each starts a message.
+Events: conv_id, seq, part, kind, message, role, text. (seq, part) is the order of a conversation's events; ``part``
+numbers what came under one seq and may be left out. Kinds: ``message`` starts a message at its place, ``delta``
+appends to it, ``edit`` and ``regenerate`` replace its text (a regeneration starts anew, deltas after it append to it),
+``delete`` removes it. ``message`` tells messages of a conversation apart; null means the event's own seq. Events of a
+message that never began are ignored. A null text is empty, a null role is the empty role, a null kind is ``message``.
+Events of one kind at one place run in order of role and text, and each ``message`` starts a message. Messages that
+began at one seq are turns in order of role and text.
 """
 
 from __future__ import annotations
@@ -62,22 +64,28 @@ _MESSAGE = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("role", p
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation, message, sequence: the final text of each message."""
-    key, role, parts = None, None, None
+    key, place, role, parts = None, None, None, None
     done: list[tuple] = []
 
     def close() -> None:
         if parts is not None:
-            done.append((*key, role, "".join(parts)))
+            done.append((key[0], place, role, "".join(parts)))
 
     for batch in batches:
-        for conv, message, kind, who, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "message", "kind", "role", "text")), strict=True):
+        for conv, message, seq, kind, who, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "message", "seq", "kind", "role", "text")), strict=True):
             if kind == "message" or (conv, message) != key:
                 close()
-                key, role, parts = (conv, message), who, None
+                key, place, role, parts = (conv, message), seq, who, None
             if kind == "message":
                 parts = [text]
-            elif parts is not None:
-                parts = {"delta": lambda: [*parts, text], "edit": lambda: [text], "regenerate": lambda: [text], "delete": lambda: None}.get(kind, lambda: parts)()
+            elif parts is None:
+                continue
+            elif kind == "delta":
+                parts.append(text)
+            elif kind in ("edit", "regenerate"):
+                parts = [text]
+            elif kind == "delete":
+                parts = None
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _MESSAGE.types, strict=True)], schema=_MESSAGE)
             done.clear()
@@ -87,13 +95,20 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def final_messages(events: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text) of each message that the log leaves."""
+    """(conv_id, place, role, text) of each message that the log leaves; its place is the seq at which it began. An empty log leaves none."""
+    seq = F.col("seq").cast("long")
+    part = F.coalesce(F.col("part").cast("long"), F.lit(0)) if "part" in events.columns else F.lit(0).cast("long")
     log = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"),
-        F.coalesce(F.col("message").cast("long"), F.col("seq").cast("long")).alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.col("conv_id").cast("long").alias("conv_id"), seq.alias("seq"), part.alias("part"), F.coalesce("kind", F.lit("message")).alias("kind"),
+        F.coalesce(F.col("message").cast("long"), seq).alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     first = F.when(F.col("kind") == "message", 0).otherwise(1)
-    return log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", first, "role", "text").mapInArrow(_fold, "conv_id long, place long, role string, text string")
+    return log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "part", first, "role", "text").mapInArrow(_fold, "conv_id long, place long, role string, text string")
+
+
+def in_order(messages: DataFrame) -> DataFrame:
+    """Each conversation in one partition, its messages in order."""
+    return messages.select("conv_id", "place", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "place", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -144,21 +159,39 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """A row for each conversation, read back from the formatted turns; rows of a null conv_id are one conversation."""
-    return rendered.select("conv_id", "place", "role", "text", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "place", "role", "text").select("conv_id", "formatted").mapInArrow(_digest, _DIGEST)
+    """A row for each conversation of ``render(in_order(...))``, read back from the formatted turns; rows of a null conv_id are one conversation."""
+    return rendered.select("conv_id", "formatted").mapInArrow(_digest, _DIGEST)
+
 
+#: Code points of a streamed delta.
+DELTA = 256
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """Each row of (conv_id, turn, role, text) as the event that starts a message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("message"), "role", "text")
+
+def as_events(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
+    """The log that leads to rows (conv_id, turn, role, text), null texts as empty ones; repeated rows are messages each.
+
+    An assistant's turn is streamed: a first answer in one delta, its regeneration, and then the text in deltas of
+    ``delta`` code points. Any other turn begins as a draft, which an edit replaces by the text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = F.concat(F.lit("Draft: "), F.substring("text", 1, delta))
+    streamed = F.concat(F.array(event("message", F.lit("")), event("delta", draft), event("regenerate", F.lit(""))), F.transform(pieces, lambda p: event("delta", p)))
+    edited = F.array(event("message", draft), event("edit", F.col("text")))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.monotonically_increasing_id().alias("message"), "role", text.alias("text"))
+    return rows.select("conv_id", "seq", "message", "role", F.posexplode(F.when(F.col("role").eqNullSafe(F.lit("assistant")), streamed).otherwise(edited)).alias("part", "e")).select("conv_id", "seq", "part", "e.kind", "message", "role", "e.text")
 
 
 def op3_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, whose texts hold the template's own control strings."""
+    """All conversations and conversation -7, whose texts hold the template's own control strings, each from its log of events.
+
+    An empty table leaves conversation -7 alone.
+    """
     probe = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return digests(render(final_messages(as_events(rows.unionByName(own)))))
+    return digests(render(in_order(final_messages(as_events(rows.unionByName(own))))))
 
 
 QUERIES = {"op3_chat_events": op3_chat_events}

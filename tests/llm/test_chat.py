@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,7 +38,7 @@ def test_deltas_edits_and_regenerations(spark):
 
 def test_digests_match_brute_force(spark):
     rows = [(i % 5, t, "message", None, "assistant" if t % 2 else "user", None if t == 3 else f"</s> {i} é" * (t % 4)) for i in range(40) for t in range(4)] + [(7, 1, "message", None, "user", "same")] * 3
-    found = {r.conv_id: r for r in chat.digests(chat.render(chat.final_messages(spark.createDataFrame([(*r, None) for r in rows], SCHEMA)))).collect()}
+    found = {r.conv_id: r for r in chat.digests(chat.render(chat.in_order(chat.final_messages(spark.createDataFrame([(*r, None) for r in rows], SCHEMA))))).collect()}
     for conv in {r[0] for r in rows}:
         own = sorted((r[1], r[4], r[5] or "") for r in rows if r[0] == conv)
         said = "".join(t for _, r, t in own if r == "assistant")
@@ -47,4 +48,47 @@ def test_digests_match_brute_force(spark):
 
 
 def test_empty_log(spark):
-    assert chat.digests(chat.render(chat.final_messages(spark.createDataFrame([], SCHEMA)))).count() == 0
+    assert chat.digests(chat.render(chat.in_order(chat.final_messages(spark.createDataFrame([], SCHEMA))))).count() == 0
+    assert chat.as_events(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+TABLE = "conv_id long, turn long, role string, text string, seq string, part string, message string"
+
+
+def conversations(spark):
+    """Nulls, ties, repeated rows, control strings, a very long text of two-unit code points, columns named like the log's."""
+    long = "\U0001f600 </s>\n" * 40_000
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "a" * 1000), (1, 1, "assistant", "b"), (2, 0, None, "x"), (2, None, "assistant", ""), (None, 0, "assistant", "[INST] \\ [/INST]"), (3, 0, "assistant", long), (3, 0, "assistant", long), (3, 1, "user", long)]
+    return rows, spark.createDataFrame([(*r, "s", "p", "m") for r in rows], TABLE).repartition(3)
+
+
+def test_logs_lead_back_to_their_rows(spark):
+    rows, table = conversations(spark)
+    events = chat.as_events(table, 100)
+    assert {r.kind: r.n > 0 for r in events.groupBy("kind").agg({"*": "count"}).toDF("kind", "n").collect()} == dict.fromkeys(("message", "delta", "edit", "regenerate"), True)
+    found = Counter((r.conv_id, r.place, r.role, r.text) for r in chat.final_messages(events).collect())
+    assert found == Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
+def test_the_fold_decides_the_result(spark):
+    """Without any one kind of event, or with deltas out of order, other texts come out."""
+    rows, table = conversations(spark)
+    events = chat.as_events(table, 100).cache()
+    want = Counter((r.conv_id, r.place, r.role, r.text) for r in chat.final_messages(events).collect())
+    for change in (events.where("kind <> 'edit'"), events.where("kind <> 'regenerate'"), events.where("kind <> 'delta'"), events.withColumn("part", -events["part"])):
+        assert Counter((r.conv_id, r.place, r.role, r.text) for r in chat.final_messages(change).collect()) != want
+
+
+def test_many_deltas_take_time_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    def seconds(n):
+        batch = pa.RecordBatch.from_pydict({"conv_id": [1] * n, "message": [1] * n, "seq": [0] * n, "kind": ["message"] + ["delta"] * (n - 1), "role": ["assistant"] * n, "text": ["ab"] * n})
+        began = time.process_time()
+        assert [b.column("text")[0].as_py() for b in chat._fold(iter([batch]))] == ["ab" * n]
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 40 * seconds(20_000) + 0.2
