@@ -2,16 +2,20 @@
 
 The standard library's parser streams events into lines, one for each block of text, each with the number of tags met
 on the way. A line's ratio of text to tags is smoothed with its neighbours'; lines over the threshold (the spread of
-the smoothed ratios) are the content cluster. The content region is the element that holds that cluster: an article
-or main element where the page has one (all articles of the chosen main element, or all if there is none), else the deepest element with most of the cluster's text. All lines of the
-region are kept, short ones too, save those inside elements that are no article text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments).
+the smoothed ratios) are the content cluster. The content region is the deepest element with most of the cluster's
+text. Tags refine it: a region inside an article or main element grows to that element, and one that holds such
+elements with most of its content shrinks to them. Of any other region the cluster sets the bounds: lines before its
+first and after its last content line go, save headings and paragraphs next to it. All lines within the bounds are
+kept, short ones too, save those inside elements that are no article text (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments), known by their tags or by whole names in class, id and role. A name
+never hides a wrapper: an element with nearly all of the text, or with most of it and the page's heading.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,91 +23,155 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements that a region can be, or that can hide what they hold. Others (p, b, h1, ...) need no closing tag.
-_CONTAINERS = frozenset("html body main article section div nav aside header footer form table tbody thead tr td th ul ol dl li blockquote figure dialog menu fieldset template noscript select button iframe svg object video audio canvas math head datalist".split())
+#: Elements that have a place in the tree: regions, and what hides what it holds. Others (p, b, h1, ...) need no closing tag.
+_CONTAINERS = frozenset("html body main article section div nav aside header footer form table tbody thead tr td th ul ol dl li blockquote figure dialog menu fieldset template noscript head datalist".split())
+#: Elements inside a line whose text is none of it.
+_MUTED = frozenset("select button iframe svg object video audio canvas".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 hr pre dt dd figcaption address caption title option legend details summary center".split())
-_NEVER = frozenset("nav aside footer form script style noscript template head title select button iframe svg object video audio canvas math dialog menu fieldset textarea option datalist".split())
+_NEVER = frozenset("nav aside footer form script style noscript template head title dialog menu fieldset textarea option datalist".split()) | _MUTED
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class, id and role that mark an element as no article text.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names in class, id and role that mark an element as no article text, and words that may stand beside one in a name, as in site-header or ad-slot.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr notice notices "
     "alert newsletter subscribe subscription signup paywall popup modal overlay sidebar side widget widgets related recommended recommendations trending share sharing social "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead header topbar toolbar comment comments commentlist disqus respond reply replies "
     "discussion login complementary contentinfo search".split()
 )
+_BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global block box area list section wrap wrapper container inner content bar posts post links link items item text message form button buttons "
+    "google slot unit label media user reader thread the div section region panel column col group icons icon sticky fixed mobile desktop".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NONE = re.compile(r"display\s*:\s*none")
 #: Start tags that can stand in a head; any other one ends it.
 _HEAD = frozenset("head title base link meta style script noscript template".split())
 SIGMA, SHARE = 1.0, 0.6
+#: Shares of all text with which an element is a wrapper, whatever its name: alone, and with the page's heading in it.
+WRAPS, WRAPS_HEADING = 0.9, 0.5
+
+
+def marks(attrs: dict[str, str]) -> set[str]:
+    """The marks among the names in class, id and role. A compound name counts if each of its words is a mark or may stand beside one."""
+    found: set[str] = set()
+    for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split():
+        words = {w for w in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if w and not w.isdigit()}
+        if all(w in _MARKS or w in _BESIDE for w in words):
+            found |= words & _MARKS
+    return found
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, the containers around it as numbers, hidden)."""
+    """Collects lines (text, tags, container, block's tag, hidden by it, characters in links) and the tree of containers; a container's number is over its parent's."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, hidden here or above
-        self.names: list[str] = []
+        self.lines: list[tuple[str, int, int, str, bool, int]] = []
+        self.names, self.parents, self.hidden, self.marked, self.headed = [""], [-1], [False], [set()], [False]
+        self.stack = [0]
+        self.open: Counter = Counter()  # how many of each tag are on the stack
         self.skip: str | None = None  # inside an element without a container's place, such as script
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.linked = 0
+        self.block, self.gone = "", False
 
-    def _break(self) -> None:
+    def _break(self, block: str = "", gone: bool = False) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((text, self.tags, self.stack[-1], self.block, self.gone, self.linked))
             self.tags = 0
         self.parts.clear()
+        self.linked, self.block, self.gone = 0, block, gone
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag == "br":
+        if tag == "br" and not self._muted():
             self.parts.append(" ")
+        if tag == "a":
+            self.links = 1
         if tag in _VOID and tag != "hr":
             return
-        if tag in _BLOCKS:
+        if tag not in _HEAD and self.open["head"]:
             self._break()
-        if tag not in _HEAD and any(t == "head" for t, _, _ in self.stack):
             self._close("head")
         if self.skip == "option" and tag in _CONTAINERS:
             self.skip = None
-        if tag in _CONTAINERS:
-            self.stack.append((tag, len(self.names), self._hides(tag, attrs) or bool(self.stack) and self.stack[-1][2]))
+        own = {k: v or "" for k, v in attrs}
+        unseen = "hidden" in own or own.get("aria-hidden") == "true" or bool(_NONE.search(own.get("style", "")))
+        if tag in _BLOCKS:
+            self._break(tag, tag not in _CONTAINERS and (unseen or tag not in _HEADINGS and bool(marks(own))))
+        if tag in ("h1", "main", "article"):
+            self.headed[self.stack[-1]] = True
+        if tag in _CONTAINERS or tag in _MUTED:
+            inner = self.open["article"] or self.open["main"]  # a header in there is the article's own
+            never = tag in _NEVER or tag == "header" and not inner
+            free = tag in ("html", "body", "main", "article")
             self.names.append(tag)
+            self.parents.append(self.stack[-1])
+            self.hidden.append(never or unseen and not free)
+            self.marked.append(set() if free else marks(own) - {"header"} if inner else marks(own))
+            self.headed.append(tag in ("main", "article"))
+            self.stack.append(len(self.names) - 1)
+            self.open[tag] += 1
         elif tag in _NEVER:
             self.skip = self.skip or tag
 
-    def _hides(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _NEVER or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
-            return True
-        if tag in ("html", "body", "main", "article"):
-            return False
-        own = {k: v or "" for k, v in attrs}
-        if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
-            return True
-        words = set(_SPLIT.split(_CAMEL.sub(" ", " ".join(own.get(k, "") for k in ("class", "id", "role"))).lower()))
-        return bool(words & _MARKS)
-
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.links = 0
         if tag == self.skip:
             self.skip = None
         if tag in _BLOCKS:
             self._break()
-        if tag in _CONTAINERS and any(t == tag for t, _, _ in self.stack):
+        if self.open[tag]:
             if self.skip == "option":  # its end tag may be left out: it ends with what holds it
                 self.skip = None
             self._close(tag)
 
     def _close(self, tag: str) -> None:
-        while self.stack.pop()[0] != tag:
-            pass
+        while True:
+            closed = self.names[self.stack.pop()]
+            self.open[closed] -= 1
+            if closed == tag:
+                return
+
+    def _muted(self) -> bool:
+        return self.names[self.stack[-1]] in _MUTED
 
     def handle_data(self, data: str) -> None:
-        if self.skip is None:
+        if self.skip is None and not self._muted():
             self.parts.append(data)
+            self.linked += self.links * len(data)
+
+
+def _sums(parents: list[int], at: list[int], values: list[int]) -> list[int]:
+    """For each container what lies in it at any depth: ``values`` of lines in containers ``at``."""
+    out = [0] * len(parents)
+    for n, v in zip(at, values, strict=True):
+        out[n] += v
+    for n in range(len(parents) - 1, 0, -1):
+        out[parents[n]] += out[n]
+    return out
+
+
+def _hide(page: _Lines) -> list[bool]:
+    """Which containers are hidden, by their tags, by their names, or by one around them."""
+    parents, headed = page.parents, list(page.headed)
+    hidden = list(page.hidden)
+    for n in range(1, len(parents)):
+        hidden[n] = hidden[n] or hidden[parents[n]]
+    shown = [x for x in page.lines if not hidden[x[2]] and not x[4]]
+    held = _sums(parents, [x[2] for x in shown], [len(x[0]) for x in shown])
+    for n in range(len(parents) - 1, 0, -1):
+        headed[parents[n]] = headed[parents[n]] or headed[n]
+    for n in range(1, len(parents)):
+        share = held[n] / max(1, held[0])
+        wraps = headed[n] and share == 1 if page.marked[n] & _COMMENTS else share >= WRAPS or headed[n] and share > WRAPS_HEADING
+        hidden[n] = hidden[n] or hidden[parents[n]] or bool(page.marked[n]) and not wraps
+    return hidden
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -125,42 +193,85 @@ def content_lines(ratios: list[float]) -> list[bool]:
     return [x >= spread for x in s]
 
 
+def _region(page: _Lines, held: list[int]) -> int:
+    """The deepest container with most of the content; lists' and tables' parts are no regions."""
+    inside: dict[int, int] = {}
+    for n in range(1, len(held)):
+        if held[n] >= SHARE * held[0]:  # of one parent's children only one can have it
+            inside[page.parents[n]] = n
+    found = n = 0
+    while n in inside:
+        n = inside[n]
+        if page.names[n] not in ("tr", "tbody", "li"):
+            found = n
+    return found
+
+
+def _refined(page: _Lines, held: list[int], region: int) -> set[int]:
+    """The article or main elements that the region stands for, if any."""
+    names, parents = page.names, page.parents
+    outer, n = 0, region
+    while n > 0:
+        if names[n] in ("article", "main"):
+            outer = n
+        n = parents[n]
+    if outer:
+        region = parents[outer]  # other articles beside it belong to the page's text too
+        while region > 0 and names[region] not in ("body", "html"):
+            region = parents[region]
+    within, in_article, around = [n == region for n in range(len(names))], [False] * len(names), [0] * len(names)
+    for n in range(1, len(names)):
+        p = parents[n]
+        within[n] = within[n] or within[p]
+        in_article[n] = in_article[p] or names[p] == "article"
+        around[n] = p if names[p] == "main" else around[p]  # the main element around it
+    tops = [n for n in range(1, len(names)) if within[n] and held[n] and names[n] in ("article", "main") and not in_article[n]]
+    mains = [n for n in tops if names[n] == "main"]
+    main = max(mains, key=lambda n: (held[n], -n), default=None)
+    inside = [n for n in tops if names[n] == "article" and main is not None and around[n] == main]
+    outside = [n for n in tops if names[n] == "article" and not around[n]]
+    if main is not None and held[main] >= sum(held[n] for n in outside):
+        return set(inside if inside and sum(held[n] for n in inside) >= SHARE * held[main] else [main])
+    articles = outside or [n for n in tops if names[n] == "article"]
+    return set(articles) if sum(held[n] for n in articles) >= SHARE * held[region] else set()
+
+
 def extract(html: str | None) -> str:
-    """The article's text: blocks in page order, joined by a line feed; empty if there is none."""
+    """The article's text: blocks in page order, joined by a line feed; empty if there is none. Time and memory are in proportion to the page, however deep it is."""
     page = _Lines()
     page.feed(html or "")
     page.close()
     page._break()
-    lines = [x for x in page.lines if not x[3]]
+    hidden = _hide(page)
+    lines = [x for x in page.lines if not hidden[x[2]] and not x[4]]
     if not lines:
         return ""
-    content = content_lines([len(t) / max(1, n) for t, n, _, _ in lines])
-    held: dict[int, int] = {}
-    for (text, _, path, _), good in zip(lines, content, strict=True):
-        for n in path:
-            held[n] = held.get(n, 0) + (len(text) if good else 0)
-    # the main element with most content, or the articles outside of any; of those inside it the outermost are kept where they hold most of its content
-    paths = {n: path[: path.index(n)] for _, _, path, _ in lines for n in path}
-    named = [n for n in held if page.names[n] in ("article", "main")]
-    tops = [n for n in named if not any(page.names[m] == "article" for m in paths[n])]
-    mains = [n for n in tops if page.names[n] == "main"]
-    main = max(mains, key=lambda n: (held[n], -n), default=None)
-    articles = [n for n in tops if page.names[n] == "article"]
-    inside = [n for n in articles if main is not None and main in paths[n]]
-    outside = [n for n in articles if not any(m in paths[n] for m in mains)]
-    if main is not None and held[main] >= sum(held[n] for n in outside):
-        regions = set(inside if inside and sum(held[n] for n in inside) >= SHARE * held[main] else [main])
-    elif articles:
-        regions = set(outside or articles)
-    else:
-        total = sum(len(t) for (t, _, _, _), good in zip(lines, content, strict=True) if good)
-        region = max((n for n in held if held[n] >= SHARE * total and page.names[n] not in ("tr", "tbody", "li")), default=None)
-        regions = set() if region is None else {region}
-    return "\n".join(t for t, _, path, _ in lines if not regions or not regions.isdisjoint(path))
+    content = content_lines([len(x[0]) / max(1, x[1]) for x in lines])
+    held = _sums(page.parents, [x[2] for x in lines], [len(x[0]) * good for x, good in zip(lines, content, strict=True)])
+    region = _region(page, held)
+    regions = _refined(page, held, region) or {region}
+    inside = [n in regions for n in range(len(page.names))]
+    for n in range(1, len(inside)):
+        inside[n] = inside[n] or inside[page.parents[n]]
+    kept = [n for n, x in enumerate(lines) if inside[x[2]]]
+    if not any(page.names[n] in ("article", "main") for n in regions):
+        good = [i for i, n in enumerate(kept) if content[n]]
+        plain = lambda x: 2 * x[5] < len(x[0]) and (x[3] == "p" or x[3] in _HEADINGS)
+        first, last = (good[0], good[-1]) if good else (0, len(kept) - 1)
+        while first > 0 and plain(lines[kept[first - 1]]):
+            first -= 1
+        while last < len(kept) - 1 and plain(lines[kept[last + 1]]):
+            last += 1
+        kept = kept[first : last + 1]
+    return "\n".join(lines[n][0] for n in kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row, from its whole html; a null html gives an empty text."""
+    """(page_id, url, text, n_chars) of each row, from its whole html, of any length and depth.
+
+    A null or empty html, or one without article text, gives an empty text; a null page_id or url stays null; repeated
+    rows give repeated results, other columns are left alone, and an empty table gives an empty result.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +285,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def op6_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

@@ -1,3 +1,9 @@
+import re
+import time
+
+import pyarrow.parquet as pq
+
+from foldspark.llm import html
 from foldspark.llm.html import content_lines, extract, extract_pages, smooth
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -48,6 +54,62 @@ def test_smoothing_and_threshold():
     assert good[2] and good[3] and good[4] and not good[-1]
 
 
+LONG = ("A long paragraph of text, and more of it. " * 6).strip()
+BARE = (
+    "<body><div><h2><a href=/>The paper</a></h2>" + "".join(f"<div><a href=/{i}>A link to story number {i}</a></div>" for i in range(40)) + "</div>"
+    f"<div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>" + "".join(f"<div><a href=/{i}>Read {i}</a></div>" for i in range(10)) + "</div></body>"
+)
+
+
+def test_the_clusters_choose_the_region(monkeypatch):
+    """Links that hold more text than the article: only ratios tell them apart."""
+    want = f"Title\n{LONG}\nShort.\n{LONG}"
+    assert extract(BARE) == want
+    for other in (lambda r: [True] * len(r), lambda r: [n % 2 == 0 for n in range(len(r))], lambda r: [not x for x in content_lines(r)]):
+        monkeypatch.setattr(html, "content_lines", other)
+        assert extract(BARE) != want
+        monkeypatch.setattr(html, "content_lines", content_lines)
+
+
+def test_the_clusters_bound_a_region_without_an_element_of_its_own(monkeypatch):
+    page = "<body>" + "".join(f"<div><a href=/{i}>Go {i}</a></div>" for i in range(9)) + f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>End.</p>" + "".join(f"<div><a href=/{i}>To {i}</a></div>" for i in range(9))
+    want = f"Title\n{LONG}\nShort.\n{LONG}\nEnd."
+    assert extract(page) == want
+    monkeypatch.setattr(html, "content_lines", lambda r: [True] * len(r))
+    assert extract(page) != want
+
+
+def test_pages_need_no_article_element():
+    """The method alone against the tags: the same texts with every article and main element renamed, and nearly all of them without any tag or class that marks a part."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    want = [extract(p) for p in pages]
+    assert [extract(re.sub(r"<(/?)(article|main)\b", r"<\1div", p)) for p in pages] == want
+    bare = [extract(re.sub(r"<(/?)(article|main|nav|footer|aside|header)\b", r"<\1div", p).replace(' class="ad"', "")) for p in pages]
+    assert sum(a == b for a, b in zip(want, bare, strict=True)) >= 0.97 * len(pages)
+
+
+def test_names_hide_parts_and_never_wrappers():
+    assert extract(f'<body><div class="layout has-sidebar"><p>{LONG}<div class="sidebar">Side</div><p>{LONG}</div>') == f"{LONG}\n{LONG}"
+    assert extract(f'<body class="with-ads"><div class="ads"><h1>T</h1><p>{LONG}</div>') == f"T\n{LONG}"
+    assert extract(f'<article><div class="article-header"><h1>Title</h1></div><div class="header"><p>By me</div><p>{LONG}</article>') == f"Title\nBy me\n{LONG}"
+    assert extract(f'<article><p>{LONG}<p class="advert">Buy<p>More.<div class="siteFooter">x</div><div id="cookie-notice">x</div><div class="ad-slot-3">x</div></article>') == f"{LONG}\nMore."
+    comments = "".join(f'<article class="comment"><p>{LONG} {i}</article>' for i in range(9))
+    assert extract(f'<body><article><h1>T</h1><p>{LONG}</article><div class="comments">{comments}</div>') == f"T\n{LONG}"
+    assert extract(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo></math>1, <button>Like</button>so.<svg><text>no</text></svg></article>") == f"{LONG} x=1, so."
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(page):
+        began = time.process_time()
+        extract(page)
+        return time.process_time() - began
+
+    for tag in ("article", "main"):
+        assert extract(f"<{tag}>x" * 100_000) == "\n".join("x" * 100_000)
+    small, large = (max(seconds("<div>x" * n + "</section>" * n + "</div>" * n) for _ in range(2)) for n in (10_000, 80_000))
+    assert large < 24 * small + 0.5
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "c"), (1, "u", PAGE, "c"), (2, None, None, None)]
     found = sorted(tuple(r) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).na.fill("-").collect())
