@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm.common import cut
+from foldspark.llm.common import cut, scratch
 from foldspark.llm.decontaminate import drop_leaks
 from foldspark.llm.packing import pack_documents
 from foldspark.llm.quality import keep_good
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the places of the pieces of what they keep. An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage cut on its way goes once its result is written
+            docs = cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
