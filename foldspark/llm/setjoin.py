@@ -6,9 +6,10 @@ groups that one of them must hold at most one of k differences; then two of its
 signature that enumerates those two is shared. No similar pair is missed, whatever the data.
 
 Sets that share a signature form a bucket. A bucket is not expanded into pairs: each member is held against the
-bucket's smallest set (one row per member), and links found so become components. Where members of a bucket are still
-in different components, they are joined exactly by their rarest shingles with positions (no similar pair of sets can
-lack a shared shingle there), and again every candidate is verified on whole sets.
+bucket's PIVOTS smallest sets, and links found so become components. Where members of a bucket are still in different
+components, they are joined exactly by their rarest shingles with positions (no similar pair of sets can lack a shared
+shingle there) and by parities of their elements, which bound how far two sets are apart before anything of theirs is
+fetched; again every candidate is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +28,10 @@ from foldspark.llm.components import components
 from foldspark.llm.words import U, batches_of_words, mix, shingles
 
 
+#: Sets of a bucket that its other members are held against.
+PIVOTS = 2
+
+
 class PartEnum:
     """Signatures for Jaccard similarity num/den."""
 
@@ -101,18 +106,23 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, shingles(hashes[n[i - a] : n[i - a + 1]], k)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): what tells rows apart is both the id, which may be null or repeated, and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of each row; equal sets have equal ids (64-bit digests), rows without words have none."""
+    """(doc_id, text_hash, n_shingles, set_id) of each row; equal sets have equal ids (64-bit digests), rows without words have none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids = [0] * batch.num_rows, [None] * batch.num_rows
-            for i, s in _sets(batch.column(1), k):
+            for i, s in _sets(batch.column(2), k):
                 if len(s):
                     n[i], ids[i] = len(s), _set_id(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, set_id long")
+    return _rows(docs).mapInArrow(rows, "doc_id long, text_hash long, n_shingles long, set_id long")
 
 
 def _signature_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -144,49 +154,84 @@ def _two(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, set_id): each bucket's smallest set beside each other member. One signature is kept between batches."""
-    sig = pivot = last = None
+    """Rows sorted by (sig, set_id): each bucket's PIVOTS smallest sets beside each larger member. One bucket's pivots are kept between batches."""
+    sig, pivots, last = None, np.zeros(0, np.int64), None
     for batch in batches:
         if not batch.num_rows:
             continue
         s, i = (batch.column(n).to_numpy() for n in ("sig", "set_id"))
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = s[1:] != s[:-1]
-        repeated = np.zeros(len(s), dtype=bool)
-        repeated[1:] = ~new[1:] & (i[1:] == i[:-1])
-        if sig is not None and s[0] == sig:
-            new[0], repeated[0] = False, i[0] == last
-        at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-        first = np.where(at >= 0, i[np.maximum(at, 0)], pivot if pivot is not None else 0)
-        keep = ~new & ~repeated
-        sig, pivot, last = s[-1], first[-1], i[-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(first[keep]), pa.array(i[keep])], names=["bucket", "a", "b"])
+        own = np.ones(len(s), dtype=bool)  # a set that several tasks have seen comes again
+        own[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
+        own[0] = last != (s[0], i[0])
+        last, s, i = (s[-1], i[-1]), s[own], i[own]
+        if not len(s):
+            continue
+        old = len(pivots) if s[0] == sig else 0
+        s, i = np.concatenate((np.full(old, s[0]), s)), np.concatenate((pivots[:old], i))
+        at = np.arange(len(s))
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        sig, pivots = s[-1], i[first[-1] : first[-1] + PIVOTS]
+        rows = [np.flatnonzero((at >= old) & (at - first > p)) for p in range(PIVOTS)]
+        if len(rows[0]):
+            a = np.concatenate([i[first[r] + p] for p, r in enumerate(rows)])
+            r = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(s[r]), pa.array(a), pa.array(i[r])], names=["bucket", "a", "b"])
 
 
 def stars(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(bucket, a, b): a is the bucket's smallest set, b each other one."""
+    """(bucket, a, b): a is one of the bucket's PIVOTS smallest sets, b each larger one."""
     return _signature_rows(docs, k, num, den).repartition("sig").sortWithinPartitions("sig", "set_id").mapInArrow(_stars, "bucket long, a long, b long")
 
 
+def parity(e: np.ndarray) -> np.ndarray:
+    """Which of 512 to 4096 bits, more for larger sets, an odd number of elements fall on, as 64-bit words.
+
+    Elements that two sets share cancel out, so their parities differ in no more bits than the sets do in elements. The
+    longer of two parities folds to the length of the shorter by the exclusive or of its halves.
+    """
+    words = 8
+    while words < 64 and words * 64 < len(e):
+        words *= 2
+    odd = np.bincount((mix(e + U(11)) % U(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two parities differ."""
+
+    def folded(p: Column) -> Column:
+        half = F.least(F.size(x), F.size(y))
+        return F.when(F.size(p) > half, F.zip_with(F.slice(p, 1, half), F.slice(p, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(p)
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, m: n + m)
+
+
+def _can_be_similar(x: str, y: str, num: int, den: int) -> Column:
+    """What the sizes n<x>, n<y> and the parities bits<x>, bits<y> of two sets leave open: similar sets are no more than a share of both apart."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    return (nx * den >= ny * num) & (ny * den >= nx * num) & (_apart(F.col(f"bits{x}"), F.col(f"bits{y}")) * (num + den) <= (nx + ny) * (den - num))
+
+
 def elements(docs: DataFrame, table: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, elements): the shingles of each set in ``ids``, worked out from one document that has it."""
-    wanted = cut(table.join(sized(ids.withColumnRenamed("id", "set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "join-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
+    """(id, n, bits, elements): the shingles of each set in ``ids``, and their parities, worked out from one document that has it."""
+    one = table.join(sized(ids.withColumnRenamed("id", "set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    wanted = cut(one.select("r.*").distinct(), "join-wanted")
+    texts = _rows(docs).join(sized(wanted.toDF("_id", "_hash")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = [(_set_id(s), len(s), s.tobytes()) for _, s in _sets(batch.column(0).slice(at, 256), k) if len(s)]
+                found = [(_set_id(s), len(s), parity(s), s.tobytes()) for _, s in _sets(batch.column(0).slice(at, 256), k) if len(s)]
                 if found:
-                    i, n, e = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(e, pa.binary())], names=["id", "n", "elements"])
+                    i, n, bits, e = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(e, pa.binary())], names=["id", "n", "bits", "elements"])
 
-    return texts.mapInArrow(rows, "id long, n long, elements binary").dropDuplicates(["id"])
+    return texts.mapInArrow(rows, "id long, n long, bits array<long>, elements binary").dropDuplicates(["id"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * intersection >= num * union."""
+    """The pairs (a, b) with den * intersection >= num * union. Only for pairs that sizes and parities leave open are elements fetched."""
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
 
@@ -204,14 +249,18 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             if out.num_rows:
                 yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long")
+    x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    close = pairs.join(x, "a").join(y, "b").where(_can_be_similar("a", "b", num, den)).select("a", "b")
+    return close.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long")
 
 
 def contested_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of ``sets`` in different components that can be similar by their rarest shingles and their places.
+    """(a, b): all pairs of ``sets`` in different components that can be similar by their rarest shingles, their places and their parities.
 
     Shingles are ordered by how many of ``sets`` hold them. Similar sets share one of their first n - ceil(n * num / den) + 1;
-    shingles that one set alone holds take places but need no row.
+    shingles that one set alone holds take places but need no row. At each shingle only sets outside its commonest
+    component are held against others, and the join gives out only pairs whose parities differ in no more bits than
+    similar sets can in elements: in a group of near copies that are not similar, hardly any.
     """
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,26 +272,29 @@ def contested_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> D
                     n = part.column("n").to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)), pa.array(np.repeat(part.column("id").to_numpy(), n)), pa.array(np.repeat(n, n))], names=["e", "id", "n"])
 
-    held = sets.select("id", "n", "elements").mapInArrow(unfold, "e long, id long, n long").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("e"))).where("c > 1")
+    # shingles that many sets hold are met by aggregates and joins, which Spark splits, not by windows
+    every = sets.select("id", "n", "elements").mapInArrow(unfold, "e long, id long, n long")
+    held = every.join(every.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "e")
     own = Window.partitionBy("id")
     placed = held.withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "e")) - 1)
     first = placed.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("e", "id", "n", "at")
     rows = cut(first.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "join-prefixes")
-    x, y = (rows.select("e", *(F.col(c).alias(c + s) for c in ("id", "n", "at", "root"))) for s in "xy")
+    roots = rows.groupBy("e", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("e").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    rows = rows.join(roots, "e").join(sets.select("id", "bits"), "id")
+    rows = cut(rows, "join-apart")
+    x, y = (rows.select("e", *(F.col(c).alias(c + s) for c in ("id", "n", "at", "root", "bits")), *extra) for s, extra in (("x", ["most"]), ("y", [])))
     can = 1 + F.least(F.col("nx") - 1 - F.col("atx"), F.col("ny") - 1 - F.col("aty"))
     similar = (
-        (F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-        & (can * (num + den) >= (F.col("nx") + F.col("ny")) * num)
+        (F.col("rootx") != F.col("rooty")) & ((F.col("idx") < F.col("idy")) | (F.col("rooty") == F.col("most")))
+        & (can * (num + den) >= (F.col("nx") + F.col("ny")) * num) & _can_be_similar("x", "y", num, den)
     )
-    return x.join(y, "e").where(similar).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    return x.where("rootx <> most").join(y, "e").where(similar).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
+def jaccard_rows(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, root, component_id) of each row of ``docs`` (doc_id, text): see ``jaccard_components``.
 
-    Rows whose sets of k-word shingles are similar (den * intersection >= num * union) are linked; component_id is the
-    smallest doc_id reachable. Null and empty texts and texts without words are linked with nothing. Repeated rows and
-    equal sets are one component. A null doc_id counts as larger than any other. An empty table gives an empty result.
+    ``root`` tells components apart where ids are null or repeated; it is null for rows without words.
     """
     docs = docs.select("doc_id", "text")
     table = cut(set_table(docs, k), "join-sets")
@@ -254,8 +306,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     labels = components(links)
     root = lambda c: labels.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
     held = star.join(root("a"), "a", "left").join(root("b"), "b", "left").select("bucket", "a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb"))
-    # a bucket of two is settled by its one pair; others are contested unless all their members are in one component
-    open_ = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ra") != F.col("rb")).alias("apart")).where("n > 1 and apart").select("bucket")
+    # a bucket of PIVOTS + 1 sets is settled by its pairs; larger ones are contested unless all their members are in one component
+    settled = PIVOTS * (PIVOTS + 1) // 2
+    open_ = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ra") != F.col("rb")).alias("apart")).where((F.col("n") > settled) & F.col("apart")).select("bucket")
     contested = cut(ids(star.join(open_, "bucket", "left_semi")), "join-contested")
     rest = cut(sets.join(sized(contested), "id", "left_semi"), "join-rest")
     more = cut(contested_pairs(rest, labels, num, den), "join-more")
@@ -265,20 +318,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = own.join(labels, "id", "left").where("rows > 1 or root is not null").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     shared = cut(shared, "join-shared")
     least = shared.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    member = cut(shared.join(least, "root").select(F.col("id").alias("set_id"), "component_id"), "join-members")
-    return table.join(sized(member), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    member = cut(shared.join(least, "root").select(F.col("id").alias("set_id"), "root", "component_id"), "join-members")
+    return table.join(sized(member), "set_id", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
+
+    Rows whose sets of k-word shingles are similar (den * intersection >= num * union) are linked; component_id is the
+    smallest doc_id reachable. Null and empty texts and texts without words are linked with nothing. Repeated rows and
+    equal sets are one component. A null doc_id counts as larger than any other; a component of such rows alone has a
+    null component_id. Texts of any length are one set. An empty table gives an empty result.
+    """
+    return jaccard_rows(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id. Rows without words stay. Of repeated rows with that doc_id one stays."""
-    found = cut(jaccard_components(docs, k, num, den), "join-result")
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    kept = docs.join(sized(gone), "doc_id", "left_anti")
-    repeated = cut(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "join-repeated")
-    if not repeated.limit(1).count():
-        return kept
-    twice = kept.join(sized(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(sized(repeated), "doc_id", "left_anti").unionByName(twice)
+    """``docs`` with one row of each component: the one with the smallest doc_id, null ids last, then the smallest hash of its text.
+
+    Rows are told apart by id and text; of rows that repeat both, one stays. Rows without words stay, all of them.
+    """
+    found = cut(jaccard_rows(docs, k, num, den).where("root is not null").select("root", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "join-result")
+    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_hash")
+    groups = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("kept")).where("rows > 1")
+    copies = cut(found.join(sized(groups), "root").select("_id", "_hash", (place == F.col("kept")).alias("kept")).distinct(), "join-copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
+    marked = rows.join(sized(copies), F.col("doc").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    return marked.where("kept is null").unionByName(marked.where("kept").dropDuplicates(["_id", "_hash"])).select("row.*")
 
 
 def op4_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,70 @@ def test_keep_one_keeps_all_others_and_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 2, 5] and kept.columns == ["doc_id", "text", "lang"]
 
 
+def near_copies(n, seed=3):
+    """A group of copies of one text, each with up to six words changed, as (id, text)."""
+    rng = random.Random(seed)
+    base = " ".join(f"w{i}" for i in range(120))
+    return [(i, mutated(rng, base, rng.randrange(7))) for i in range(n)]
+
+
+def test_candidates_of_a_hot_group_grow_in_proportion(spark, monkeypatch):
+    """Pairs that are verified, in the first pass and in the second, whose members are all close and not all similar."""
+    real, rows = setjoin.cut, {}
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("join-pairs", "join-more"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(setjoin, "cut", counted)
+    found = {}
+    for n in (300, 1200):
+        got = sorted(tuple(r) for r in setjoin.jaccard_components(spark.createDataFrame(near_copies(n), "doc_id long, text string").repartition(4), 4, 85, 100).collect())
+        assert n > 300 or got == brute(near_copies(n), 4, 85, 100)
+        found[n] = dict(rows)
+    assert found[1200]["join-pairs"] < 6 * found[300]["join-pairs"], found
+    assert found[1200]["join-more"] < 6 * max(found[300]["join-more"], 100), found
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_elements(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (0, 1, 40, 3072, 3073, 9000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for change in (0, 1, 9, 700):
+            y = np.unique(np.concatenate((x[min(change, len(x)) :], rng.integers(0, 2**63, change, dtype=np.uint64))))
+            rows.append((setjoin.parity(x).tolist(), setjoin.parity(y).tolist(), len(np.setxor1d(x, y))))
+    table = spark.createDataFrame(rows, "x array<long>, y array<long>, apart long")
+    found = table.select(setjoin._apart(table.x, table.y).alias("bits"), "apart").collect()
+    assert all(r.bits <= r.apart for r in found) and sum(r.bits for r in found) > 0.5 * sum(r.apart for r in found if r.apart < 100)
+
+
+def test_links_over_rows_without_an_id(spark):
+    """The set that links two others is held by a row with a null id alone."""
+    words = [f"c{i}" for i in range(120)]
+    rows = [(5, " ".join(words[:100])), (None, " ".join(words[7:107])), (9, " ".join(words[14:114])), (None, "x y"), (None, "x y"), (None, None)]
+    found = setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=repr) == sorted([(5, 5), (None, 5), (9, 5), (None, None), (None, None), (None, None)], key=repr)
+
+
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(None, one), (None, one), (None, other), (4, other), (4, one), (4, "third text of this id here"), (4, "third text of this id here"), (None, None), (6, "")]
+    table = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, kept int, _id string, root int")
+    kept = setjoin.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(4, one), (4, other), (4, "third text of this id here"), (None, None), (6, "")], key=repr)
+
+
+def test_long_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, text), (2, text.replace("w77 ", "x ")), (3, "z " * 200_000)]
+    found = setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 59_997, 1), (2, 59_997, 1), (3, 1, 3)]
+
+
 def test_empty_table(spark):
     assert setjoin.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
