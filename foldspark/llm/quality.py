@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foldspark.llm.common import cut, sized
 from foldspark.llm.words import batches_of_words, slices, text_bytes
@@ -76,14 +77,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(chosen, "quality-labels")), "doc_id").select("text", "label")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").join(F.broadcast(cut(chosen, "quality-labels")), "doc_id").select("doc_id", "hash", "label", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(0))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["label", "x"])
+            x = features(b.column(3))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "hash", "label", "x"])
 
-    table = known.mapInArrow(rows, "label double, x array<double>").toPandas()
+    # one row for each labelled id, however many carry it: that of the smallest hash
+    each = known.mapInArrow(rows, "doc_id long, hash long, label double, x array<double>").groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "hash").alias("r"))
+    table = each.select("r.*").orderBy("doc_id").toPandas()
     return fit(np.array(table["x"].tolist()).reshape(-1, N_FEATURES), table["label"].to_numpy(float))
 
 
@@ -102,37 +105,49 @@ def _shrink(rows: DataFrame, n: str, s: str) -> float:
     return float(min(max(within / between, 1.0), 1e6)) if between > 1e-12 else 1e6
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with _evidence (the model's probability), _host_rate, _path_rate and _posterior.
+_ADDED = ("_evidence", "_host_rate", "_path_rate", "_posterior")
 
-    Null hosts and paths are sites of their own. A null or empty text is no evidence: its posterior is its path's rate.
-    Repeated rows count each time. Without labels every probability is a half.
-    """
+
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, max_labelled: int, kept: list[str]) -> DataFrame:
+    """(row, evidence, host_rate, path_rate, posterior), row being a struct of the columns ``kept``: no name of theirs can clash."""
     weights, bias = train(docs, labels, max_labelled)
-    names = docs.columns
-    at = names.index("text")
+    h, p = F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*kept).alias("row"), h.alias("h"), p.alias("p"), *([] if "text" in kept else ["text"]))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = features(b.column(at)) @ weights + bias
-            empty = np.array([not t for t in _text_sizes(b.column(at))], dtype=bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), mask=empty)], names=[*names, "_evidence"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = docs.mapInArrow(rows, f"{schema}, _evidence double")
-    h, p = F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
-    keyed = scored.withColumns({"_host": h, "_path": p})
-    paths = cut(keyed.groupBy("_host", "_path").agg(F.count("_evidence").alias("n"), F.coalesce(F.sum("_evidence"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("_evidence") * F.col("_evidence")), F.lit(0.0)).alias("s2")), "quality-paths")
+            text = b.column("row").field("text") if "text" in kept else b.column("text")
+            z = features(text) @ weights + bias
+            empty = np.array([not t for t in _text_sizes(text)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), mask=empty)], names=["row", "h", "p", "evidence"])
+
+    scored = rows.mapInArrow(evidence, StructType([*rows.schema.fields[:3], StructField("evidence", DoubleType())]))
+    if "text" not in kept:
+        scored = cut(scored, "quality-evidence")
+    paths = cut(scored.groupBy("h", "p").agg(F.count("evidence").alias("n"), F.coalesce(F.sum("evidence"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("evidence") * F.col("evidence")), F.lit(0.0)).alias("s2")), "quality-paths")
     some = paths.where("n > 0")
-    hosts = some.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("s2"))
+    hosts = some.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("s2"))
     total = some.agg(F.sum("s") / F.sum("n")).first()[0]
     rate = 0.5 if total is None else float(total)
     to_all, to_host = _shrink(hosts, "hn", "hs"), _shrink(some, "n", "s")
-    sites = paths.join(hosts.drop("s2"), "_host", "left").withColumn("_host_rate", (F.coalesce("hs", F.lit(0.0)) + to_all * rate) / (F.coalesce("hn", F.lit(0)) + to_all))
-    sites = cut(sites.select("_host", "_path", "_host_rate", ((F.col("s") + to_host * F.col("_host_rate")) / (F.col("n") + to_host)).alias("_path_rate")), "quality-sites")
-    joined = keyed.join(sized(sites), ["_host", "_path"])
-    posterior = F.coalesce(_logit(F.col("_evidence")) - _logit(F.lit(rate)), F.lit(0.0)) + _logit(F.col("_path_rate"))
-    return joined.withColumn("_posterior", 1 / (1 + F.exp(-posterior))).select(*names, "_evidence", "_host_rate", "_path_rate", "_posterior")
+    sites = paths.join(hosts.drop("s2"), "h", "left").withColumn("host_rate", (F.coalesce("hs", F.lit(0.0)) + to_all * rate) / (F.coalesce("hn", F.lit(0)) + to_all))
+    sites = cut(sites.select("h", "p", "host_rate", ((F.col("s") + to_host * F.col("host_rate")) / (F.col("n") + to_host)).alias("path_rate")), "quality-sites")
+    weight = F.when(F.col("evidence").isNotNull(), _logit(F.col("evidence")) - _logit(F.lit(rate))).otherwise(0.0)  # least and greatest pass over nulls
+    posterior = weight + _logit(F.col("path_rate"))
+    return scored.join(sized(sites), ["h", "p"]).select("row", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-posterior))).alias("posterior"))
+
+
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_labelled: int = MAX_LABELLED, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with _evidence (the model's probability), _host_rate, _path_rate and _posterior.
+
+    Null hosts and paths are sites of their own. A null or empty text is no evidence: its posterior is its path's rate;
+    a text of any length is one document. Repeated rows count each time. Without labels every probability is a half; an
+    empty table gives an empty result. Columns of ``docs`` that are named like the four are replaced, all others kept.
+    Where ``keep`` leaves the text out, the evidence is stored, and texts are read once for it.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _ADDED]
+    found = _scored(docs, labels, host, path, max_labelled, kept)
+    return found.select("row.*", *(F.col(c[1:]).alias(c) for c in _ADDED))
 
 
 def _text_sizes(column: pa.Array) -> list[int]:
@@ -141,14 +156,14 @@ def _text_sizes(column: pa.Array) -> list[int]:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` whose posterior is at least ``least``."""
-    return score(docs, labels, max_labelled=max_labelled).where(F.col("_posterior") >= least).select(docs.columns)
+    """The rows of ``docs`` whose posterior is at least ``least``, with all their columns."""
+    return _scored(docs, labels, "source", "lang", max_labelled, docs.columns).where(F.col("posterior") >= least).select("row.*")
 
 
 def op2_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, site rates, posterior and decision for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    found = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"),
         F.col("_posterior").alias("posterior"), (F.col("_posterior") >= 0.5).alias("keep"),

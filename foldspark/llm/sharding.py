@@ -7,11 +7,13 @@ to the least loaded shard. All of it is DataFrame code; the map has ``n_slots``
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldspark.llm.common import cut
+from foldspark.llm.common import cut, shared_dir
 
 N_SLOTS = 4096
 
@@ -19,8 +21,9 @@ N_SLOTS = 4096
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot) of each row; the texts themselves never shuffle.
 
-    A null text counts as empty: size 1, checksum 0. A null doc_id hashes like any other value. The slot depends on
-    the id and the text's checksum, so one id that many different rows carry does not fill one slot.
+    A null text counts as empty: size 1, checksum 0; a text of any length is one record. A null doc_id hashes like any
+    other value. The slot depends on the id and the text's checksum, so one id that many different rows carry does not
+    fill one slot; rows that repeat both are one slot's, whose bytes no map can part. Other columns are left alone.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(F.encode(text, "UTF-8"))
@@ -72,7 +75,7 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, n_shards: int) -> DataFrame
 
 def write_map(slot_map: DataFrame, path: str) -> None:
     """Append this version to the stored map; older versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -97,13 +100,16 @@ def shard(recs: DataFrame, stats: DataFrame, slot_map: DataFrame) -> DataFrame:
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on shards 0 to 7 under the law ``bytes``: shard sizes near equal.
 
-    An empty table gives an empty result; repeated rows are rows like others.
+    The map is stored in two versions, the first one and its edit for the slots' bytes, and records follow the latest.
+    An empty table gives an empty result; repeated rows are rows like others; ties go by slot, then id, checksum, size.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     recs = cut(records(docs), "shard-records")
     stats = cut(slot_stats(recs).coalesce(1), "shard-slots")
-    slot_map = cut(rebalance(initial_map(spark, 8), stats, 8).coalesce(1), "shard-map")
-    return shard(recs, stats, slot_map).select(
+    path = f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}"
+    write_map(initial_map(spark, 8), path)
+    write_map(rebalance(read_map(spark, path), stats, 8), path)
+    return shard(recs, stats, read_map(spark, path)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
     )

@@ -51,6 +51,45 @@ def test_versions_are_stored(spark, tmp_path):
     assert sharding.read_map(spark, str(tmp_path / "map"), 1).agg(F.max("shard")).first()[0] == 3
 
 
+def brute(recs, n_slots, n_shards):
+    """(shard, place) of each record, from the stated laws: shards keep their largest slots up to an equal share, the rest go largest first to the least loaded."""
+    size, rows = [0] * n_slots, [0] * n_slots
+    for r in recs:
+        size[r.virtual_slot] += r.size
+        rows[r.virtual_slot] += 1
+    first = [s * n_shards // n_slots for s in range(n_slots)]
+    load, final, free = [0] * n_shards, list(first), []
+    for shard in range(n_shards):
+        upto = 0
+        for s in sorted((s for s in range(n_slots) if first[s] == shard), key=lambda s: (-size[s], s)):
+            upto += size[s]
+            if upto <= sum(size) / n_shards:
+                load[shard] += size[s]
+            else:
+                free.append(s)
+    for s in sorted(free, key=lambda s: (-size[s], s)):
+        final[s] = load.index(min(load))
+        load[final[s]] += size[s]
+    base, own = {}, [0] * n_shards
+    for s in range(n_slots):
+        base[s] = own[final[s]]
+        own[final[s]] += rows[s]
+    out, seen = [], [0] * n_slots
+    for r in sorted(recs, key=lambda r: (r.doc_id is not None, r.doc_id, r.text_crc32, r.size)):
+        out.append((r.doc_id, r.text_crc32, r.size, final[r.virtual_slot], base[r.virtual_slot] + seen[r.virtual_slot]))
+        seen[r.virtual_slot] += 1
+    return sorted(out, key=repr)
+
+
+def test_the_query_matches_brute_force(spark, tmp_path):
+    rows = [(i, "é" * (i * 37 % 900), None, None) for i in range(1500)] + [(None, "n", None, None), (None, None, None, None), (7, "", None, None), (8, "long " * 200_000, None, None)] + [(9, "same", "s", "s")] * 4
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    recs = sharding.records(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    found = sharding.op1_virtual_slots(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in found), key=repr) == brute(recs, sharding.N_SLOTS, 8)
+    assert {(r.law, r.grown_shard, r.map_version) for r in found} == {("bytes", None, 2)}
+
+
 def test_empty_table(spark):
     found, slot_map = run(spark, [])
     assert len(found) == 0 and slot_map.count() == 256
