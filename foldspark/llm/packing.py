@@ -152,12 +152,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of all rows.
+
+    Null and empty texts are one piece; a text of any length is cut only beyond ``capacity``; null ids stay null and
+    repeated rows are packed each; pieces of one length take places in order of id and piece; an empty table gives an
+    empty result. Other columns are left alone.
+    """
     pieces = cut(token_pieces(docs, capacity), "pack-pieces")
     return pack(pieces, capacity).withColumn("length", F.col("length").cast("long"))
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, packed into sequences of at most 2048 tokens."""
+    """All documents, packed into sequences of at most 2048 tokens; odd rows as ``pack_documents`` states."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -82,7 +82,9 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) of each row, from its whole text.
 
-    A null text counts as empty; a row without spans has counts of 0 and the digest of the empty string.
+    A null text counts as empty; a row without spans has counts of 0 and the digest of the empty string. Texts of any
+    length are scanned whole, repeated rows each, null ids stay null, an empty table gives an empty result. Random
+    strings of letters alone or digits alone are not told from words and numbers: the token test leaves them out.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -119,6 +121,7 @@ def redact_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
 
 def op7_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document; odd rows as ``scan`` states."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
