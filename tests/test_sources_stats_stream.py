@@ -232,6 +232,22 @@ def test_stream_aborts_and_restarts(spark, tmp_path):
     assert d.subscribe(users(), snapshots, str(tmp_path / "cp3"), from_checkpoint=2000, options=stop) is None
 
 
+def test_ahead_without_a_restart_and_a_handler_that_throws(spark, tmp_path):
+    store, d, snapshots = dispatcher(spark, tmp_path)
+    store.write(logs.Transaction([("up", {})], stream_id="a"), logs.Transaction([("up", {})], stream_id="a"))
+    d.subscribe(users(), snapshots, str(tmp_path / "cp"), from_checkpoint=1000).awaitTermination()  # waits for what is beyond
+    assert snapshots.count("users") == 0 and not d.handled.get("projection")
+
+    def handler(error, attempts, info):
+        raise OSError(f"handler of {info.id}")
+
+    query = d.subscribe(users(), snapshots, str(tmp_path / "cp2"), options=SubscriptionOptions(id="throws", exception_handler=handler))
+    with pytest.raises(Exception, match="handler of throws"):
+        query.awaitTermination()
+    null = logs.make_log(spark.range(2), checkpoint=F.col("id") + 1, event_type=F.when(F.col("id") == 1, "up"), body=F.lit(None).cast("string"), stream_id=F.lit("x"))
+    assert [r.key for r in users().project(null).state.collect()] == ["x"]  # an event without a type has no handler
+
+
 def test_waiting_for_growth_and_for_a_checkpoint(spark, tmp_path):
     store, d, snapshots = dispatcher(spark, tmp_path)
     assert store.last() == 0 and not store.wait_for_growth(0, timeout=0)
