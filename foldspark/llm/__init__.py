@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "quality", "chat", "setjoin", "decontaminate", "html", "secrets", "lm", "packing", "topk", "dedup", "codes")
+MODULES = ("sharding", "quality", "chat", "setjoin", "decontaminate", "html", "secrets", "lm", "packing", "topk", "dedup", "codes", "divergence")
 
 
 def _gather(name: str) -> dict:
