@@ -15,38 +15,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldspark.plans.event_map import ACCEPT, CONDITION, CREATE, CUSTOM, DELETE, IGNORE, THROW, UPDATE, ProjectionPlan
+from foldspark.operators.capture import Risks, failed
+from foldspark.plans.event_map import ACCEPT, CONDITION, CREATE, CUSTOM, DELETE, IGNORE, THROW, UPDATE, Context, Event, Existing, ProjectionPlan
+from foldspark.sources.tables import sized, written
 
 ORDER = ["checkpoint", "event_seq", "rule_seq"]
+#: Columns of the log that op rows have besides the body; where rules read their row, they have all of them.
+OP_ENVELOPE = ["checkpoint", "event_seq", "transaction_id", "event_type"]
 
 
-def op_rows(plan: ProjectionPlan, log: DataFrame) -> DataFrame:
-    """(checkpoint, event_seq, rule_seq, transaction_id, event_type, op, key, action, policy, accepts, set_<field>, add_<field>, body).
+#: What of an op failed when it was worked out (bits of ``err``).
+ERR_RULE, ERR_CONDITION, ERR_SETS = 1, 2, 4
+#: An op that stands for an event of which a filter of the map failed.
+FILTER = "filter"
 
-    ``accepts`` says whether a duplicate is applied, or a miss created. ``set_<field>`` is a struct, so that NULL can be assigned.
+
+def op_rows(plan: ProjectionPlan, log: DataFrame, risks: Risks | None = None) -> DataFrame:
+    """(checkpoint, event_seq, rule_seq, transaction_id, event_type, op, key, action, policy, accepts, err, set_<field>, add_<field>, body).
+
+    ``accepts`` says whether a duplicate is applied, or a miss created. ``set_<field>`` is a struct, so that NULL can be
+    assigned. With ``risks``, what can fail is captured: ``err`` has the parts of an op that failed, whose columns are
+    NULL, and an event on which a filter failed is an op of its own kind; without, a failure ends the job.
     """
     fields = plan.fields or {}
-    rows = []
+    accepted = plan.handled()
+    torn = failed(accepted) if risks and risks.filters else None
+    rows = [] if torn is None else [F.when(torn, F.struct(*_filter_op(plan)))]
     for n, rule in enumerate(plan.rules):
-        accepts = {ACCEPT: F.lit(True), CONDITION: F.coalesce(rule.condition, F.lit(False)) if rule.condition is not None else F.lit(False)}.get(rule.policy, F.lit(False))
+        broken, bad_key, bad_condition, bad_sets = risks.rules[n] if risks else (False,) * 4
+        key = (F.lit(None) if rule.key is None else rule.key).cast(plan.key_type)
+        accepts, sets = {ACCEPT: F.lit(True), CONDITION: F.lit(False) if rule.condition is None else rule.condition}.get(rule.policy, F.lit(False)), []
+        for name, (kind, _) in fields.items():
+            sets.append((rule.assigns[name].cast(kind) if name in rule.assigns else None, f"set_{name}", f"struct<v:{kind}>"))
+        for name, (kind, how) in fields.items():
+            if how:
+                sets.append((rule.adds[name].cast(kind) if name in rule.adds else None, f"add_{name}", kind))
         for order, condition in plan.matches(n):
+            no_rule = failed(condition) if broken else F.lit(False)
+            no_key = no_rule | failed(key) if bad_key else no_rule
+            no_accepts = failed(accepts) if bad_condition else F.lit(False)
+            no_sets = failed(F.struct(*(x for x, _, _ in sets if x is not None))) if bad_sets else F.lit(False)
+            err = F.when(no_key, ERR_RULE).otherwise(F.when(no_accepts, ERR_CONDITION).otherwise(0) + F.when(no_sets, ERR_SETS).otherwise(0))
+
+            def safe(x: Column, risk: bool, wrong: Column) -> Column:
+                return F.when(~wrong, x) if risk else x
+
             columns = [
-                F.lit(order).alias("rule_seq"), F.lit(rule.op).alias("op"), (F.lit(None) if rule.key is None else rule.key).cast(plan.key_type).alias("key"),
-                F.lit(rule.action).cast("string").alias("action"), F.lit(rule.policy).alias("policy"), accepts.alias("accepts"),
+                F.lit(order).alias("rule_seq"), F.lit(rule.op).alias("op"), safe(key, broken or bad_key, no_key).alias("key"), F.lit(rule.action).cast("string").alias("action"),
+                F.lit(rule.policy).alias("policy"), F.coalesce(safe(accepts, broken or bad_key or bad_condition, no_key | no_accepts), F.lit(False)).alias("accepts"), err.alias("err"),
             ]
-            for name, (kind, _) in fields.items():
-                columns.append((F.struct(rule.assigns[name].cast(kind).alias("v")) if name in rule.assigns else F.lit(None).cast(f"struct<v:{kind}>")).alias(f"set_{name}"))
-            for name, (kind, how) in fields.items():
-                if how:
-                    columns.append((rule.adds[name].cast(kind) if name in rule.adds else F.lit(None).cast(kind)).alias(f"add_{name}"))
-            rows.append(F.when(condition, F.struct(*columns)))
-    if not rows:
+            for x, name, kind in sets:
+                value = None if x is None else F.struct(x.alias("v")) if name.startswith("set_") else x
+                columns.append((F.lit(None) if value is None else safe(value, broken or bad_key or bad_sets, no_key | no_sets)).cast(kind).alias(name))
+            meets = no_rule | condition if broken else condition
+            rows.append(F.when(meets if torn is None else ~torn & meets, F.struct(*columns)))
+    if not plan.rules:
         raise ValueError("the map has no handlers")
-    return (
-        log.where(plan.handled())
-        .select("checkpoint", "event_seq", "transaction_id", "event_type", "body", F.explode(F.array_compact(F.array(*rows))).alias("r"))
-        .select("checkpoint", "event_seq", "transaction_id", "event_type", "body", "r.*")
-    )
+    kept = [c for c in log.columns if c not in ("r", "body")]
+    return log.where(accepted if torn is None else torn | accepted).select(*kept, "body", F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*(kept if plan.reads_row else OP_ENVELOPE), "body", "r.*")
+
+
+def _filter_op(plan: ProjectionPlan) -> list[Column]:
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    fields = plan.fields or {}
+    return [
+        F.lit(-1).alias("rule_seq"), F.lit(FILTER).alias("op"), none(plan.key_type, "key"), none("string", "action"), F.lit(IGNORE).alias("policy"), F.lit(False).alias("accepts"), F.lit(ERR_RULE).alias("err"),
+        *(none(f"struct<v:{kind}>", f"set_{n}") for n, (kind, _) in fields.items()), *(none(kind, f"add_{n}") for n, (kind, how) in fields.items() if how),
+    ]
 
 
 def snapshot_rows(plan: ProjectionPlan, snapshot: DataFrame) -> DataFrame:
@@ -57,12 +92,12 @@ def snapshot_rows(plan: ProjectionPlan, snapshot: DataFrame) -> DataFrame:
     adds = [F.lit(None).cast(k).alias(f"add_{n}") for n, (k, how) in plan.fields.items() if how]
     return own.select(
         F.lit(-1).cast("long").alias("checkpoint"), F.lit(0).alias("event_seq"), F.lit(0).alias("rule_seq"), F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("event_type"),
-        F.lit(CREATE).alias("op"), "key", F.lit(None).cast("string").alias("action"), F.lit(ACCEPT).alias("policy"), F.lit(True).alias("accepts"), *sets, *adds,
+        F.lit(CREATE).alias("op"), "key", F.lit(None).cast("string").alias("action"), F.lit(ACCEPT).alias("policy"), F.lit(True).alias("accepts"), F.lit(0).alias("err"), *sets, *adds,
     )
 
 
 def flag(ops: DataFrame, split_every: int | None = None) -> DataFrame:
-    """Op rows with present (before the op), effective, failed, missed and incarnation.
+    """Op rows with present (before the op), effective, failed, foreign (failed for another reason than its policy), missed and incarnation.
 
     ``split_every``: checkpoints of a range that is worked on by itself, so that the windows of a key with very many ops
     are spread over tasks. What a range takes over from those before it, presence and births, are sums by key and range
@@ -82,7 +117,9 @@ def flag(ops: DataFrame, split_every: int | None = None) -> DataFrame:
     applies = F.when(create, ~here | F.col("accepts")).when(F.col("op") == UPDATE, here | F.col("accepts")).otherwise(False)
     fails = (F.col("policy") == THROW) & F.when(create, here).otherwise(~here)
     misses = (F.col("op") != CREATE) & ~here
-    flagged = flagged.withColumns({"effective": applies, "failed": fails, "missed": misses})
+    asked = (F.col("policy") == CONDITION) & F.when(create, here).otherwise(~here)  # only then the condition counts, and assignments only where they apply
+    foreign = (F.col("err").bitwiseAND(ERR_RULE) != 0) | ((F.col("err").bitwiseAND(ERR_CONDITION) != 0) & asked) | ((F.col("err").bitwiseAND(ERR_SETS) != 0) & applies)
+    flagged = flagged.withColumns({"effective": applies, "failed": fails | foreign, "foreign": foreign, "missed": misses})
     birth = (F.col("effective") & ~here).cast("int")
     births = F.sum(birth).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if split_every is not None:
@@ -148,6 +185,108 @@ def history_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
     return rows.select("key", *ORDER, "op", (~F.col("removes")).alias("exists"), (F.col("effective") | F.col("removes")).alias("_took"), *fields).where("_took").drop("_took")
 
 
+#: Ops of a key that are folded in one row; more are folded range by range, each going on from the state that the last one left.
+CHAIN = 50_000
+
+
+def fold_reading(plan: ProjectionPlan, ops: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """(key, acc) of a map whose rules read the row they change, in Spark's own expressions.
+
+    ``acc`` is a struct of here (whether the row is there), the fields, and failed: the place and reason of the first op
+    that failed, after which nothing of the key is applied. A key's ops are sorted in an array and folded by
+    ``aggregate``. Arrays hold at most ``chain`` ops: the n-th ranges of all keys that have as many are folded together,
+    on top of the states that their last ranges left, so a round costs what these keys hold and no array grows with the log.
+    """
+    n = F.floor((F.row_number().over(Window.partitionBy("key").orderBy(*ORDER)) - 1) / chain).cast("int")
+    maps = [f.name for f in ops.schema if f.dataType.typeName() == "map"]  # maps have no order, their entries do
+    rows = ops.withColumns({m: F.map_entries(m) for m in maps}).withColumn("_range", n)
+    op = F.struct(*ORDER, *(c for c in ops.columns if c not in ("key", *ORDER)))
+    table = written(rows.groupBy("key", "_range").agg(F.sort_array(F.collect_list(op)).alias("ops")), "ranges", "_range")
+    last, step = table.agg(F.max("_range")).first()[0] or 0, _step(plan, maps)
+    state, done = table.where("_range = 0").select("key", F.aggregate("ops", _nothing(plan), step).alias("acc")), None
+    for r in range(1, last + 1):
+        state = written(state, "states")
+        more = table.where(F.col("_range") == r).select(F.col("key").alias("_k"), "ops")
+        same = F.col("key").eqNullSafe(F.col("_k"))
+        settled = state.join(sized(more.select("_k")), same, "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        state = more.join(state, same).select("key", F.aggregate("ops", F.col("acc"), step).alias("acc"))
+    return state if done is None else done.unionByName(state)
+
+
+_FAILED = "struct<checkpoint:bigint,event_seq:int,rule_seq:int,op:string,foreign:boolean>"
+
+
+def _nothing(plan: ProjectionPlan) -> Column:
+    """No row."""
+    fields = [_empty(kind, how).alias(n) for n, (kind, how) in plan.fields.items()]
+    return F.struct(F.lit(False).alias("here"), F.struct(*fields).alias("row"), F.lit(None).cast(_FAILED).alias("failed"))
+
+
+def _empty(kind: str, how: str | None) -> Column:
+    return (F.lit(0) if how in ("sum", "count") else F.lit(None)).cast(kind)
+
+
+def _step(plan: ProjectionPlan, maps: list[str]) -> Callable[[Column, Column], Column]:
+    """The policies' truth table as (state, op) -> state."""
+    rules = list(enumerate(plan.rules))
+
+    def step(acc: Column, op: Column) -> Column:
+        here, row, kind = acc["here"], acc["row"], op["op"]
+        op_event, old = Event(op["body"]), Existing(row)
+        context = Context(_Opened(op, maps))
+        number = F.pmod(op["rule_seq"], F.lit(len(rules)))
+
+        def of_rules(found: dict[int, Column], otherwise: Column) -> Column:
+            out = None
+            for n, x in found.items():
+                out = F.when(number == n, x) if out is None else out.when(number == n, x)
+            return otherwise if out is None else out.otherwise(otherwise)
+
+        create, update = kind == CREATE, kind == UPDATE
+        asked = (op["policy"] == CONDITION) & F.when(create, here).otherwise(~here)
+        conditions = {n: r.reading(old, op_event, context) for n, r in rules if r.reading is not None}
+        no_condition = asked & of_rules({n: failed(c) for n, c in conditions.items()}, op["err"].bitwiseAND(ERR_CONDITION) != 0)
+        accepts = F.coalesce(of_rules({n: F.when(asked, c) for n, c in conditions.items()}, op["accepts"]), F.lit(False))
+        applies = F.when(create, ~here | accepts).when(update, here | accepts).otherwise(False)
+        assigns = {name: {n: r.reading_assigns[name](old, op_event, context).cast(t) for n, r in rules if name in r.reading_assigns} for name, (t, _) in plan.fields.items()}
+        every: dict[int, list[Column]] = {}
+        for found in assigns.values():
+            for n, x in found.items():
+                every.setdefault(n, []).append(x)
+        no_sets = applies & (of_rules({n: failed(F.struct(*x)) for n, x in every.items()}, F.lit(False)) | (op["err"].bitwiseAND(ERR_SETS) != 0))
+        foreign = (op["err"].bitwiseAND(ERR_RULE) != 0) | no_condition | no_sets
+        fails = (op["policy"] == THROW) & F.when(create, here).otherwise(~here)
+        gone, fields = kind == DELETE, []
+        for name, (t, how) in plan.fields.items():
+            before = F.when(here, row[name]).otherwise(_empty(t, how))
+            found = assigns[name]
+            value = of_rules(found, F.when(op[f"set_{name}"].isNotNull(), op[f"set_{name}"]["v"]).otherwise(before))
+            if how:
+                value, more = value, op[f"add_{name}"]
+                value = {
+                    "count": lambda v, m: F.coalesce(v, F.lit(0)) + F.when(m.isNotNull(), 1).otherwise(0), "sum": lambda v, m: F.when(m.isNull(), v).otherwise(F.coalesce(v, F.lit(0)) + m),
+                    "min": F.least, "max": F.greatest,
+                }[how](value, more)
+            fields.append(F.when(gone, _empty(t, how)).when(applies, value).otherwise(row[name]).cast(t).alias(name))
+        after = F.struct(F.when(gone, False).otherwise(here | applies).alias("here"), F.struct(*fields).alias("row"), F.lit(None).cast(_FAILED).alias("failed"))
+        wrong = F.struct(op["checkpoint"].alias("checkpoint"), op["event_seq"].alias("event_seq"), op["rule_seq"].alias("rule_seq"), kind.alias("op"), foreign.alias("foreign")).cast(_FAILED)
+        stopped = F.struct(here.alias("here"), row.alias("row"), wrong.alias("failed"))
+        return F.when(acc["failed"].isNotNull(), acc).when(foreign | fails, stopped).otherwise(after)
+
+    return step
+
+
+class _Opened:
+    """An op's columns, its maps made from their entries again."""
+
+    def __init__(self, op: Column, maps: list[str]) -> None:
+        self._op, self._maps = op, maps
+
+    def __getitem__(self, name: str) -> Column:
+        return F.map_from_entries(self._op[name]) if name in self._maps else self._op[name]
+
+
 def same_key(a: object, b: object) -> bool:
     """Equality as Spark groups: nulls are equal, and so are NaNs."""
     return a == b or (isinstance(a, float) and isinstance(b, float) and a != a and b != b)
@@ -158,7 +297,7 @@ def fold_rows(ops: DataFrame, step: Callable[[dict | None, dict], dict | None],
 
     Each key's ops go through Python in one task, an Arrow batch at a time; only the row is held. Values are as Spark
     has them: nulls are None, 64-bit integers are exact. Ops with a null key are those of one key. Use it where no rule
-    can say the same.
+    can say the same; ``fold_reading`` folds rules that read their row without Python.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -185,4 +324,4 @@ def fold_rows(ops: DataFrame, step: Callable[[dict | None, dict], dict | None],
     return ops.repartition(key).sortWithinPartitions(key, *ORDER).mapInArrow(rows, schema)
 
 
-__all__ = ["ACCEPT", "CUSTOM", "IGNORE", "ORDER", "final_rows", "flag", "fold_rows", "history_rows", "op_rows", "same_key", "snapshot_rows"]
+__all__ = ["ACCEPT", "CUSTOM", "FILTER", "IGNORE", "ORDER", "final_rows", "flag", "fold_reading", "fold_rows", "history_rows", "op_rows", "same_key", "snapshot_rows"]

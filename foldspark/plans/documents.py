@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.fold import ORDER, final_rows, flag, fold_rows, history_rows, op_rows
-from foldspark.operators.lookup import as_of
+from foldspark.operators.fold import ORDER, final_rows, fold_rows
+from foldspark.operators.projector import Projector
 from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
+from foldspark.sources.tables import written
 
 #: The kind that each creating event gives; the first is an update of a document that must exist.
 KINDS = {
@@ -31,15 +32,19 @@ def countries() -> ProjectionPlan:
 
 
 def documents() -> ProjectionPlan:
-    """Period events also update their document, so a period of a missing one is a miss."""
-    m = EventMapBuilder("documents", "string", {"type": "string", "kind": "string", "country": "string", "state": "string", "area": "string", "next_review_at": "timestamp_ntz", "lifetime_end": "timestamp_ntz"})
+    """Reads the name of a document's country from the child ``countries`` as it is when the country is set, empty if it is not registered then.
+
+    Period events also update their document, so a period of a missing one is a miss.
+    """
+    m = EventMapBuilder("documents", "string", {"type": "string", "kind": "string", "country": "string", "country_name": "string", "state": "string", "area": "string", "next_review_at": "timestamp_ntz", "lifetime_end": "timestamp_ntz"})
     number = lambda e, c: e.DocumentNumber
+    of_country = {"country": lambda e, c: e.Country, "country_name": lambda e, c: F.coalesce(c.child("countries", e.Country).name, F.lit(""))}
     for event, name in KINDS.items():
-        m.map(event).as_create_of(lambda e, c: e.Number).using(type=F.lit(name), kind=lambda e, c: e.Kind, country=lambda e, c: e.Country, state=lambda e, c: e.InitialState)
-    m.map("ConstitutionEstablishedEvent").as_update_of(lambda e, c: e.Number).using(type=F.lit("Constitution"), kind=lambda e, c: e.Kind, country=lambda e, c: e.Country, state=lambda e, c: e.InitialState)
+        m.map(event).as_create_of(lambda e, c: e.Number).using(type=F.lit(name), kind=lambda e, c: e.Kind, state=lambda e, c: e.InitialState, **of_country)
+    m.map("ConstitutionEstablishedEvent").as_update_of(lambda e, c: e.Number).using(type=F.lit("Constitution"), kind=lambda e, c: e.Kind, state=lambda e, c: e.InitialState, **of_country)
     m.map("AreaRestrictedEvent").as_update_of(number).using(area=lambda e, c: e.Area)
     m.map("AreaRestrictionCancelledEvent").as_update_of(number).using(area=F.lit(None))
-    m.map("CountryCorrectedEvent").as_update_of(number).using(country=lambda e, c: e.Country)
+    m.map("CountryCorrectedEvent").as_update_of(number).using(**of_country)
     m.map("NextReviewScheduledEvent").as_update_of(number).using(next_review_at=lambda e, c: e.NextReviewAt)
     m.map("LifetimeRestrictedEvent").as_update_of(number).using(lifetime_end=lambda e, c: e.PeriodEnd)
     m.map("LifetimeRestrictionRemovedEvent").as_update_of(number).using(lifetime_end=F.lit(None))
@@ -85,12 +90,12 @@ def adjoining(periods: list[dict]) -> list[dict]:
     return sorted(chain, key=lambda p: p["sequence"])
 
 
-def with_periods(log: DataFrame) -> DataFrame:
-    """(key, incarnation, periods, starts, ends) of documents, each incarnation by itself.
+def with_periods(flagged: DataFrame) -> DataFrame:
+    """(key, incarnation, periods, starts, ends) of documents from their flagged ops, each incarnation by itself.
 
     A handler of an approval reads all periods of its document, so this is the general fold, over one document's rows at a time.
     """
-    ops = flag(op_rows(documents(), log)).where(F.col("effective") & F.col("event_type").isin(PERIODS))
+    ops = flagged.where(F.col("effective") & F.col("event_type").isin(PERIODS))
     b = F.col("body")
     touched = ops.select(F.struct("key", "incarnation").alias("parent"), *ORDER, "event_type", b.Sequence.alias("sequence"), b["From"].alias("from"), b["To"].alias("to"), b.ClosedAt.alias("closed_at"))
     period = "struct<sequence: int, `from`: timestamp_ntz, `to`: timestamp_ntz, status: string>"
@@ -127,28 +132,24 @@ def counts_per_state(docs: DataFrame, lookup: DataFrame, kind: str | None = None
     for column, value in (("kind", kind), ("country", country)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
-    counted = rows.groupBy("country", "area", "kind", "state").agg(F.count(F.lit(1)).alias("count"))
+    # the small aggregate is worked out once, for the check and for the result
+    counted = written(rows.groupBy("country", "area", "kind", "state").agg(F.count(F.lit(1)).alias("count")), "counts")
     wanted = None if country is None else docs.sparkSession.range(1).select(F.lit(country).alias("country"))
     return required(counted, lookup, "country", "country_name", wanted).select("country", "country_name", "area", "kind", "state", "count")
 
 
-def country_names(log: DataFrame) -> DataFrame:
-    """(key, incarnation, country_name) of documents whose country was set: the country's name when that happened, empty if it was not registered then."""
-    names = history_rows(countries(), flag(op_rows(countries(), log)))
-    ops = flag(op_rows(documents(), log)).where(F.col("effective") & F.col("set_country").isNotNull())
-    set_at = ops.groupBy("key", "incarnation").agg(F.max(F.struct("checkpoint", "event_seq", "rule_seq", F.col("set_country.v").alias("country"))).alias("l")).select("key", "incarnation", "l.checkpoint", "l.event_seq", "l.country")
-    # a document's event finds what the events before it left: its own place is after that of a country's event
-    found = as_of(set_at, names.select("checkpoint", "event_seq", F.col("key").alias("country"), F.col("name").alias("country_name")), "country", ["checkpoint", "event_seq"], ["country_name"])
-    return found.select("key", "incarnation", F.coalesce("country_name", F.lit("")).alias("country_name"))
-
-
 def register(log: DataFrame, now: datetime | None = None) -> DataFrame:
-    """Documents at the end of ``log`` with their periods and validity; with ``now`` their state is the one that holds then."""
-    flagged = flag(op_rows(documents(), log))
-    rows = final_rows(documents(), flagged)
+    """Documents at the end of ``log`` with their periods and validity; with ``now`` their state is the one that holds then.
+
+    Ops are flagged once and written; rows and periods are worked out from the table.
+    """
+    plan = documents()
+    flagged = written(Projector(plan, [Projector(countries())]).flagged(log), "register-ops")
+    # only period events have more to say than their op
+    periods = with_periods(flagged)
     latest = flagged.groupBy("key").agg(F.max("incarnation").alias("incarnation"))
-    parts = latest.join(with_periods(log), ["key", "incarnation"], "left").join(country_names(log), ["key", "incarnation"], "left")
-    docs = rows.join(parts.drop("incarnation"), "key", "left").withColumn("periods", F.coalesce("periods", F.array().cast(parts.schema["periods"].dataType)))
+    parts = latest.join(periods, ["key", "incarnation"]).drop("incarnation")
+    docs = final_rows(plan, flagged).join(parts, "key", "left").withColumn("periods", F.coalesce("periods", F.array().cast(parts.schema["periods"].dataType)))
     if now is None:
         return docs
     return docs.withColumn("state", realtime_state(F.col("state"), F.col("next_review_at"), F.col("lifetime_end"), F.col("starts"), F.col("ends"), F.lit(now).cast("timestamp_ntz")))

@@ -6,6 +6,7 @@ columns. ``build`` checks and freezes the rules; later changes of the builder ar
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -22,34 +23,89 @@ THROW, IGNORE, ACCEPT, CONDITION = "throw", "ignore", "accept", "condition"
 class Event:
     """Fields of the event's body as columns: ``e.value`` or ``e["value"]``."""
 
+    def __init__(self, body: Column | None = None) -> None:
+        self._body = body
+
     def __getattr__(self, name: str) -> Column:
         if name.startswith("__"):
             raise AttributeError(name)
-        return F.col("body").getField(name)
+        return (F.col("body") if self._body is None else self._body).getField(name)
 
     __getitem__ = __getattr__
 
 
+class Existing:
+    """Fields of the row that a handler finds, for rules of three parameters: ``lambda old, e, c: e.value > old.best``."""
+
+    def __init__(self, row: Column) -> None:
+        self._row = row
+
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return self._row[name]
+
+    __getitem__ = __getattr__
+
+
+@dataclass(frozen=True)
+class ChildRef:
+    """A row of a child projection that a rule reads: where ``key`` is found there when the event comes. ``column`` holds it in the log."""
+
+    column: str
+    projection: str
+    key: Column
+    event_types: frozenset[str] | None
+
+
+class Child:
+    """Fields of a child projection's row as of the event; NULL where there is no such row."""
+
+    def __init__(self, column: str) -> None:
+        self._column = column
+
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return F.col(self._column).getField(name)
+
+    def is_there(self) -> Column:
+        return F.coalesce(F.col(self._column).getField("_exists"), F.lit(False))
+
+
 class Context:
-    """The envelope's columns, and headers by name."""
+    """The envelope's columns, headers by name, and rows of child projections."""
+
+    def __init__(self, op: Column | None = None, child: Callable[[str, Column], Child] | None = None) -> None:
+        self._op, self._child = op, child
 
     def __getattr__(self, name: str) -> Column:
         if name.startswith("__"):
             raise AttributeError(name)
-        return F.col(name)
+        return F.col(name) if self._op is None else self._op[name]
 
     def header(self, name: str) -> Column:
-        return F.col("event_headers")[name]
+        return self.event_headers[name]
 
     def transaction_header(self, name: str) -> Column:
-        return F.col("transaction_headers")[name]
+        return self.transaction_headers[name]
+
+    def child(self, projection: str, key: Column) -> Child:
+        """The row of ``key`` in the child ``projection``, as it is when the event comes: children see each event first."""
+        if self._child is None:
+            raise TypeError("a rule that reads its own row reads no child's")
+        return self._child(projection, key)
 
 
+#: A column, or what gives one for (event, context).
 Expr = Column | Callable[[Event, Context], Column]
+#: What also reads the row that is there: (existing, event, context).
+Reading = Callable[[Existing, Event, Context], Column]
 
 
-def resolve(x: Expr) -> Column:
-    return x if isinstance(x, Column) else x(Event(), Context())
+def reads_row(x: Expr | Reading) -> bool:
+    """Whether ``x`` takes the existing row: a function of three parameters without defaults."""
+    return not isinstance(x, Column) and sum(p.default is p.empty for p in inspect.signature(x).parameters.values()) == 3
 
 
 @dataclass(frozen=True)
@@ -63,7 +119,13 @@ class Rule:
     assigns: dict[str, Column] = field(default_factory=dict)
     adds: dict[str, Column] = field(default_factory=dict)
     action: str | None = None
-    built: bool = True
+    #: Conditions and assignments that read the row: functions of (existing, event, context).
+    reading: Reading | None = None
+    reading_assigns: dict[str, Reading] = field(default_factory=dict)
+
+    @property
+    def reads_row(self) -> bool:
+        return self.reading is not None or bool(self.reading_assigns)
 
 
 class _Handler:
@@ -72,14 +134,25 @@ class _Handler:
     def __init__(self, builder: EventMapBuilder, action: Action, rule: Rule) -> None:
         self._builder, self._action, self._rule, self._entries = builder, action, rule, []
 
-    def _set(self, policy: str, condition: Expr | None = None):
+    def _set(self, policy: str, condition: Expr | Reading | None = None):
         self._builder._check_open()
-        self._rule = replace(self._rule, policy=policy, condition=None if condition is None else resolve(condition))
+        own = condition is not None and reads_row(condition)
+        new = {"policy": policy, "condition": None if condition is None or own else self._resolve(condition), "reading": condition if own else None}
+        self._rule = replace(self._rule, **new)
         for i in self._entries:
             old, _ = self._builder._rules[i]
-            self._builder._rules[i] = (replace(old, policy=self._rule.policy, condition=self._rule.condition), self._action)
+            self._builder._rules[i] = (replace(old, **new), self._action)
         return self
 
+    def _resolve(self, x: Expr) -> Column:
+        return self._builder._resolve(x, self._rule.event_type)
+
+    def _assigns(self, given: dict[str, Expr | Reading]) -> dict[str, dict]:
+        return {
+            "assigns": {n: self._resolve(x) for n, x in given.items() if not reads_row(x)},
+            "reading_assigns": {n: x for n, x in given.items() if reads_row(x)},
+        }
+
     def _register(self, **more):
         self._builder._check_open()
         self._entries.append(len(self._builder._rules))
@@ -88,13 +161,13 @@ class _Handler:
 
 
 class _Using(_Handler):
-    def using(self, **assigns: Expr):
-        """Assign fields. Called twice it registers a second handler."""
-        return self._register(assigns={n: resolve(x) for n, x in assigns.items()})
+    def using(self, **assigns: Expr | Reading):
+        """Assign fields; a function of (existing, event, context) reads the row it changes. Called twice it registers a second handler."""
+        return self._register(**self._assigns(assigns))
 
-    def adding(self, _assigns: dict[str, Expr] | None = None, **adds: Expr):
+    def adding(self, _assigns: dict[str, Expr | Reading] | None = None, **adds: Expr):
         """Accumulate into fields by the function each was declared with (sum, count, min, max); ``_assigns`` are set, and restart a field."""
-        return self._register(assigns={n: resolve(x) for n, x in (_assigns or {}).items()}, adds={n: resolve(x) for n, x in adds.items()})
+        return self._register(**self._assigns(_assigns or {}), adds={n: self._resolve(x) for n, x in adds.items()})
 
 
 class Create(_Using):
@@ -105,8 +178,8 @@ class Create(_Using):
         """A duplicate is applied to the row that is there; fields it does not assign stay."""
         return self._set(ACCEPT)
 
-    def handling_duplicates_using(self, should_overwrite: Expr):
-        """Overwrite where the condition on event and context holds. For one that reads the existing row use ``fold_rows``."""
+    def handling_duplicates_using(self, should_overwrite: Expr | Reading):
+        """Overwrite where the condition on (event, context) or on (existing, event, context) holds."""
         return self._set(CONDITION, should_overwrite)
 
 
@@ -144,14 +217,14 @@ class Action:
 
     def when(self, predicate: Expr) -> Action:
         self._builder._check_open()
-        self._predicates.append(resolve(predicate))
+        self._predicates.append(self._builder._resolve(predicate, self._type))
         return self
 
     def _keyed(self, kind: type, op: str, key: Expr):
         self._builder._check_open()
         if self._builder.fields is None:
             raise TypeError("a map without fields has custom actions only")
-        return kind(self._builder, self, Rule(self._type, op, resolve(key)))
+        return kind(self._builder, self, Rule(self._type, op, self._builder._resolve(key, self._type)))
 
     def as_create_of(self, key: Expr) -> Create:
         return self._keyed(Create, CREATE, key)
@@ -190,6 +263,19 @@ class ProjectionPlan:
     filters: tuple[Column, ...]
     rules: tuple[Rule, ...]
     registry: TypeRegistry
+    children_read: tuple[ChildRef, ...] = ()
+
+    @property
+    def reads_row(self) -> bool:
+        """Whether a rule reads the row that it changes, so that a key's ops are folded one after another."""
+        return any(r.reads_row for r in self.rules)
+
+    def reads_child(self, ref: ChildRef) -> Column:
+        """Whether an event is one whose rules read ``ref``."""
+        if ref.event_types is None or self.registry.root in ref.event_types:
+            return F.lit(True)
+        types = [*ref.event_types, *(t for m in ref.event_types for t in self._reach(m))]
+        return F.coalesce(F.col("event_type").isin(types), F.lit(False))
 
     @property
     def mapped(self) -> list[str]:
@@ -238,15 +324,28 @@ class EventMapBuilder:
         self.fields = None if fields is None else {n: (f, None) if isinstance(f, str) else f for n, f in fields.items()}
         self._filters: list[Column] = []
         self._rules: list[tuple[Rule, Action]] = []
+        self._children: dict[tuple[str, str], tuple[Column, set | None]] = {}
         self._built = False
 
+    def _resolve(self, x: Expr, event_type: str | None) -> Column:
+        """The column of ``x``; the child rows that it reads are noted."""
+        if isinstance(x, Column):
+            return x
+
+        def child(projection: str, key: Column) -> Child:
+            _, types = self._children.setdefault((projection, str(key)), (key, set()))
+            types.add(event_type)
+            return Child(f"_child_{list(self._children).index((projection, str(key)))}")
+
+        return x(Event(), Context(child=child))
+
     def _check_open(self) -> None:
         if self._built:
             raise RuntimeError("the map has been built")
 
     def where(self, predicate: Expr) -> EventMapBuilder:
         self._check_open()
-        self._filters.append(resolve(predicate))
+        self._filters.append(self._resolve(predicate, None))
         return self
 
     def map(self, event_type: str) -> Action:
@@ -258,11 +357,16 @@ class EventMapBuilder:
     def build(self) -> ProjectionPlan:
         self._check_open()
         for rule, _ in self._rules:
-            unknown = [n for n in (*rule.assigns, *rule.adds) if n not in (self.fields or {})]
+            unknown = [n for n in (*rule.assigns, *rule.reading_assigns, *rule.adds) if n not in (self.fields or {})]
             if unknown:
                 raise ValueError(f"no such fields: {', '.join(unknown)}")
             plain = [n for n in rule.adds if self.fields[n][1] is None]
             if plain:
                 raise ValueError(f"no accumulator is declared for: {', '.join(plain)}")
         self._built = True
-        return ProjectionPlan(self.name, self.key_type, self.fields, tuple(self._filters), tuple(replace(r, predicates=tuple(a._predicates)) for r, a in self._rules), self.registry)
+        refs = tuple(ChildRef(f"_child_{n}", projection, key, None if None in types else frozenset(types)) for n, ((projection, _), (key, types)) in enumerate(self._children.items()))
+        rules = tuple(replace(r, predicates=tuple(a._predicates)) for r, a in self._rules)
+        plan = ProjectionPlan(self.name, self.key_type, self.fields, tuple(self._filters), rules, self.registry, refs)
+        if plan.reads_row and any(r.op == DELETE and r.policy == CONDITION for r in rules):
+            raise ValueError("a map whose rules read their row cannot report misses")
+        return plan

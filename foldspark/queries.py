@@ -19,7 +19,8 @@ from foldspark.plans.documents import realtime_state as classify
 from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
 from foldspark.plans.types import TypeRegistry
 from foldspark.sources import log as logs
-from foldspark.streaming.dispatcher import Dispatcher, SnapshotStore, SubscriptionOptions, shared_folder
+from foldspark.sources.tables import shared_folder
+from foldspark.streaming.dispatcher import Dispatcher, SnapshotStore, SubscriptionOptions
 from foldspark.streaming.state import stateful
 
 QUERIES: dict = {}
@@ -171,11 +172,87 @@ r(user_id, n, best) AS (SELECT user_id, n, value FROM e WHERE n = 1
   UNION ALL SELECT e.user_id, e.n, CASE WHEN e.value > r.best THEN e.value ELSE r.best END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
 SELECT user_id, max(best) AS best FROM r GROUP BY user_id""")
 def create_dup_reads_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A duplicate that is applied only if it beats the row that is there: the general fold."""
+    """A duplicate that is applied only if it beats the row that is there."""
     m = EventMapBuilder("best", "bigint", {"best": "double"})
-    m.map("signup").as_create_of(_USER).using(best=lambda e, c: e.value)
-    ops = fold.op_rows(m.build(), logs.events_log(spark, sf_dir)).select("key", *fold.ORDER, F.col("set_best.v").alias("value"))
-    return fold.fold_rows(ops, lambda row, op: {"best": op["value"]} if row is None or op["value"] > row["best"] else row, "key bigint, best double").withColumnRenamed("key", "user_id")
+    m.map("signup").as_create_of(_USER).handling_duplicates_using(lambda old, e, c: e.value > old.best).using(best=lambda e, c: e.value)
+    return _state(m.build(), logs.events_log(spark, sf_dir))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('signup', 'view', 'error')),
+r(user_id, n, here, streak, longest, last) AS (SELECT user_id, 0, false, 0, 0, CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT r.user_id, e.n, CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false ELSE here END,
+    CASE WHEN event_type = 'view' AND here THEN CASE WHEN value > last THEN streak + 1 ELSE 0 END WHEN event_type = 'signup' AND here THEN streak ELSE 0 END,
+    CASE WHEN event_type = 'view' AND here THEN greatest(longest, CASE WHEN value > last THEN streak + 1 ELSE 0 END) WHEN event_type = 'signup' AND here THEN longest ELSE 0 END,
+    CASE WHEN event_type = 'signup' OR (event_type = 'view' AND here) THEN value END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, CAST(streak AS BIGINT) AS streak, CAST(longest AS BIGINT) AS longest, last FROM r WHERE here QUALIFY n = max(n) OVER (PARTITION BY user_id)
+  AND n = (SELECT max(n) FROM e WHERE e.user_id = r.user_id)""")
+def update_reads_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments from the row that is there: how many views in a row rose over what came before, and the most of them."""
+    m = EventMapBuilder("streaks", "bigint", {"streak": "bigint", "longest": "bigint", "last": "double"})
+    rises = lambda old, e: F.when(e.value > old.last, old.streak + 1).otherwise(0)
+    m.map("signup").as_create_of(_USER).overwriting_duplicates().using(last=lambda e, c: e.value, streak=lambda old, e, c: F.coalesce(old.streak, F.lit(0)), longest=lambda old, e, c: F.coalesce(old.longest, F.lit(0)))
+    m.map("view").as_update_of(_USER).ignoring_misses().using(last=lambda e, c: e.value, streak=lambda old, e, c: rises(old, e), longest=lambda old, e, c: F.greatest(old.longest, rises(old, e)))
+    return _state(_deleting(m), logs.events_log(spark, sf_dir))
+
+
+@query(_fold_sql(_ops_sql(), """,
+cut AS (SELECT min(ord) AS cut_at FROM inc WHERE effective AND op = 'update' AND value > 60)
+SELECT x.user_id, last_value, cut_at + 1 AS error_checkpoint, CAST(cut_at + 1 AS VARCHAR) AS transaction_id, event_type, 'users' AS projector, 'CAST_INVALID_INPUT' AS reason FROM (
+  SELECT key AS user_id, arg_max(CASE WHEN effective THEN last_value END, ord) FILTER (WHERE effective) AS last_value, arg_max(fixes, ord) FILTER (WHERE fixes IS NOT NULL) AS lives FROM inc, cut WHERE incarnation > 0 AND ord < cut_at GROUP BY key, incarnation) x, cut
+JOIN events ON event_id = cut_at WHERE lives"""))
+def foreign_errors_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assignment that fails on some events: the first one that is applied stops the run, and says what it was."""
+    m = EventMapBuilder("users", "bigint", {"last_value": "double"}, TYPES)
+    m.map("signup").as_create_of(_USER).overwriting_duplicates().using(last_value=lambda e, c: e.value)
+    for kind in ("click", "view", "purchase"):
+        m.map(kind).as_update_of(_USER).ignoring_misses().using(last_value=lambda e, c: F.when(e.value > 60, "no number").otherwise(e.value.cast("string")))
+    return _with_error(Projector(_deleting(m)).project(logs.events_log(spark, sf_dir), on_error="cut"))
+
+
+def _with_error(found) -> DataFrame:
+    e = found.error
+    reason = next((r for r in ("CAST_INVALID_INPUT", "DIVIDE_BY_ZERO") if r in str(e.__cause__)), "none")
+    return found.state.select(
+        F.col("key").alias("user_id"), "last_value", F.lit(e.event["checkpoint"]).cast("long").alias("error_checkpoint"), F.lit(e.transaction_id).alias("transaction_id"),
+        F.lit(e.event["event_type"]).alias("event_type"), F.lit(e.child or e.projector).alias("projector"), F.lit(reason).alias("reason"),
+    )
+
+
+@query("""
+WITH c AS (SELECT min(event_id) AS cut_at FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0)
+SELECT user_id, arg_max(value, event_id) AS last_value, cut_at + 1 AS error_checkpoint, CAST(cut_at + 1 AS VARCHAR) AS transaction_id, 'purchase' AS event_type, 'child' AS projector, 'DIVIDE_BY_ZERO' AS reason
+FROM events, c WHERE event_type IN ('signup', 'purchase') AND event_id < cut_at GROUP BY ALL""")
+def child_predicate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate of a child divides by zero: the child's error comes before what its parent does with the same event."""
+    child = EventMapBuilder("child", "bigint", {"last_value": "double"})
+    child.map("purchase").when(lambda e, c: 1 / (e.user_id % 7) > 0.1).as_create_of(_USER).overwriting_duplicates().using(last_value=lambda e, c: e.value)
+    m = EventMapBuilder("users", "bigint", {"last_value": "double"})
+    for kind in ("signup", "purchase"):
+        m.map(kind).as_create_of(_USER).overwriting_duplicates().using(last_value=lambda e, c: F.when((c.event_type == "purchase") & (e.user_id % 7 == 0), F.raise_error(F.lit("late"))).otherwise(e.value))
+    return _with_error(Projector(m.build(), [Projector(child.build())]).project(logs.events_log(spark, sf_dir), on_error="cut"))
+
+
+@query("""
+WITH s AS (SELECT event_id, user_id, CASE WHEN event_type = 'signup' THEN value END AS v FROM events WHERE event_type IN ('signup', 'error')),
+p AS (SELECT a.event_id, a.user_id, CASE WHEN a.event_type = 'purchase' THEN a.value - coalesce(s.v, 0) END AS over FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) a
+      ASOF LEFT JOIN s ON a.user_id = s.user_id AND a.event_id >= s.event_id),
+w AS (SELECT v.event_id, v.user_id, p.over, s.v FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.event_id >= p.event_id ASOF LEFT JOIN s ON v.user_id = s.user_id AND v.event_id >= s.event_id)
+SELECT user_id, round(arg_max(over, event_id) FILTER (WHERE true), 6) AS over, arg_max(over IS NOT NULL, event_id) AS bought, arg_max(v IS NOT NULL, event_id) AS signed_up FROM w
+GROUP BY user_id""".replace("arg_max(over, event_id) FILTER (WHERE true)", "arg_max({'x': over}, event_id).x"))
+def children_read_in_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels: purchases read the signups below them as they are then, views read both."""
+    signups = EventMapBuilder("signups", "bigint", {"v": "double"})
+    signups.map("signup").as_create_of(_USER).overwriting_duplicates().using(v=lambda e, c: e.value)
+    bought = EventMapBuilder("bought", "bigint", {"over": "double"})
+    bought.map("purchase").as_create_of(_USER).overwriting_duplicates().using(over=lambda e, c: e.value - F.coalesce(c.child("signups", e.user_id).v, F.lit(0.0)))
+    m = EventMapBuilder("views", "bigint", {"over": "double", "bought": "boolean", "signed_up": "boolean"})
+    m.map("view").as_create_of(_USER).overwriting_duplicates().using(
+        over=lambda e, c: c.child("bought", e.user_id).over, bought=lambda e, c: c.child("bought", e.user_id).is_there(), signed_up=lambda e, c: c.child("signups", e.user_id).is_there()
+    )
+    projector = Projector(m.build(), [Projector(_deleting(bought), [Projector(_deleting(signups))])])
+    return projector.project(logs.events_log(spark, sf_dir)).state.select(F.col("key").alias("user_id"), F.round("over", 6).alias("over"), "bought", "signed_up")
 
 
 @query(_fold_sql(_ops_sql(update="true"), _STATE))

@@ -7,7 +7,6 @@ own named after the batch. A batch that runs again writes the same folder again,
 from __future__ import annotations
 
 import logging
-import tempfile
 import threading
 import time
 from collections.abc import Callable
@@ -24,17 +23,6 @@ from foldspark.sources.log import after
 log = logging.getLogger(__name__)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="foldspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Resolution(Enum):
     ABORT = "abort"
     RETRY = "retry"
