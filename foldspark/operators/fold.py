@@ -10,6 +10,7 @@ the partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,19 @@ def op_rows(plan: ProjectionPlan, log: DataFrame, risks: Risks | None = None) ->
     return log.where(accepted if torn is None else torn | accepted).select(*kept, "body", F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*(kept if plan.reads_row else OP_ENVELOPE), "body", "r.*")
 
 
+def keys_of(plan: ProjectionPlan, log: DataFrame) -> DataFrame | None:
+    """The distinct keys that events of ``log`` may change, whatever filters and predicates say; None if keys come from a child's row. A key that fails is left out."""
+    if any("_child_" in str(r.key) for r in plan.rules):
+        return None
+    bare, parts = replace(plan, filters=(), rules=tuple(replace(r, predicates=()) for r in plan.rules)), []
+    for n, rule in enumerate(plan.rules):
+        if rule.op != CUSTOM:
+            key = rule.key.cast(plan.key_type)
+            parts += [F.when(condition & ~failed(key), F.struct(key.alias("key"))) for _, condition in bare.matches(n)]
+    found = F.array_compact(F.array(*parts)) if parts else F.array().cast(f"array<struct<key:{plan.key_type}>>")
+    return log.select(F.explode(found).alias("k")).select("k.key").distinct()
+
+
 def _filter_op(plan: ProjectionPlan) -> list[Column]:
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     fields = plan.fields or {}
@@ -91,7 +105,7 @@ def snapshot_rows(plan: ProjectionPlan, snapshot: DataFrame) -> DataFrame:
     sets = [F.struct(F.col(n).alias("v")).alias(f"set_{n}") for n in plan.fields]
     adds = [F.lit(None).cast(k).alias(f"add_{n}") for n, (k, how) in plan.fields.items() if how]
     return own.select(
-        F.lit(-1).cast("long").alias("checkpoint"), F.lit(0).alias("event_seq"), F.lit(0).alias("rule_seq"), F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("event_type"),
+        F.lit(-1).cast("long").alias("checkpoint"), F.lit(0).alias("event_seq"), F.lit(-1).alias("rule_seq"), F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("event_type"),
         F.lit(CREATE).alias("op"), "key", F.lit(None).cast("string").alias("action"), F.lit(ACCEPT).alias("policy"), F.lit(True).alias("accepts"), F.lit(0).alias("err"), *sets, *adds,
     )
 
@@ -235,7 +249,7 @@ def _step(plan: ProjectionPlan, maps: list[str]) -> Callable[[Column, Column], C
         here, row, kind = acc["here"], acc["row"], op["op"]
         op_event, old = Event(op["body"]), Existing(row)
         context = Context(_Opened(op, maps))
-        number = F.pmod(op["rule_seq"], F.lit(len(rules)))
+        number = F.when(op["rule_seq"] >= 0, F.pmod(op["rule_seq"], F.lit(len(rules))))  # rows of a snapshot come from no rule
 
         def of_rules(found: dict[int, Column], otherwise: Column) -> Column:
             out = None

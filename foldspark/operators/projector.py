@@ -118,6 +118,17 @@ class Projector:
             runs[plan.name] = run
         return runs
 
+    def keys(self, log: DataFrame) -> dict[str, tuple[DataFrame | None, DataFrame | None]]:
+        """By name: the keys that ``log`` may change, and those together with the ones that rules of parents look up. None: all."""
+        own = {p.plan.name: fold.keys_of(p.plan, log) if p.plan.fields is not None else None for p in self._in_order()}
+        needed = dict(own)
+        for p in self._in_order():
+            for ref in p.plan.children_read:
+                if needed[ref.projection] is not None:
+                    kind = own[ref.projection].schema["key"].dataType
+                    needed[ref.projection] = needed[ref.projection].unionByName(log.where(p.plan.reads_child(ref)).select(ref.key.cast(kind).alias("key"))).distinct()
+        return {n: (own[n], needed[n]) for n in own}
+
     def _with_children(self, log: DataFrame, runs: dict[str, _Run]) -> DataFrame:
         """``log`` with a column for each child row that rules read: the child's row as of the event, which the child has seen before.
 

@@ -20,7 +20,8 @@ from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
 from foldspark.plans.types import TypeRegistry
 from foldspark.sources import log as logs
 from foldspark.sources.tables import shared_folder
-from foldspark.streaming.dispatcher import Dispatcher, SnapshotStore, SubscriptionOptions
+from foldspark.streaming.dispatcher import Dispatcher, SubscriptionOptions
+from foldspark.streaming.store import SnapshotStore
 from foldspark.streaming.state import stateful
 
 QUERIES: dict = {}
@@ -455,6 +456,41 @@ def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("users").withColumnRenamed("key", "user_id")
 
 
+@query(SQL["project_user_state"])
+def stream_user_state_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over four files, a batch each, on stored rows; stopped after the second file and subscribed again."""
+    path, rows = f"{shared_folder(spark)}/restarted-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/events.parquet")
+    quarter = rows.agg(F.max("event_id")).first()[0] // 4 + 1
+    store, id = SnapshotStore(spark, f"{path}/state"), f"restarted-{uuid.uuid4().hex}"
+    stream = lambda options: logs.as_events_log(spark.readStream.schema(rows.schema).options(**options).parquet(f"{path}/events"))
+    dispatcher = Dispatcher(stream, lambda: logs.as_events_log(spark.read.parquet(f"{path}/events")))
+    options = SubscriptionOptions(id=id, reader_options={"maxFilesPerTrigger": "1"})
+    for half in range(2):
+        for n in (2 * half, 2 * half + 1):
+            rows.where((F.col("event_id") >= n * quarter) & (F.col("event_id") < (n + 1) * quarter)).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        dispatcher.subscribe(Projector(_deleting(_users())), store, f"{path}/progress", options=options).awaitTermination()
+    return store.read("users").withColumnRenamed("key", "user_id")
+
+
+@query("SELECT 4 AS batches, count(*) AS n, CAST(sum(CASE WHEN n < 4 THEN 1 ELSE 0 END) AS BIGINT) AS in_some FROM (SELECT user_id, count(DISTINCT least(event_id // (SELECT max(event_id) // 4 + 1 FROM events), 3)) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) WHERE n > 0")
+def stream_batches_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many batches each user has bought: what the accumulators of rows carry from one batch to the next."""
+    path, rows = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/events.parquet")
+    quarter = rows.agg(F.max("event_id")).first()[0] // 4 + 1
+    store, handled = SnapshotStore(spark, f"{path}/state"), []
+    for n in range(4):
+        rows.where((F.col("event_id") >= n * quarter) & (F.col("event_id") < (n + 1) * quarter)).withColumn("batch", F.lit(n)).coalesce(1).write.mode("append").parquet(f"{path}/events")
+    own = spark.read.parquet(f"{path}/events")
+    log = lambda r: logs.make_log(r, checkpoint=F.col("event_id") + 1, event_type=F.col("event_type"), body=F.struct("user_id", "batch"))
+    m = EventMapBuilder("seen", "bigint", {"last": "int", "n": "int"})
+    m.map("purchase").as_create_of(_USER).handling_duplicates_using(lambda old, e, c: e.batch != old.last).using(last=lambda e, c: e.batch, n=lambda old, e, c: F.coalesce(old.n, F.lit(0)) + 1)
+    stream = lambda options: log(spark.readStream.schema(own.schema).options(**options).parquet(f"{path}/events"))
+    options = SubscriptionOptions(id=f"batches-{uuid.uuid4().hex}", success_handler=lambda info: handled.append(info.batch_id), reader_options={"maxFilesPerTrigger": "1"})
+    Dispatcher(stream, lambda: log(own)).subscribe(Projector(m.build()), store, f"{path}/progress", options=options).awaitTermination()
+    return store.read("seen").agg(F.lit(len(handled)).alias("batches"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("n") < 4, 1).otherwise(0)).alias("in_some"))
+
+
+
 def _stream(spark: SparkSession, sf_dir: str, options: dict[str, str]) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return logs.as_events_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").options(**options).parquet(sf_dir))

@@ -1,7 +1,8 @@
 """Projections over streams: a subscription with policies for errors, retries and restarts.
 
-Each micro-batch of the log is folded on top of the last snapshot, and the new snapshot is written to a folder of its
-own named after the batch. A batch that runs again writes the same folder again, so its effect is applied once.
+Each micro-batch of the log is folded on top of the stored rows of the keys that it concerns, and what it changed is
+written as a version of its own named after the batch. A batch that runs again replaces its version, so its effect is
+applied once.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foldspark.operators.projector import Projector
 from foldspark.sources.log import after
+from foldspark.sources.tables import sized
+from foldspark.streaming.store import SnapshotStore
 
 log = logging.getLogger(__name__)
 
@@ -54,85 +57,6 @@ class SubscriptionOptions:
     reader_options: dict[str, str] = field(default_factory=dict)
 
 
-class SnapshotStore:
-    """Snapshots in ``path``/name/batch=N for each projection; the newest finished one counts. Edits by hand are versions of it, batch=N.1 and on.
-
-    A batch writes a projection's whole state, so this is for states that are small beside the log; ``stateful`` writes
-    only the rows that change.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _dir(self, name: str) -> object:
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def versions(self, name: str) -> list[tuple[int, int]]:
-        """(batch, edit) of the finished snapshots, in order."""
-        if not self._fs.exists(self._dir(name)):
-            return []
-        found = [s.getPath() for s in self._fs.listStatus(self._dir(name))]
-        finished = [p.getName().partition("=")[2] for p in found if p.getName().startswith("batch=") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted((int(n.partition(".")[0]), int(n.partition(".")[2] or 0)) for n in finished)
-
-    def batches(self, name: str) -> list[int]:
-        return sorted({n for n, _ in self.versions(name)})
-
-    def _at(self, name: str, version: tuple[int, int]) -> str:
-        return f"{self.path}/{name}/batch={version[0]}" + (f".{version[1]}" if version[1] else "")
-
-    def read(self, name: str, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self.versions(name) if before is None or v[0] < before]
-        return self.spark.read.parquet(self._at(name, known[-1])) if known else None
-
-    def _write(self, name: str, version: tuple[int, int], state: DataFrame, keep: int) -> None:
-        state.write.mode("overwrite").parquet(self._at(name, version))
-        for old in self.versions(name)[:-keep]:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name, old)), True)
-
-    def write(self, name: str, batch_id: int, state: DataFrame, keep: int = 2) -> None:
-        """The state after a batch. A batch that runs again replaces what it wrote before, and edits of that."""
-        for v in self.versions(name):
-            if v[0] == batch_id and v[1]:
-                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name, v)), True)
-        self._write(name, (batch_id, 0), state, keep)
-
-    def find(self, name: str, key: object) -> Row | None:
-        """The row of ``key``, or None; the filter reaches the scan."""
-        state = self.read(name)
-        return None if state is None else next(iter(state.where(F.col("key").eqNullSafe(F.lit(key))).take(1)), None)
-
-    def count(self, name: str) -> int:
-        state = self.read(name)
-        return 0 if state is None else state.count()
-
-    def add_range(self, name: str, rows: DataFrame) -> None:
-        """Add rows (key and fields); a key that is there is an error, as is one that comes twice."""
-        state = self.read(name)
-        every = rows if state is None else state.unionByName(rows)
-        if every.groupBy("key").count().where("count > 1").limit(1).count():
-            raise ValueError("a key is there already, or comes twice")
-        batch, edit = next(reversed(self.versions(name)), (0, 0))
-        self._write(name, (batch, edit + 1), every, 2)
-
-    def remove_range(self, name: str, keys: DataFrame) -> None:
-        """Remove the rows whose key is in column ``key`` of ``keys``; keys that are not there do no harm."""
-        state, gone = self.read(name), keys.select(F.col("key").alias("_gone")).distinct()
-        if state is not None:
-            batch, edit = self.versions(name)[-1]
-            self._write(name, (batch, edit + 1), state.join(gone, F.col("key").eqNullSafe(F.col("_gone")), "left_anti"), 2)
-
-    def remove_by_key(self, name: str, key: object) -> None:
-        state = self.read(name)
-        if state is not None:
-            self.remove_range(name, self.spark.range(1).select(F.lit(key).cast(state.schema["key"].dataType).alias("key")))
-
-    def clear(self, name: str | None = None) -> None:
-        """Remove one projection's snapshots, or all."""
-        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path) if name is None else self._dir(name), True)
-
-
 class Dispatcher:
     """Subscribes projectors to a log. ``stream`` makes the streaming log, ``batch`` reads what is there now."""
 
@@ -146,14 +70,19 @@ class Dispatcher:
 
     def handle_batch(self, projector: Projector, store: SnapshotStore, rows: DataFrame, batch_id: int, options: SubscriptionOptions) -> None:
         """One micro-batch under the policy. Ignore keeps what came before the error and goes on with the next batch."""
+        rows = rows.persist()  # read once for all projections and attempts
+        try:
+            self._handle_batch(projector, store, rows, batch_id, options)
+        finally:
+            rows.unpersist()
+
+    def _handle_batch(self, projector: Projector, store: SnapshotStore, rows: DataFrame, batch_id: int, options: SubscriptionOptions) -> None:
         info, attempts = Info(options.id, batch_id, rows.agg(F.max("checkpoint")).first()[0]), 0
         on_error = "raise"
         while True:
             attempts += 1
             try:
-                result = projector.project(rows, {n: s for n in projector.names() if (s := store.read(n, batch_id)) is not None}, on_error)
-                for name, state in self._states(projector, result):
-                    store.write(name, batch_id, state)
+                self._project(projector, store, rows, batch_id, on_error)
                 if on_error == "raise":
                     options.success_handler(info)
                 self._handled(info)
@@ -169,6 +98,24 @@ class Dispatcher:
                         return
                     on_error = "cut"
 
+    def _project(self, projector: Projector, store: SnapshotStore, rows: DataFrame, batch_id: int, on_error: str) -> None:
+        """Fold the batch on the stored rows of its keys and of those that its rules look up, and store what has changed."""
+        keys = projector.keys(rows)
+        before = {n: s for n, (_, needed) in keys.items() if (s := store.read(n, batch_id, needed)) is not None}
+        result = projector.project(rows, before, on_error)
+        for name, state in self._states(projector, result):
+            own = keys[name][0]
+            if own is None:
+                store.write(name, batch_id, state)
+                continue
+            touched = lambda found, own=own: found.join(sized(own.select(F.col("key").alias("_key"))), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+            changes = touched(state).withColumn("exists", F.lit(True))
+            if name in before:
+                left = state.select(F.col("key").alias("_key"))
+                gone = touched(before[name]).join(left, F.col("key").eqNullSafe(F.col("_key")), "left_anti")
+                changes = changes.unionByName(gone.select("key", *(F.lit(None).cast(t).alias(n) for n, t in state.dtypes if n != "key"), F.lit(False).alias("exists")))
+            store.apply(name, batch_id, changes)
+
     def _handled(self, info: Info) -> None:
         with self._progress:
             self.handled[info.id] = max(self.handled.get(info.id, 0), info.checkpoint or 0)

@@ -178,6 +178,13 @@ def test_rules_read_their_row(spark, monkeypatch, chain):
     assert {r.key: (r.n, r.seen, r.path) for r in again.collect()} == model(events)
 
 
+def test_stored_rows_go_through_no_rule(spark):
+    m = EventMapBuilder("reads", "string", {"n": "int"})
+    m.map("A").as_create_of(KEY).overwriting_duplicates().using(n=lambda old, e, c: F.coalesce(old.n, F.lit(0)) + 1)
+    found = Projector(m.build()).project(log(spark, [("A", "a", ""), ("A", "b", "")]), {"reads": spark.createDataFrame([("a", 5), ("c", 7)], "key string, n int")})
+    assert rows(found) == {"a": 6, "b": 1, "c": 7}
+
+
 def test_errors_of_rules_that_read_their_row(spark):
     m = EventMapBuilder("reads", "string", {"n": "int"})
     m.map("A").as_create_of(KEY).ignoring_duplicates().using(n=lambda e, c: e.text.cast("int"))
