@@ -22,7 +22,7 @@ from foldspark.sources import log as logs
 from foldspark.sources.tables import shared_folder
 from foldspark.streaming.dispatcher import Dispatcher, SubscriptionOptions
 from foldspark.streaming.store import SnapshotStore
-from foldspark.streaming.state import stateful
+from foldspark.streaming.state import stateful, stateful_history
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -317,11 +317,15 @@ SELECT l.key AS user_id, CAST(count(CASE WHEN effective AND op = 'update' THEN 1
 FROM latest l JOIN alive a ON a.key = l.key AND a.incarnation = l.incarnation AND a.lives GROUP BY l.key, l.incarnation"""))
 def project_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums of activities; a signup starts the sum anew."""
+    return _state(_totals(), logs.events_log(spark, sf_dir)).withColumn("total", F.round("total", 4))
+
+
+def _totals() -> ProjectionPlan:
     m = EventMapBuilder("totals", "bigint", {"n": ("bigint", "count"), "total": ("double", "sum"), "highest": ("double", "max")})
     m.map("signup").as_create_of(_USER).overwriting_duplicates().adding({"total": F.lit(0.0)}, highest=lambda e, c: e.value)
     for kind in ("click", "view", "purchase"):
         m.map(kind).as_update_of(_USER).ignoring_misses().adding(n=F.lit(1), total=lambda e, c: e.value, highest=lambda e, c: e.value)
-    return _state(_deleting(m), logs.events_log(spark, sf_dir)).withColumn("total", F.round("total", 4))
+    return _deleting(m)
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, arg_max(event_type, event_id) AS last_type, count(*) AS n FROM events GROUP BY 1")
@@ -460,14 +464,12 @@ def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_user_state_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship over four files, a batch each, on stored rows; stopped after the second file and subscribed again."""
     path, rows = f"{shared_folder(spark)}/restarted-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/events.parquet")
-    quarter = rows.agg(F.max("event_id")).first()[0] // 4 + 1
     store, id = SnapshotStore(spark, f"{path}/state"), f"restarted-{uuid.uuid4().hex}"
     stream = lambda options: logs.as_events_log(spark.readStream.schema(rows.schema).options(**options).parquet(f"{path}/events"))
     dispatcher = Dispatcher(stream, lambda: logs.as_events_log(spark.read.parquet(f"{path}/events")))
     options = SubscriptionOptions(id=id, reader_options={"maxFilesPerTrigger": "1"})
     for half in range(2):
-        for n in (2 * half, 2 * half + 1):
-            rows.where((F.col("event_id") >= n * quarter) & (F.col("event_id") < (n + 1) * quarter)).coalesce(1).write.mode("append").parquet(f"{path}/events")
+        _quarters(spark, sf_dir, f"{path}/events", [2 * half, 2 * half + 1])
         dispatcher.subscribe(Projector(_deleting(_users())), store, f"{path}/progress", options=options).awaitTermination()
     return store.read("users").withColumnRenamed("key", "user_id")
 
@@ -504,14 +506,58 @@ def _dispatcher(spark: SparkSession, sf_dir: str) -> Dispatcher:
 def stream_user_state_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship as keyed streaming state: each batch gives out the rows that it changed, and the last one of a key counts."""
     path = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
-    changes = stateful(_deleting(_users()), _stream(spark, sf_dir, {}))
+    _keep_changes(stateful(_deleting(_users()), _stream(spark, sf_dir, {})), path)
+    last = spark.read.parquet(f"{path}/changes").groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("exists", *FIELDS), "batch_id").alias("l"))
+    return last.where("l.exists").select("user_id", *(F.col(f"l.{n}").alias(n) for n in FIELDS))
+
+
+def _quarters(spark: SparkSession, sf_dir: str, path: str, which: list[int]) -> DataFrame:
+    """Append quarters of ``events``, a file each, and give the table that they come from."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    quarter = rows.agg(F.max("event_id")).first()[0] // 4 + 1
+    for n in which:
+        rows.where((F.col("event_id") >= n * quarter) & (F.col("event_id") < (n + 1) * quarter)).coalesce(1).write.mode("append").parquet(path)
+    return rows
+
+
+def _keep_changes(changes: DataFrame, path: str) -> None:
+    """Run a stream of changes to its end, each batch a folder."""
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch_id", F.lit(n)).write.mode("overwrite").parquet(f"{path}/changes/batch={n}")
 
-    changes.writeStream.outputMode("update").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    last = spark.read.parquet(f"{path}/changes").groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("exists", *FIELDS), "batch_id").alias("l"))
-    return last.where("l.exists").select("user_id", *(F.col(f"l.{n}").alias(n) for n in FIELDS))
+    changes.writeStream.outputMode("append" if "past" in changes.columns else "update").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+@query(SQL["project_accumulators"])
+def stream_accumulators_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accumulators as keyed state: begun with the rows of the first quarter of the log, a batch for each of the others, stopped and started again in between."""
+    path = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
+    first = _quarters(spark, sf_dir, f"{path}/first", [0])
+    before = Projector(_totals()).project(logs.as_events_log(spark.read.parquet(f"{path}/first"))).state
+    before.write.parquet(f"{path}/before")
+    for which in ([1, 2], [3]):
+        _quarters(spark, sf_dir, f"{path}/events", which)
+        log = logs.as_events_log(spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events"))
+        _keep_changes(stateful(_totals(), log, spark.read.parquet(f"{path}/before")), path)
+    names = ["n", "total", "highest"]
+    rows = spark.read.parquet(f"{path}/changes").select("key", "batch_id", "exists", *names).unionByName(spark.read.parquet(f"{path}/before").select("key", F.lit(-1).alias("batch_id"), F.lit(True).alias("exists"), *names))
+    last = rows.groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("exists", *names), "batch_id").alias("l"))
+    return last.where("l.exists").select("user_id", "l.n", F.round("l.total", 4).alias("total"), "l.highest")
+
+
+@query(_fold_sql(_ops_sql(), """,
+took AS (SELECT *, lag(ord) OVER w AS before, lag(op) OVER w AS op_before, lag(last_value) OVER w AS value_before FROM inc WHERE effective OR (op = 'delete' AND present) WINDOW w AS (PARTITION BY key ORDER BY ord))
+SELECT ord + 1 AS checkpoint, key AS user_id, op, NOT (op = 'delete') AS "exists", CASE WHEN op <> 'delete' THEN last_value END AS last_value, before + 1 AS checkpoint_before,
+       CASE WHEN op_before <> 'delete' THEN value_before END AS value_before FROM took"""))
+def stream_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes of the flagship from four batches, each with the state before it, which an earlier batch may have left."""
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    events = _quarters(spark, sf_dir, f"{path}/events", [0, 1, 2, 3])
+    log = logs.as_events_log(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events"))
+    _keep_changes(stateful_history(_deleting(_users()), log, keep=1), path)
+    past = F.try_element_at("past", F.lit(1))
+    return spark.read.parquet(f"{path}/changes").select("checkpoint", F.col("key").alias("user_id"), "op", "exists", "last_value", past["checkpoint"].alias("checkpoint_before"), past["last_value"].alias("value_before"))
 
 
 @query("SELECT max(event_id + 1) AS checkpoint, 1 AS batches FROM events")

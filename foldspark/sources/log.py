@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foldspark.sources.tables import written
+
 ENVELOPE = ["checkpoint", "event_seq", "transaction_id", "stream_id", "timestamp_utc", "transaction_headers", "event_headers", "event_type", "body"]
 #: Envelope of logs whose bodies are JSON text.
 JSON_LOG = (
@@ -87,12 +89,15 @@ RANGE_ROWS, RANGES = 10_000, 100_000
 
 
 def _in_ranges(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with _range: equal cuts of the values of ``order`` (a number or a time), in their order, so that no task sees all rows. Nulls come first."""
-    value = F.col(order).cast("double")
-    low, high, n = rows.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
-    parts = max(1, min(RANGES, n // RANGE_ROWS))
-    cut = F.least(F.floor((value - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1.0)) * parts), F.lit(parts - 1))
-    return rows.withColumn("_range", F.coalesce(cut, F.lit(-1)))
+    """``rows`` by the order of ``order``, with _range (the partition, in that order) and _at (the row's number in it, from 1); nulls come first.
+
+    Spark samples quantiles and deals rows out by them, so ranges hold about as many rows each however the values lie;
+    rows of one value stay together. The table is written, so that all that is derived from it sees the same ranges.
+    """
+    count = rows.count()
+    parts = max(1, min(RANGES, count // RANGE_ROWS))
+    dealt = rows.repartitionByRange(parts, F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id())
+    return written(dealt, "ranges").withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first())))
 
 
 def in_batches(log: DataFrame, size: int) -> DataFrame:
@@ -103,27 +108,29 @@ def in_batches(log: DataFrame, size: int) -> DataFrame:
     if size < 1:
         raise ValueError("a batch holds one transaction at least")
     own = _in_ranges(log.select("checkpoint").distinct(), "checkpoint")
-    ranges = own.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
-    before = ranges.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("before"))
-    numbered = own.join(before, "_range").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("_range").orderBy("checkpoint")) - 1)
+    before = _before(own.groupBy("_range").agg(F.count(F.lit(1)).alias("n")))
+    numbered = own.join(before, "_range").withColumn("at", F.col("before") + F.col("_at") - 1)
     return log.join(numbered.select("checkpoint", F.floor(F.col("at") / size).alias("batch_id")), "checkpoint")
 
 
+def _before(ranges: DataFrame) -> DataFrame:
+    """``ranges`` (_range, n, ...; a row for each range) with ``before``: the rows of all earlier ranges."""
+    return ranges.withColumn("before", F.sum("n").over(Window.orderBy("_range")) - F.col("n"))
+
+
 def assign_checkpoints(transactions: DataFrame, order: str, last: int = 0) -> DataFrame:
-    """Give transactions whose checkpoint is -1 or null the next ones after ``last``; explicit ones replace the counter, as they come in ``order`` (a number or a time).
+    """Give transactions whose checkpoint is -1 or null the next ones after ``last``; explicit ones replace the counter, as they come in ``order`` (a column of any type that has an order).
 
     The counter restarts at each explicit checkpoint, so each transaction is the last explicit one before it plus its
     distance from there. Ranges of ``order`` are worked on by themselves; what a range takes over from those before it,
     the last explicit checkpoint and its distance, comes from a table with a row for each range.
     """
-    w = Window.partitionBy("_range").orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     explicit = F.when(F.col("checkpoint") != -1, F.col("checkpoint"))
-    rows = _in_ranges(transactions, order).withColumn("_at", F.row_number().over(w))
+    rows = _in_ranges(transactions, order)
     rows = rows.withColumn("_own", F.last(F.when(explicit.isNotNull(), F.struct(explicit.alias("base"), F.col("_at").alias("at"))), ignorenulls=True).over(upto))
-    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max_by("_own", "_at").alias("own"))
+    ranges = _before(rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max_by("_own", "_at").alias("own"))).withColumnRenamed("before", "start")
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     known = F.when(F.col("own").isNotNull(), F.struct(F.col("own.base").alias("base"), (F.col("start") + F.col("own.at")).alias("at")))
     first = F.struct(F.lit(last).cast("long").alias("base"), F.lit(0).cast("long").alias("at"))
     ranges = ranges.select("_range", "start", F.coalesce(F.last(known, ignorenulls=True).over(earlier), first).alias("_before"))

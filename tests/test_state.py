@@ -6,7 +6,7 @@ from foldspark.operators.projector import Projector
 from foldspark.plans.event_map import EventMapBuilder
 from foldspark.sources import log as logs
 from foldspark.streaming.dispatcher import catch_up, has_subscription
-from foldspark.streaming.state import stateful
+from foldspark.streaming.state import stateful, stateful_history
 
 
 def plan():
@@ -53,3 +53,30 @@ def test_large_numbers_nulls_and_nan(spark, tmp_path):
     query.foreachBatch(lambda batch, _: found.update({r.key: (r.n, r.x, r["sum"]) for r in batch.collect()})).start().awaitTermination()
     assert set(found) == {big + 1, None, big + 3}
     assert found[big + 3] == (big + 3, None, big) and found[big + 1][0] is None and found[big + 1][1] != found[big + 1][1] and found[big + 1][2] == 2 * big and found[None][0] is None
+
+
+def test_history_and_initial_state_over_batches(spark, tmp_path):
+    store = logs.LogStore(spark, str(tmp_path / "log"))
+    kinds = ["up", "hit", "hit", "down", "hit", "up"]
+    for _ in range(3):
+        store.write(*(logs.Transaction([(kinds[(i * 5 + i // 4) % 6], {})], stream_id=f"k{i % 4}") for i in range(13)))
+    before = spark.createDataFrame([("k1", "then", 100, 5), ("other", None, 1, 1)], "key string, last string, total long, n long")
+    found = {}
+    for name, stream in (
+        ("rows", stateful(plan(), store.stream(maxFilesPerTrigger="1"), before)),
+        ("changes", stateful_history(plan(), store.stream(maxFilesPerTrigger="1"), before, keep=2)),
+    ):
+        rows = []
+        writer = stream.writeStream.outputMode("update" if name == "rows" else "append").option("checkpointLocation", str(tmp_path / name))
+        writer.trigger(availableNow=True).foreachBatch(lambda b, n, rows=rows: rows.extend((n, r) for r in b.collect())).start().awaitTermination()
+        found[name] = rows
+    assert {n for n, _ in found["rows"]} == {0, 1, 2}
+    want = {r.key: (r.last, r.total, r.n) for r in Projector(plan()).project(store.read(), {"users": before}).state.where("key <> 'other'").collect()}
+    last = {r.key: (r.last, r.total, r.n) if r.exists else None for _, r in found["rows"]}
+    assert {k: v for k, v in last.items() if v} == want
+    ends, seen = {}, {}
+    for _, r in sorted(found["changes"], key=lambda x: (x[1].checkpoint, x[1].event_seq)):
+        assert [(p.checkpoint, p.exists, p.total) for p in r.past] == seen.get(r.key, [])[-2:]
+        seen.setdefault(r.key, []).append((r.checkpoint, r.exists, r.total))
+        ends[r.key] = (r.last, r.total, r.n) if r.exists else None
+    assert {k: v for k, v in ends.items() if v} == want
