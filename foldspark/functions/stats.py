@@ -7,16 +7,15 @@ value), events (body). All figures are DataFrames.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import FloatType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from foldspark.operators.fold import same_key
+from foldspark.sources.tables import sized, written
 
 #: Of the two samplers: seconds that must pass for a new sample (strictly more), and samples kept.
 SHORT, LONG = (5, 12), (60, 9)
@@ -34,26 +33,71 @@ def last_properties(properties: DataFrame) -> DataFrame:
     return properties.groupBy("projector_id", "name").agg(last.alias("l")).select("projector_id", "name", F.col("l.value").alias("value"), F.col("l.ts").alias("ts"))
 
 
-class _Sampler:
-    """The newest ``keep`` speeds (checkpoints a second, 32 bits): the first record is the base, each record over ``threshold`` seconds after the last base is a sample and the new base."""
+#: Records of a range, about: ranges are worked on by themselves.
+RANGE_ROWS = 100_000
 
-    def __init__(self, threshold: int, keep: int) -> None:
-        self.threshold, self.samples, self.base = threshold, deque(maxlen=keep), None
 
-    def add(self, at: np.ndarray, checkpoint: np.ndarray) -> None:
-        """Records in order of calls, ``at`` in seconds. A sample is looked for in steps that double, so a dense log costs little a record."""
-        n = 0
-        if self.base is None and len(at):
-            self.base, n = (at[0], checkpoint[0]), 1
-        while n < len(at):
-            width = 64
-            while not (later := np.flatnonzero(at[n : n + width] - self.base[0] > self.threshold)).size and n + width < len(at):
-                n, width = n + width, 2 * width
-            if not later.size:
-                return
-            n += int(later[0])
-            self.samples.append(np.float32((checkpoint[n] - self.base[1]) / (at[n] - self.base[0])))
-            self.base, n = (at[n], checkpoint[n]), n + 1
+class _Range:
+    """Records of one projector in a range of its log, and where a sampler goes from any of them.
+
+    The record that becomes the next base after base b is the first later one more than ``threshold`` seconds after b,
+    so it depends on b's time alone, and what a range does to a base that enters it is a step function of that time.
+    """
+
+    def __init__(self, at: np.ndarray, checkpoint: np.ndarray, threshold: int) -> None:
+        self.at, self.checkpoint, self.threshold = at, checkpoint, threshold
+        n = len(at)
+        tops = [at]  # the latest time of 1, 2, 4, ... records from each one on
+        while 2 << (len(tops) - 1) <= n:
+            half = len(tops[-1]) - (1 << (len(tops) - 1))
+            tops.append(np.maximum(tops[-1][:half], tops[-1][-half:]))
+        place = np.arange(1, n + 1)
+        for step in range(len(tops) - 1, -1, -1):
+            can = np.flatnonzero(place + (1 << step) <= n)
+            can = can[tops[step][place[can]] - at[can] <= threshold]
+            place[can] += 1 << step
+        self.next = place
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each record the last base of the chain from it, and the steps to get there; by pointer doubling."""
+        n = len(self.at)
+        to = np.where(self.next < n, self.next, np.arange(n))
+        steps = (self.next < n).astype(np.int64)
+        while (to[to] != to).any():
+            steps, to = steps + steps[to], to[to]
+        return to, steps
+
+    def table(self) -> dict:
+        """What the range does to a base: ``upto``, ``leave_at``, ``leave_checkpoint``, ``samples`` are the step function, by time, neighbours of one outcome as one; ``begin_...`` is the outcome where the range's first record is the first base."""
+        last, steps = self.ends()
+        first = np.flatnonzero(self.at > np.concatenate(([-np.inf], np.maximum.accumulate(self.at)[:-1])))
+        outcome = np.stack([last[first], steps[first]])
+        final = np.append((outcome[:, 1:] != outcome[:, :-1]).any(axis=0), True)
+        kept = first[final]
+        return {
+            "upto": self.at[kept], "leave_at": self.at[last[kept]], "leave_checkpoint": self.checkpoint[last[kept]], "samples": steps[kept] + 1,
+            "begin_at": self.at[last[0]], "begin_checkpoint": self.checkpoint[last[0]], "begin_samples": int(steps[0]),
+        }
+
+    def newest(self, base: tuple[float, float] | None, keep: int) -> list[np.float32]:
+        """The last ``keep`` samples of the range if it is entered with ``base``, or begins with its first record."""
+        found: deque[np.float32] = deque(maxlen=keep)
+        if base is None:
+            at = int(self.next[0])
+            base = (self.at[0], self.checkpoint[0])
+        else:
+            later = np.flatnonzero(self.at - base[0] > self.threshold)
+            at = int(later[0]) if len(later) else len(self.at)
+        while at < len(self.at):
+            found.append(np.float32((self.checkpoint[at] - base[1]) / (self.at[at] - base[0])))
+            base, at = (self.at[at], self.checkpoint[at]), int(self.next[at])
+        return list(found)
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Times in seconds and checkpoints in order of calls."""
+    order = np.argsort(table.column("seq").to_numpy(), kind="stable")
+    return table.column("at").to_numpy()[order] / 1e6, table.column("checkpoint").to_numpy()[order]
 
 
 def _weighted(samples: list[np.float32]) -> np.float32 | None:
@@ -69,41 +113,70 @@ def _weighted(samples: list[np.float32]) -> np.float32 | None:
 def speeds(progress: DataFrame) -> DataFrame:
     """(projector_id, speed): checkpoints a second, from samples of the last minute and the last ten; the minute's speed is the newest of the latter.
 
-    A projector's log streams through one task in order of ``seq``; what is held is one base and at most 12 and 9
-    samples, however long it is. Records without a time or checkpoint are no samples; a projector without samples has a
-    null speed.
+    A projector's log is cut into ranges of calls. Each range gives a table of what it does to a base that enters it;
+    the tables, not the records, are walked through in order, and samples are taken only from the ranges that hold the
+    newest ones. So no task sees a projector's whole log. Records without a time or checkpoint are no samples; a
+    projector without samples has a null speed.
     """
     kind = progress.schema["projector_id"].dataType
-    schema = StructType([StructField("projector_id", kind), StructField("speed", FloatType())])
-    out = to_arrow_schema(schema)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        began, current, samplers = False, None, ()
-
-        def close() -> pa.RecordBatch:
-            minute, ten = ([*s.samples] for s in samplers)
-            newest = _weighted(minute)
-            speed = _weighted(ten if newest is None else [*ten, newest])
-            return pa.RecordBatch.from_pylist([{"projector_id": current, "speed": None if speed is None else float(speed)}], schema=out)
-
-        for b in batches:
-            ids = b.column("projector_id").to_pylist()
-            at, checkpoint = b.column("at").to_numpy() / 1e6, b.column("checkpoint").to_numpy().astype(np.float64)
-            starts = [n for n in range(len(ids)) if n == 0 or not same_key(ids[n], ids[n - 1])]
-            for n, end in zip(starts, [*starts[1:], len(ids)], strict=True):
-                if not began or not same_key(ids[n], current):
-                    if began:
-                        yield close()
-                    began, current, samplers = True, ids[n], (_Sampler(*SHORT), _Sampler(*LONG))
-                there = checkpoint[n:end] == checkpoint[n:end]
-                for s in samplers:
-                    s.add(at[n:end][there], checkpoint[n:end][there])
-        if began:
-            yield close()
-
-    rows = progress.select("projector_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("ts").isNotNull(), F.col("checkpoint").cast("double")).alias("checkpoint"))
-    rows = rows.select("projector_id", "seq", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("checkpoint", F.lit(float("nan"))).alias("checkpoint"))
-    return rows.repartition("projector_id").sortWithinPartitions("projector_id", "seq").mapInArrow(fold, schema)
+    names, samplers = kind.simpleString(), (SHORT, LONG)
+    given = progress.select("projector_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("checkpoint").cast("double").alias("checkpoint"))
+    rows = given.where("at is not null and checkpoint is not null and not isnan(checkpoint)")
+    parts = max(1, rows.count() // RANGE_ROWS)
+    rows = written(rows.repartitionByRange(parts, "projector_id", "seq").withColumn("_range", F.spark_partition_id()), "progress")
+    arrays = "upto array<double>, leave_at array<double>, leave_checkpoint array<double>, samples array<long>"
+    schema = f"projector_id {names}, _range int, sampler int, {arrays}, begin_at double, begin_checkpoint double, begin_samples long"
+
+    entered = f"projector_id {names}, _range int, sampler int, base_at double, base_checkpoint double"
+    taken = f"projector_id {names}, sampler int, _range int, n int, speed float"
+    last = f"projector_id {names}, speed float"
+    of_tables, of_bases, of_samples, of_speeds = (to_arrow_schema(StructType.fromDDL(x)) for x in (schema, entered, taken, last))
+
+    def tables(key: tuple, table: pa.Table) -> pa.Table:
+        at, checkpoint = _sorted(table)
+        out = [{"projector_id": key[0].as_py(), "_range": key[1].as_py(), "sampler": n, **_Range(at, checkpoint, threshold).table()} for n, (threshold, _) in enumerate(samplers)]
+        return pa.Table.from_pylist(out, schema=of_tables)
+
+    def walk(key: tuple, table: pa.Table) -> pa.Table:
+        """The base that enters each range that holds some of the newest samples."""
+        threshold, keep = samplers[key[1].as_py()]
+        base, found = None, []
+        for r in sorted(table.to_pylist(), key=lambda r: r["_range"]):
+            before, n = base, 0
+            if base is None:
+                base, n = (r["begin_at"], r["begin_checkpoint"]), r["begin_samples"]
+            elif len(over := np.flatnonzero(np.array(r["upto"]) - base[0] > threshold)):
+                i = int(over[0])
+                base, n = (r["leave_at"][i], r["leave_checkpoint"][i]), r["samples"][i]
+            found.append((r["_range"], before, n))
+        out, later = [], 0
+        for range_, before, n in reversed(found):
+            if n and later < keep:
+                out.append({"projector_id": key[0].as_py(), "_range": range_, "sampler": key[1].as_py(), "base_at": before and before[0], "base_checkpoint": before and before[1]})
+            later += n
+        return pa.Table.from_pylist(out, schema=of_bases)
+
+    def samples(key: tuple, table: pa.Table) -> pa.Table:
+        at, checkpoint = _sorted(table)
+        threshold, keep = samplers[key[2].as_py()]
+        base = [table.column(c)[0].as_py() for c in ("base_at", "base_checkpoint")]
+        found = _Range(at, checkpoint, threshold).newest(None if base[0] is None else tuple(base), keep)
+        out = [{"projector_id": key[0].as_py(), "sampler": key[2].as_py(), "_range": key[1].as_py(), "n": n, "speed": float(x)} for n, x in enumerate(found)]
+        return pa.Table.from_pylist(out, schema=of_samples)
+
+    def speed(key: tuple, table: pa.Table) -> pa.Table:
+        own = sorted(table.to_pylist(), key=lambda r: (r["sampler"], r["_range"], r["n"]))
+        minute, ten = ([np.float32(r["speed"]) for r in own if r["sampler"] == n][-keep:] for n, (_, keep) in enumerate(samplers))
+        newest = _weighted(minute)
+        found = _weighted(ten if newest is None else [*ten, newest])
+        return pa.Table.from_pylist([{"projector_id": key[0].as_py(), "speed": float(found)}], schema=of_speeds)
+
+    steps = rows.groupBy("projector_id", "_range").applyInArrow(tables, schema)
+    bases = written(steps.groupBy("projector_id", "sampler").applyInArrow(walk, entered), "bases").withColumnRenamed("projector_id", "_id").withColumnRenamed("_range", "_r")
+    near = rows.join(sized(bases), F.col("projector_id").eqNullSafe(F.col("_id")) & (F.col("_range") == F.col("_r"))).drop("_id", "_r")
+    newest = near.groupBy("projector_id", "_range", "sampler").applyInArrow(samples, taken)
+    found = newest.groupBy("projector_id").applyInArrow(speed, last).withColumnRenamed("projector_id", "_id")
+    return given.select("projector_id").distinct().join(found, F.col("projector_id").eqNullSafe(F.col("_id")), "left").select("projector_id", "speed")
 
 
 #: The longest time there is, in seconds: 64 bits of 100 nanoseconds.
@@ -123,11 +196,12 @@ def time_to_reach(progress: DataFrame, target: Column | int) -> DataFrame:
 
 
 def eta_parts(seconds: Column) -> Column:
-    """struct(days, hours, minutes, seconds, milliseconds), each cut towards zero and of the sign of the whole."""
+    """struct(days, hours, minutes, seconds, milliseconds) of seconds or parts of them, each cut towards zero and of the sign of the whole."""
     whole = seconds.cast("long")
+    thousandths = (seconds.cast("decimal(30, 9)") * 1000).cast("long")
     cut = lambda n: (whole - whole % n) / n  # noqa: E731  % keeps the sign
     part = lambda x: x.cast("long")
-    return F.struct(part(cut(86400)).alias("days"), part(cut(3600) % 24).alias("hours"), part(cut(60) % 60).alias("minutes"), (whole % 60).alias("seconds"), F.lit(0).alias("milliseconds"))
+    return F.struct(part(cut(86400)).alias("days"), part(cut(3600) % 24).alias("hours"), part(cut(60) % 60).alias("minutes"), (whole % 60).alias("seconds"), F.coalesce((thousandths % 1000).cast("int"), F.lit(0)).alias("milliseconds"))
 
 
 def restored(projector_id: str, properties: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldspark.operators.capture import Risks, failed
+from foldspark.operators.lookup import carried
 from foldspark.plans.event_map import ACCEPT, CONDITION, CREATE, CUSTOM, DELETE, IGNORE, THROW, UPDATE, Context, Event, Existing, ProjectionPlan
 from foldspark.sources.tables import sized, written
 
@@ -187,15 +188,23 @@ def final_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
 
 
 def history_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
-    """(key, place, op, exists, fields) after each op that took effect: the state as of every checkpoint. Plain fields only."""
-    w = Window.partitionBy("key", "incarnation").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(key, place, op, exists, fields) after each op that took effect: the state as of every checkpoint. Plain fields only.
+
+    Ops that were flagged in ranges keep them: what a range takes over, the last assignments before it, is carried.
+    """
+    split = "_range" in flagged.columns
+    w = Window.partitionBy("key", "incarnation", *(["_range"] if split else [])).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     removes = (F.col("op") == DELETE) & F.col("present")
-    fields = []
-    for name, (_, how) in plan.fields.items():
-        if how is None:
-            value = F.last(F.when(F.col("effective"), F.col(f"set_{name}")), ignorenulls=True).over(w)["v"]
-            fields.append(F.when(~removes, value).alias(name))
+    plain = [n for n, (_, how) in plan.fields.items() if how is None]
     rows = flagged.withColumn("removes", removes)
+    own = {n: F.when(F.col("effective"), F.col(f"set_{n}")) for n in plain}
+    if split and plain:
+        rows = carried(rows, ["key", "incarnation"], {f"_before_{n}": F.max_by(F.col(f"set_{n}"), F.when(own[n].isNotNull(), _place())) for n in plain})
+    fields = []
+    for n in plain:
+        last = F.last(own[n], ignorenulls=True).over(w)
+        value = F.coalesce(last, F.col(f"_before_{n}")) if split else last
+        fields.append(F.when(~F.col("removes"), value["v"]).alias(n))
     return rows.select("key", *ORDER, "op", (~F.col("removes")).alias("exists"), (F.col("effective") | F.col("removes")).alias("_took"), *fields).where("_took").drop("_took")
 
 

@@ -8,20 +8,44 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, order: list[str], values: list[str], prefix: str = "") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, order: list[str], values: list[str], prefix: str = "", split_every: int | None = None) -> DataFrame:
     """``left`` with ``values`` of the last row of ``right`` of the same key at or before its place.
 
     One union and one window: no row of one side is paired with many of the other. Deletions must be rows of ``right``
-    (with NULL values), so that they end what came before. A null key matches null keys.
+    (with NULL values), so that they end what came before. A null key matches null keys. ``split_every``: values of the
+    first column of ``order`` (a number) that make a range; ranges of a key are worked on by themselves, and the last
+    value before each comes from sums by key and range, so a key with very many rows is spread over tasks.
     """
     both = [*(F.col(c) for c in order)]
     a = right.select(F.col(key).alias("_key"), *both, F.lit(0).alias("_side"), F.struct(*values).alias("_value"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
     b = left.select(F.col(key).alias("_key"), *both, F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_value"].dataType).alias("_value"), F.struct(*left.columns).alias("_row"))
-    w = Window.partitionBy("_key").orderBy(*order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = a.unionByName(b).withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
+    rows, by = a.unionByName(b), ["_key"]
+    if split_every is not None:
+        rows, by = rows.withColumn("_range", F.floor(F.col(order[0]) / split_every)), ["_key", "_range"]
+    w = Window.partitionBy(*by).orderBy(*order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("_value", ignorenulls=True).over(w)
+    if split_every is not None:
+        place = F.when(F.col("_value").isNotNull(), F.struct(*order))
+        rows = carried(rows, ["_key"], {"_before": F.max_by("_value", place)})
+        last = F.coalesce(last, F.col("_before"))
+    found = rows.withColumn("_found", last).where("_side = 1")
     return found.select("_row.*", *(F.col(f"_found.{v}").alias(prefix + v) for v in values))
 
 
+def carried(rows: DataFrame, by: list[str], last: dict[str, Column]) -> DataFrame:
+    """``rows`` (with _range) with, for each name in ``last``, the figure of the latest earlier range of the same ``by`` that has one.
+
+    Figures are worked out by ``by`` and range with map-side sums, so what is carried has a row for each range of a key.
+    """
+    w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_range").agg(*(x.alias(n) for n, x in last.items()))
+    parts = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), *(F.last(n, ignorenulls=True).over(w).alias(n) for n in last))
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(parts, same).drop("_r", *(f"_by_{c}" for c in by))
+
+
 def nest(rows: DataFrame, parent: str, sequence: str, order: list[str], fields: list[str], name: str) -> DataFrame:
     """(parent, ``name``): the last values of each (parent, sequence), as an array of structs in order of first touch.
 

@@ -140,7 +140,7 @@ class Projector:
             fields = ["_exists", *(n for n, (_, how) in child.plan.fields.items() if how is None)]
             history = history.select(F.col("key").alias("_key"), "checkpoint", "event_seq", F.struct(F.col("exists").alias("_exists"), *fields[1:]).alias("_row"))
             reads = self.plan.reads_child(ref)
-            found = as_of(log.where(reads).withColumn("_key", ref.key.cast(child.plan.key_type)), history, "_key", ["checkpoint", "event_seq"], ["_row"])
+            found = as_of(log.where(reads).withColumn("_key", ref.key.cast(child.plan.key_type)), history, "_key", ["checkpoint", "event_seq"], ["_row"], split_every=self.split_every)
             found = found.withColumnRenamed("_row", ref.column).drop("_key")
             others = log.where(~reads).withColumn(ref.column, F.lit(None).cast(found.schema[ref.column].dataType))
             log = found.unionByName(others)

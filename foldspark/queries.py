@@ -360,6 +360,39 @@ def child_lookup_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(purchases, history, "user_id", ["checkpoint", "event_seq"], ["signup_value"]).select("checkpoint", "user_id", "signup_value")
 
 
+#: A third of all users as one.
+_HOT = lambda e, c: F.when(e.user_id % 3 == 0, 0).otherwise(e.user_id)
+_HOT_SQL = "(SELECT event_id, event_type, value, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id FROM events)"
+
+
+def _hot_signups() -> ProjectionPlan:
+    m = EventMapBuilder("signups", "bigint", {"signup_value": "double"})
+    m.map("signup").as_create_of(_HOT).overwriting_duplicates().using(signup_value=lambda e, c: e.value)
+    m.map("error").as_delete_of(_HOT).ignoring_misses()
+    return m.build()
+
+
+@query(f"""
+WITH o AS (SELECT event_id, user_id, event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {_HOT_SQL} WHERE event_type IN ('signup', 'error'))
+SELECT event_id + 1 AS checkpoint, user_id, event_type = 'signup' AS "exists", CASE WHEN event_type = 'signup' THEN value END AS signup_value FROM o WHERE event_type = 'signup' OR before = 'signup'""")
+def history_of_a_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of signups where one key has a third of all events: its ranges of checkpoints are worked on by themselves."""
+    plan = _hot_signups()
+    rows = fold.history_rows(plan, Projector(plan, split_every=500).flagged(logs.events_log(spark, sf_dir)))
+    return rows.select("checkpoint", F.col("key").alias("user_id"), "exists", "signup_value")
+
+
+@query(f"""
+SELECT p.event_id + 1 AS checkpoint, p.user_id, s.value AS signup_value FROM (SELECT * FROM {_HOT_SQL} WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT event_id, user_id, CASE WHEN event_type = 'signup' THEN value END AS value FROM {_HOT_SQL} WHERE event_type IN ('signup', 'error')) s ON p.user_id = s.user_id AND p.event_id >= s.event_id""")
+def child_lookup_of_a_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``child_lookup_asof``, through a rule that reads its child, where one key has a third of all events."""
+    m = EventMapBuilder("purchases", "bigint", {"user_id": "bigint", "signup_value": "double"})
+    m.map("purchase").as_create_of(lambda e, c: c.checkpoint).using(user_id=_HOT, signup_value=lambda e, c: c.child("signups", _HOT(e, c)).signup_value)
+    projector = Projector(m.build(), [Projector(_hot_signups(), split_every=500)], split_every=500)
+    return projector.project(logs.events_log(spark, sf_dir)).state.select(F.col("key").alias("checkpoint"), "user_id", "signup_value")
+
+
 @query("""
 WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_linenumber + (l_linenumber % 2) * (l_orderkey % 2) AS f, l_linenumber + 1 AS t FROM lineitem WHERE l_linenumber <> 3),
 c(l_orderkey, n, f) AS (SELECT l_orderkey, n, f FROM p q WHERE n = (SELECT max(n) FROM p WHERE p.l_orderkey = q.l_orderkey)

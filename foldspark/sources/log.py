@@ -15,7 +15,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,26 +189,28 @@ class Transaction:
 
 
 class LogStore:
-    """An append-only log in a folder of Parquet files, for batch and streaming readers. One writer at a time."""
+    """An append-only log in a folder of Parquet files, for batch and streaming readers. One writer at a time.
+
+    Each append is a folder named by the last checkpoint in it, ``upto=n``: the log's end is known from names alone, and
+    a reader from a checkpoint opens no file of an append that ends before it.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self._last: int | None = None
 
     def read(self, after_checkpoint: int | None = None) -> DataFrame:
-        return after(self.spark.read.schema(JSON_LOG).parquet(self.path), after_checkpoint)
+        log = self.spark.read.schema(f"{JSON_LOG}, upto bigint").parquet(self.path)
+        return after(log.where(F.col("upto") > (after_checkpoint or 0)).drop("upto"), after_checkpoint)
 
     def stream(self, **options: str) -> DataFrame:
-        return self.spark.readStream.schema(JSON_LOG).options(**options).parquet(self.path)
+        return self.spark.readStream.schema(f"{JSON_LOG}, upto bigint").options(**options).parquet(self.path).drop("upto")
 
     def last(self) -> int:
-        """The last checkpoint, 0 where there is none."""
-        try:
-            return self.read().agg(F.max("checkpoint")).first()[0] or 0
-        except AnalysisException as e:  # a folder that is not there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0
+        """The last checkpoint, 0 where there is none; from the names of folders, without a job."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/upto=*")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return max((int(s.getPath().getName().partition("=")[2]) for s in found), default=0)
 
     def wait_for_growth(self, checkpoint: int, timeout: float = 30, poll: float = 0.1) -> bool:
         """Wait until the log goes beyond ``checkpoint``; whether it did in ``timeout`` seconds."""
@@ -236,5 +237,6 @@ class LogStore:
             self._last = self._last + 1 if t.checkpoint == -1 else t.checkpoint
             for seq, (kind, body, *headers) in enumerate(t.events):
                 rows.append((self._last, seq, t.id or str(self._last), t.stream_id or str(uuid.uuid4()), t.timestamp_utc, t.headers, headers[0] if headers else {}, kind, json.dumps(body, default=str)))
-        self.spark.createDataFrame(rows, JSON_LOG).coalesce(1).write.mode("append").parquet(self.path)
+        if rows:
+            self.spark.createDataFrame(rows, JSON_LOG).coalesce(1).withColumn("upto", F.lit(max(r[0] for r in rows)).cast("long")).write.mode("append").partitionBy("upto").parquet(self.path)
         return self._last

@@ -95,3 +95,50 @@ def test_batches_read_and_write_their_keys_only(spark, tmp_path, restart):
     whole = plans().project(as_log(spark.read.parquet(folder)))
     assert {tuple(r) for r in store.read("users").collect()} == {tuple(r) for r in whole.state.collect()}
     assert {tuple(r) for r in store.read("names").collect()} == {tuple(r) for r in whole.children["names"].state.collect()}
+
+
+def test_the_logs_end_is_known_without_a_job(spark, tmp_path):
+    store = logs.LogStore(spark, str(tmp_path / "log"))
+    assert store.last() == 0
+    for n in range(3):
+        store.write(logs.Transaction([("A", {"n": n})]), logs.Transaction([("A", {})], checkpoint=100 * (n + 1)))
+    context = spark.sparkContext
+    context.setJobGroup("waits", "waits")
+    try:
+        assert store.last() == 300 and not store.wait_for_growth(300, timeout=0.3) and store.wait_for_growth(299, timeout=0)
+        assert not context.statusTracker().getJobIdsForGroup("waits")
+        rows = store.read(100)
+        assert len(rows.inputFiles()) == 3 and rows.count() == 4 and rows.columns == logs.ENVELOPE
+        assert "PartitionFilters: [isnotnull(upto" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_ranges_are_even_where_values_are_not(spark, monkeypatch):
+    monkeypatch.setattr(logs, "RANGE_ROWS", 1000)
+    n = F.col("id")
+    rows = spark.range(40_000).select(F.when(n == 7, 10**15).otherwise(n * n % 1_000_003 + n).alias("checkpoint"))
+    found = logs._in_ranges(rows, "checkpoint").groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("checkpoint").alias("a"), F.max("checkpoint").alias("b")).orderBy("_range").collect()
+    assert len(found) >= 35 and max(r.n for r in found) < 2500
+    assert all(x.b < y.a for x, y in zip(found, found[1:], strict=False))
+    as_log = logs.make_log(rows.distinct(), checkpoint=F.col("checkpoint"), event_type=F.lit("x"), body=F.lit(None).cast("string"))
+    sizes = logs.in_batches(as_log, 100).groupBy("batch_id").count().collect()
+    assert sorted(r["count"] for r in sizes)[1:] == [100] * (len(sizes) - 1)
+
+
+def test_history_and_lookups_in_ranges_are_those_of_the_whole(spark):
+    rng = random.Random(8)
+    events = [(n, rng.choice("NNXUUU"), rng.choice(["hot"] * 4 + ["a", None]), rng.choice("pqr")) for n in range(300)]
+    log = logs.make_log(spark.createDataFrame(events, "n long, type string, key string, text string"), checkpoint=F.col("n") + 1, event_type=F.col("type"), body=F.struct("key", "text"))
+
+    def found(split):
+        names = EventMapBuilder("names", "string", {"name": "string", "other": "string"})
+        names.map("N").as_create_of(lambda e, c: e.key).overwriting_duplicates().using(name=lambda e, c: e.text)
+        names.map("U").as_update_of(lambda e, c: e.key).ignoring_misses().using(other=lambda e, c: e.text)
+        names.map("X").as_delete_of(lambda e, c: e.key).ignoring_misses()
+        m = EventMapBuilder("seen", "bigint", {"name": "string", "other": "string", "there": "boolean"})
+        read = lambda c, e: c.child("names", e.key)
+        m.map("U").as_create_of(lambda e, c: c.checkpoint).using(name=lambda e, c: read(c, e).name, other=lambda e, c: read(c, e).other, there=lambda e, c: read(c, e).is_there())
+        return sorted(map(tuple, Projector(m.build(), [Projector(names.build(), split_every=split)], split_every=split).project(log).state.collect()))
+
+    assert found(17) == found(1) == found(None) and len(found(None)) > 100
