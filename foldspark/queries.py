@@ -20,6 +20,7 @@ from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
 from foldspark.plans.types import TypeRegistry
 from foldspark.sources import log as logs
 from foldspark.sources.tables import shared_folder
+from foldspark.sources.zipped import write_zips
 from foldspark.streaming.dispatcher import Dispatcher, SubscriptionOptions
 from foldspark.streaming.store import SnapshotStore
 from foldspark.streaming.state import stateful, stateful_history
@@ -113,6 +114,21 @@ def log_assigned_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.assign_checkpoints(rows, "event_id").select("event_id", "checkpoint")
 
 
+@query("""
+WITH e AS (SELECT *, event_id // 3000 AS f, event_id % 3000 AS line FROM events), p AS (SELECT f, CAST(ceil(count(*) / 600.0) AS BIGINT) AS pages FROM e GROUP BY f),
+b AS (SELECT f, coalesce(sum(pages) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page FROM p)
+SELECT CAST((b.page + line // 600) * 101 + (line // 6) % 100 + 1 AS BIGINT) AS checkpoint, CAST(line % 6 AS INTEGER) AS event_seq, event_type, event_id FROM e JOIN b USING (f)""")
+def log_from_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as zips of JSON lines, 3000 each, and read as a log by tasks of 100,000 bytes: pages begin anew with each file."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.concat(F.lit("Shop.Events."), F.col("event_type"), F.lit(", Shop"))
+    text = F.to_json(F.struct(kind.alias("$type"), "event_id", "user_id", "value"))
+    path = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}"
+    write_zips(rows.select(F.floor(F.col("event_id") / 3000).alias("file"), "event_id", text.alias("text")), path, "file", "event_id", "text").count()
+    log = logs.read_json_zip(spark, path, span=100_000)
+    return log.select("checkpoint", "event_seq", "event_type", F.get_json_object("body", "$.event_id").cast("long").alias("event_id"))
+
+
 @query("SELECT event_id + 1 AS checkpoint, (value > 10 AND event_type IN ('signup', 'error', 'click')) AS handled FROM events")
 def map_handled_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates of handlers do not count, the map's filters do."""

@@ -6,11 +6,9 @@ from nothing starts at 0 and gets what is strictly greater.
 
 from __future__ import annotations
 
-import io
 import json
 import time
 import uuid
-import zipfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldspark.sources.tables import written
+from foldspark.sources.zipped import SPAN, ZippedLines
 
 ENVELOPE = ["checkpoint", "event_seq", "transaction_id", "stream_id", "timestamp_utc", "transaction_headers", "event_headers", "event_type", "body"]
 #: Envelope of logs whose bodies are JSON text.
@@ -144,36 +143,36 @@ def check_order(log: DataFrame, on_disorder: str = "error") -> DataFrame:
     return log
 
 
-def read_json_zip(spark: SparkSession, path: str, page_size: int = 100, per_transaction: int = 6) -> DataFrame:
+def read_json_zip(spark: SparkSession, path: str, page_size: int = 100, per_transaction: int = 6, span: int = SPAN) -> DataFrame:
     """JSON lines of the first ``*.json`` entry of each zip as a log: six events a transaction, ``page_size`` transactions a page.
 
     Page k (from 0) begins at checkpoint k * (page_size + 1) + 1, so one number is skipped between pages. Of several
     zips the pages follow one another in order of path, each file beginning a page of its own. The type is the class
-    name in ``$type``, without name space and assembly; no class is made from it.
+    name in ``$type``, without name space and assembly; no class is made from it. An entry is unpacked as a stream, in
+    several tasks if it has more than ``span`` bytes.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def lines(rows):
-        for row in rows:
-            with zipfile.ZipFile(io.BytesIO(row.content)) as z:
-                name = next((n for n in z.namelist() if n.endswith(".json")), None)
-                if name:
-                    with z.open(name) as entry:
-                        at = 0
-                        for raw in entry:
-                            if raw.strip():
-                                text = raw.decode("utf-8-sig").strip()
-                                yield row.path, at, str(json.loads(text).get("$type", "")).split(",")[0].rsplit(".", 1)[-1], text
-                                at += 1
-
-    found = spark.createDataFrame(files.rdd.mapPartitions(lines), "path string, line bigint, event_type string, body string")
+    spark.dataSource.register(ZippedLines)
+    found = spark.read.format("zipped_lines").option("path", path).option("span", span).load()
+    found = found.withColumn("event_type", _class_name(F.col("text")))
     per_page = page_size * per_transaction
     pages = found.groupBy("path").agg(F.ceil((F.max("line") + 1) / per_page).alias("pages"))  # a row for each file
     before = pages.select(F.col("path").alias("_path"), (F.sum("pages").over(Window.orderBy("path")) - F.col("pages")).alias("_page"))
     numbered = found.join(before, F.col("path") == F.col("_path"))
     transaction = F.floor(F.col("line") / per_transaction)
     page = F.col("_page") + F.floor(transaction / page_size)
-    return make_log(numbered, checkpoint=page * (page_size + 1) + transaction % page_size + 1, event_seq=F.col("line") % per_transaction, event_type=F.col("event_type"), body=F.col("body"))
+    return make_log(numbered, checkpoint=page * (page_size + 1) + transaction % page_size + 1, event_seq=F.col("line") % per_transaction, event_type=F.col("event_type"), body=F.col("text"))
+
+
+def stream_json_zip(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
+    """(path, line, event_type, text) of zips as they come. Checkpoints are for the one who appends them to a log: they depend on how many pages the earlier zips have."""
+    spark.dataSource.register(ZippedLines)
+    found = spark.readStream.format("zipped_lines").option("path", path).option("span", span).load()
+    return found.select("path", "line", _class_name(F.col("text")).alias("event_type"), "text")
+
+
+def _class_name(text: Column) -> Column:
+    kind = F.coalesce(F.get_json_object(text, "$['$type']"), F.lit(""))
+    return F.element_at(F.split(F.split(kind, ",")[0], "\\."), -1)
 
 
 @dataclass
