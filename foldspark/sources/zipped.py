@@ -38,8 +38,9 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
 def _files(path: str) -> list[tuple[str, int]]:
     """(path, time of change) of the zips at ``path``, in order of path: a zip, a folder, or a folder with a pattern of names, in any file system that Arrow opens."""
     folder, _, pattern = path.rpartition("/")
-    system, inner = _system(folder if any(c in pattern for c in "*?[") else path)
-    if inner != _system(path)[1]:
+    named = any(c in pattern for c in "*?[")
+    system, inner = _system(folder if named else path)
+    if named:
         found = [f for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if fnmatch.fnmatchcase(f.base_name, pattern)]
     else:
         info = system.get_file_info(inner)
