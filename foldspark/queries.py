@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,7 +22,7 @@ from foldspark.plans.types import TypeRegistry
 from foldspark.sources import log as logs
 from foldspark.sources.tables import shared_folder
 from foldspark.sources.zipped import write_zips
-from foldspark.streaming.dispatcher import Dispatcher, SubscriptionOptions
+from foldspark.streaming.dispatcher import Dispatcher, Info, Resolution, SubscriptionOptions, has_subscription
 from foldspark.streaming.store import SnapshotStore
 from foldspark.streaming.state import stateful, stateful_history
 
@@ -457,6 +458,45 @@ def stats_last_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.last_checkpoints(_progress(spark, sf_dir))
 
 
+@query("SELECT user_id % 7 AS projector_id, arg_max(event_id * 3 + 1, event_id) AS last_checkpoint, arg_max(ts, event_id) AS updated_utc, '/projectionStats/' || (user_id % 7) AS url FROM events GROUP BY 1")
+def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.summary(_progress(spark, sf_dir), "/projectionStats")
+
+
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 7).cast("string").alias("projector_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("name"), F.col("value").cast("string").alias("value"))
+
+
+@query("""
+SELECT '3' AS projector_id, (SELECT max(event_id * 3 + 1) FROM events WHERE user_id % 7 = 3) AS last_checkpoint, event_type AS name, arg_max(event_id, event_id) AS seq, '/s/3/events' AS events_url
+FROM events WHERE user_id % 7 = 3 GROUP BY event_type UNION ALL SELECT 'unknown', 0, NULL, NULL, '/s/unknown/events'""")
+def stats_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of one projector with its properties, and that of an id that nobody has used."""
+    progress = _progress(spark, sf_dir).withColumn("projector_id", F.col("projector_id").cast("string"))
+    properties = _properties(spark, sf_dir).withColumn("value", F.col("seq"))  # so that the value says which call it is from
+    both = [stats.detail(progress, properties, i, "/s") for i in ("3", "unknown")]
+    rows = both[0].unionByName(both[1]).select("projector_id", "last_checkpoint", "events_url", F.explode_outer("properties").alias("p"))
+    return rows.select("projector_id", "last_checkpoint", F.col("p.name").alias("name"), F.col("p.value").alias("seq"), "events_url")
+
+
+@query("SELECT event_type AS body, ts FROM events WHERE user_id % 7 = 3")
+def stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _properties(spark, sf_dir).select("projector_id", "seq", "ts", F.col("name").alias("body"))
+    return stats.events(rows, "3").unionByName(stats.events(rows, "unknown"))
+
+
+@query("""
+WITH p AS (SELECT 'user ' || (user_id % 40) AS name, CAST(event_id AS VARCHAR) AS value, event_type = 'click' AS later, event_id FROM events WHERE event_type = 'click' OR (event_type = 'view' AND user_id % 40 < 30))
+SELECT 'p' AS projector_id, name, arg_max(value, event_id + CASE WHEN later THEN 1000000000000 ELSE 0 END) AS value FROM p GROUP BY name""")
+def stats_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projector restored from stored properties, some of which later calls have replaced."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "event_id", "ts", "user_id", F.concat(F.lit("user "), (F.col("user_id") % 40).cast("string")).alias("name"), F.col("event_id").cast("string").alias("value"))
+    stored = rows.where("event_type = 'view' and user_id % 40 < 30").groupBy("name").agg(F.max_by("value", "event_id").alias("value"), F.max_by("ts", "event_id").alias("ts"))
+    _, properties, _ = stats.restored("p", stored, rows.select(F.col("event_type").alias("body"), "ts"))
+    calls = rows.where("event_type = 'click'").select(F.lit("p").alias("projector_id"), F.col("event_id").alias("seq"), "ts", "name", "value")
+    return stats.last_properties(properties.unionByName(calls)).select("projector_id", "name", "value")
+
+
 @query("SELECT user_id % 7 AS projector_id, event_type AS name, arg_max(value, event_id) AS value, arg_max(ts, event_id) AS ts FROM events GROUP BY 1, 2")
 def stats_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 7).alias("projector_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("name"), "value")
@@ -523,6 +563,78 @@ def stream_user_state_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("users").withColumnRenamed("key", "user_id")
 
 
+def _strict() -> Projector:
+    """Signups of users that are there are errors."""
+    m = EventMapBuilder("users", "bigint", {"last_value": "double"})
+    m.map("signup").as_create_of(_USER).using(last_value=lambda e, c: e.value)
+    m.map("error").as_delete_of(_USER).ignoring_misses()
+    return Projector(m.build())
+
+
+@query(f"SELECT *, '1, 2, 3' AS attempts, 0 AS successes FROM ({SQL['policy_errors_cut']})")
+def stream_retries_then_ignores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that fails is tried three times and then ignored: what came before the error stays, and it is no success."""
+    path, asked, done = f"{shared_folder(spark)}/ignored-{uuid.uuid4().hex}", [], []
+
+    def handler(error: Exception, attempts: int, info: Info) -> Resolution:
+        asked.append(attempts)
+        return Resolution.RETRY if attempts < 3 else Resolution.IGNORE
+
+    store, options = SnapshotStore(spark, f"{path}/state"), SubscriptionOptions(id=f"ignored-{uuid.uuid4().hex}", exception_handler=handler, success_handler=done.append)
+    _dispatcher(spark, sf_dir).subscribe(_strict(), store, f"{path}/progress", options=options).awaitTermination()
+    return store.read("users").select(F.col("key").alias("user_id"), "last_value", F.lit(", ".join(map(str, asked))).alias("attempts"), F.lit(len(done)).alias("successes"))
+
+
+@query(f"SELECT checkpoint, user_id, 1 AS attempts, 0 AS stored FROM ({_fold_sql(_ops_sql('false', kinds="('none')"), "SELECT ord + 1 AS checkpoint, key AS user_id FROM inc WHERE op = 'create' AND present ORDER BY ord LIMIT 1")})")
+def stream_aborts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that fails ends its subscription: where, and that nothing of the batch was stored."""
+    path, errors = f"{shared_folder(spark)}/aborted-{uuid.uuid4().hex}", []
+
+    def handler(error: Exception, attempts: int, info: Info) -> Resolution:
+        errors.append((error.event["checkpoint"], int(error.event["key"]), attempts))
+        return Resolution.ABORT
+
+    store, options = SnapshotStore(spark, f"{path}/state"), SubscriptionOptions(id=f"aborted-{uuid.uuid4().hex}", exception_handler=handler)
+    query = _dispatcher(spark, sf_dir).subscribe(_strict(), store, f"{path}/progress", options=options)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        return spark.createDataFrame([(*e, store.count("users")) for e in errors], "checkpoint bigint, user_id bigint, attempts int, stored int")
+    raise AssertionError("the subscription went on")
+
+
+@query(f"SELECT *, 2 AS attempts FROM ({SQL['project_user_state']})")
+def stream_restarts_when_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subscriber that is beyond the log's end begins anew: what it had stored goes, the work before the restart is retried once."""
+    path, tried = f"{shared_folder(spark)}/ahead-{uuid.uuid4().hex}", []
+
+    def before(info: Info) -> None:
+        tried.append(info.id)
+        if len(tried) == 1:
+            raise OSError("not now")
+
+    store = SnapshotStore(spark, f"{path}/state")
+    store.write("users", 7, spark.createDataFrame([(-1, "stale", 0.0)], "key bigint, last_type string, last_value double"))
+    options = SubscriptionOptions(id=f"ahead-{uuid.uuid4().hex}", restart_when_ahead=True, before_restarting=before, exception_handler=lambda error, attempts, info: Resolution.RETRY)
+    _dispatcher(spark, sf_dir).subscribe(Projector(_deleting(_users())), store, f"{path}/progress", from_checkpoint=1 << 40, options=options).awaitTermination()
+    return store.read("users").withColumnRenamed("key", "user_id").withColumn("attempts", F.lit(len(tried)))
+
+
+@query(SQL["project_user_state"])
+def stream_waits_for_a_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subscription that goes on until it is stopped; the state is read once it has handled the log's last checkpoint."""
+    path, id = f"{shared_folder(spark)}/waits-{uuid.uuid4().hex}", f"waits-{uuid.uuid4().hex}"
+    store, dispatcher = SnapshotStore(spark, f"{path}/state"), _dispatcher(spark, sf_dir)
+    end = logs.events_log(spark, sf_dir).agg(F.max("checkpoint")).first()[0]
+    query = dispatcher.subscribe(Projector(_deleting(_users())), store, f"{path}/progress", options=SubscriptionOptions(id=id), available_now=False)
+    try:
+        if not has_subscription(spark, id) or not dispatcher.wait_until_checkpoint(query, end, timeout=600):
+            raise TimeoutError(f"{id} has not come to {end}")
+    finally:
+        query.stop()
+    return store.read("users").withColumnRenamed("key", "user_id")
+
+
 @query("SELECT 4 AS batches, count(*) AS n, CAST(sum(CASE WHEN n < 4 THEN 1 ELSE 0 END) AS BIGINT) AS in_some FROM (SELECT user_id, count(DISTINCT least(event_id // (SELECT max(event_id) // 4 + 1 FROM events), 3)) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) WHERE n > 0")
 def stream_batches_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many batches each user has bought: what the accumulators of rows carry from one batch to the next."""
@@ -705,6 +817,35 @@ def children_stop_their_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("*", F.lit(e.event["checkpoint"]).alias("error_checkpoint"), F.lit(e.child).alias("child"), F.lit(e.projector).alias("projector"))
 
 
+@query("""
+SELECT 1 AS step, 'child' AS action, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'purchase' UNION ALL SELECT 2, 'first', count(*) FROM events WHERE event_type = 'signup'
+UNION ALL SELECT 3, 'second fails', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 4, 'second', count(*) FROM events WHERE event_type = 'error'
+UNION ALL SELECT 5, 'third', count(*) FROM events WHERE event_type = 'view'""")
+def actions_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A child's action runs before its parent's; the one that fails is retried, those that have finished are not run again."""
+    ran: list[tuple[str, int]] = []
+
+    def plan(name: str, **actions: str) -> ProjectionPlan:
+        m = EventMapBuilder(name)
+        for action, kind in actions.items():
+            m.map(kind).as_action(action)
+        return m.build()
+
+    def action(name: str, fails: int = 0):
+        def handle(events: DataFrame) -> None:
+            tried = sum(n.startswith(name) for n, _ in ran)
+            ran.append((f"{name} fails" if tried < fails else name, events.count()))
+            if tried < fails:
+                raise OSError("not now")
+
+        return handle
+
+    child = Projector(plan("inner", child="purchase"), actions={"child": action("child")})
+    own = {"first": action("first"), "second": action("second", 1), "third": action("third")}
+    Projector(plan("outer", first="signup", second="error", third="view"), [child], should_retry=lambda error, attempt: attempt < 3, actions=own).project(logs.events_log(spark, sf_dir))
+    return spark.createDataFrame([(n + 1, name, count) for n, (name, count) in enumerate(ran)], "step int, action string, n bigint")
+
+
 @query("""
 SELECT 'big' AS action, CAST(count(*) AS BIGINT) AS n, 'before, run, after' AS steps FROM events WHERE event_type = 'purchase' AND value > 60
 UNION ALL SELECT 'error', count(*), 'before, run, after' FROM events WHERE event_type = 'error'""")
