@@ -240,7 +240,7 @@ class _Run:
     folded: DataFrame | None = None
 
     def failures(self) -> list[DataFrame]:
-        """Ops that failed; no DataFrame where none can."""
+        """Ops that failed; no DataFrame where none can. Where some can, the ops are written, as more is read from them than their failures."""
         out, places = [], ["checkpoint", "event_seq", "rule_seq", "transaction_id", "event_type", "op", F.col("key").cast("string").alias("key"), "foreign"]
         keyed = [r for r in self.plan.rules if r.op != CUSTOM]
         risky = self.risks is not None and any(any(own) for own, r in zip(self.risks.rules, self.plan.rules, strict=True) if r.op != CUSTOM)
@@ -250,6 +250,7 @@ class _Run:
             own = self.ops.select(*fold.ORDER, "transaction_id", "event_type", "key")
             out.append(own.join(F.broadcast(bad), fold.ORDER).where(F.col("key").eqNullSafe(F.col("_k"))).select(*places))
         elif self.flagged is not None and (risky or any(r.policy == THROW for r in keyed)):
+            self.flagged = written(self.flagged, "flagged")  # worked out once, for the first error and for the state
             out.append(self.flagged.where("failed").select(*places))
         if self.risks is not None and (self.risks.filters or any(own[0] for own, r in zip(self.risks.rules, self.plan.rules, strict=True) if r.op == CUSTOM)):
             ops = fold.op_rows(self.plan, self.log, self.risks).where(F.col("op").isin(CUSTOM, fold.FILTER) & (F.col("err") != 0))

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foldspark.operators.projector import Projector
 from foldspark.sources.log import after
-from foldspark.sources.tables import sized
+from foldspark.sources.tables import scratch, sized
 from foldspark.streaming.store import SnapshotStore
 
 log = logging.getLogger(__name__)
@@ -82,7 +82,8 @@ class Dispatcher:
         while True:
             attempts += 1
             try:
-                self._project(projector, store, rows, batch_id, on_error)
+                with scratch(rows.sparkSession):
+                    self._project(projector, store, rows, batch_id, on_error)
                 if on_error == "raise":
                     options.success_handler(info)
                 self._handled(info)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foldspark.operators.projector import Projector
 from foldspark.plans.event_map import EventMapBuilder
 from foldspark.sources import log as logs
+from foldspark.sources.tables import shared_folder
 from foldspark.streaming.dispatcher import Dispatcher, SubscriptionOptions
 from foldspark.streaming.store import SnapshotStore
 
@@ -74,6 +75,7 @@ def plans():
     m = EventMapBuilder("users", "string", {"name": "string", "n": ("bigint", "count")})
     m.map("U").as_create_of(lambda e, c: e.key).overwriting_duplicates().adding({"name": lambda e, c: c.child("names", e.text).name}, n=F.lit(1))
     m.map("D").as_delete_of(lambda e, c: e.key).ignoring_misses()
+    m.map("Never").as_create_of(lambda e, c: e.key).using(name=lambda e, c: F.lit("never"))  # a policy that throws: ops are written
     return Projector(m.build(), [Projector(names.build())])
 
 
@@ -85,13 +87,15 @@ def test_batches_read_and_write_their_keys_only(spark, tmp_path, restart):
     as_log = lambda r: logs.make_log(r, checkpoint=F.col("n") + 1, event_type=F.col("type"), body=F.struct("key", "text"))
     store, folder = SnapshotStore(spark, str(tmp_path / "state"), buckets=4, max_deltas=1), str(tmp_path / "events")
     d = Dispatcher(lambda o: as_log(spark.readStream.schema(schema).options(**o).parquet(folder)), lambda: as_log(spark.read.parquet(folder)))
-    handled = []
+    handled, before = [], glob.glob(shared_folder(spark).removeprefix("file://") + "/*")
     options = SubscriptionOptions(id=f"keys-{restart}", success_handler=lambda i: handled.append(i.batch_id), reader_options={"maxFilesPerTrigger": "1"})
     for n in range(4):
         spark.createDataFrame([(10 * n + i, *e) for i, e in enumerate(events[10 * n : 10 * n + 10])], schema).coalesce(1).write.mode("append").parquet(folder)
         if restart or n == 3:
             d.subscribe(plans(), store, str(tmp_path / "cp"), options=options).awaitTermination()
     assert handled == [0, 1, 2, 3]
+    left = glob.glob(shared_folder(spark).removeprefix("file://") + "/*")
+    assert set(left) <= set(before), "a batch leaves no tables behind"
     whole = plans().project(as_log(spark.read.parquet(folder)))
     assert {tuple(r) for r in store.read("users").collect()} == {tuple(r) for r in whole.state.collect()}
     assert {tuple(r) for r in store.read("names").collect()} == {tuple(r) for r in whole.children["names"].state.collect()}
