@@ -26,7 +26,7 @@ from foldspark.llm.words import U, mix, slices, text_bytes, word_hashes
 DEPTH, CELLS, WIDTHS = 4, 1 << 16, (1 << 16, 1 << 26)
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Bytes of text whose terms are counted at once; a longer text is a slice of its own.
-SLICE = 1 << 23
+SLICE = 1 << 21
 #: A seed for each row of a sketch.
 _ROWS = mix(np.arange(1, DEPTH + 1, dtype=U) * U(0xD1342543DE82EF95))
 _TERM = np.zeros(256, dtype=bool)
