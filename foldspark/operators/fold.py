@@ -19,10 +19,11 @@ from pyspark.sql.window import Window
 from foldspark.operators.capture import Risks, failed
 from foldspark.operators.lookup import carried
 from foldspark.plans.event_map import ACCEPT, CONDITION, CREATE, CUSTOM, DELETE, IGNORE, THROW, UPDATE, Context, Event, Existing, ProjectionPlan
+from foldspark.sources.log import ENVELOPE
 from foldspark.sources.tables import sized, written
 
 ORDER = ["checkpoint", "event_seq", "rule_seq"]
-#: Columns of the log that op rows have besides the body; where rules read their row, they have all of them.
+#: Columns of the log that op rows have besides the body; where rules read their row, they have the whole envelope.
 OP_ENVELOPE = ["checkpoint", "event_seq", "transaction_id", "event_type"]
 
 
@@ -73,8 +74,8 @@ def op_rows(plan: ProjectionPlan, log: DataFrame, risks: Risks | None = None) ->
             rows.append(F.when(meets if torn is None else ~torn & meets, F.struct(*columns)))
     if not plan.rules:
         raise ValueError("the map has no handlers")
-    kept = [c for c in log.columns if c not in ("r", "body")]
-    return log.where(accepted if torn is None else torn | accepted).select(*kept, "body", F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*(kept if plan.reads_row else OP_ENVELOPE), "body", "r.*")
+    kept = [c for c in ENVELOPE if c in log.columns and c != "body"] if plan.reads_row else OP_ENVELOPE
+    return log.where(accepted if torn is None else torn | accepted).select(*kept, "body", F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*kept, "body", "r.*")
 
 
 def keys_of(plan: ProjectionPlan, log: DataFrame) -> DataFrame | None:

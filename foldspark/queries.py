@@ -22,7 +22,7 @@ from foldspark.plans.types import TypeRegistry
 from foldspark.sources import log as logs
 from foldspark.sources.tables import shared_folder
 from foldspark.sources.zipped import write_zips
-from foldspark.streaming.dispatcher import Dispatcher, Info, Resolution, SubscriptionOptions, has_subscription
+from foldspark.streaming.dispatcher import Dispatcher, Info, Resolution, SubscriptionOptions, catch_up, has_subscription
 from foldspark.streaming.store import SnapshotStore
 from foldspark.streaming.state import stateful, stateful_history
 
@@ -630,6 +630,7 @@ def stream_waits_for_a_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame
     try:
         if not has_subscription(spark, id) or not dispatcher.wait_until_checkpoint(query, end, timeout=600):
             raise TimeoutError(f"{id} has not come to {end}")
+        catch_up(query)  # the batch that has come to it ends
     finally:
         query.stop()
     return store.read("users").withColumnRenamed("key", "user_id")
