@@ -58,7 +58,7 @@ def op_rows(plan: ProjectionPlan, log: DataFrame, risks: Risks | None = None) ->
             no_key = no_rule | failed(key) if bad_key else no_rule
             no_accepts = failed(accepts) if bad_condition else F.lit(False)
             no_sets = failed(F.struct(*(x for x, _, _ in sets if x is not None))) if bad_sets else F.lit(False)
-            err = F.when(no_key, ERR_RULE).otherwise(F.when(no_accepts, ERR_CONDITION).otherwise(0) + F.when(no_sets, ERR_SETS).otherwise(0))
+            err = F.when(no_key, ERR_RULE).otherwise(F.when(no_accepts, ERR_CONDITION).otherwise(0) + F.when(no_sets, ERR_SETS).otherwise(0)) if broken or bad_key or bad_condition or bad_sets else F.lit(0)
 
             def safe(x: Column, risk: bool, wrong: Column) -> Column:
                 return F.when(~wrong, x) if risk else x

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -38,9 +39,14 @@ class ProjectionResult:
     state: DataFrame | None
     error: ProjectionError | None
     flagged: DataFrame | None
-    custom: DataFrame
+    custom_of: Callable[[], DataFrame]
     children: dict[str, ProjectionResult] = field(default_factory=dict)
 
+    @cached_property
+    def custom(self) -> DataFrame:
+        """The events of custom actions, with the name of each; planned when it is asked for."""
+        return self.custom_of()
+
     @property
     def misses(self) -> DataFrame:
         """Keys of deletes that found nothing, where the map asked to be told."""
@@ -206,11 +212,12 @@ class Projector:
         children = {c.plan.name: c._result(order, runs, error, cut, finished) for c in self.children}  # a child's actions run first
         place = F.struct("checkpoint", "event_seq", F.lit(seq).alias("p"), "rule_seq")
         before = F.lit(True) if cut is None else place < F.struct(F.lit(cut[0]).cast("long").alias("checkpoint"), F.lit(cut[1]).alias("event_seq"), F.lit(cut[2]).alias("p"), F.lit(cut[3]).alias("rule_seq"))
-        custom = fold.op_rows(self.plan, run.log, run.risks).where((F.col("op") == CUSTOM) & before)
+        custom = lambda: fold.op_rows(self.plan, run.log, run.risks).where((F.col("op") == CUSTOM) & before)
+        every = custom() if self.actions else None
         for name, action in self.actions.items():
             if (self.plan.name, name, cut) in finished:
                 continue
-            events = custom.where(F.col("action") == name)
+            events = every.where(F.col("action") == name)
             try:
                 self.around(name, events, lambda action=action, events=events: action(events))
             except Exception as e:

@@ -105,11 +105,14 @@ class Dispatcher:
         before = {n: s for n, (_, needed) in keys.items() if (s := store.read(n, batch_id, needed)) is not None}
         result = projector.project(rows, before, on_error)
         for name, state in self._states(projector, result):
-            own = keys[name][0]
+            own, needed = keys[name]
             if own is None:
                 store.write(name, batch_id, state)
                 continue
-            touched = lambda found, own=own: found.join(sized(own.select(F.col("key").alias("_key"))), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+            if needed is own:  # the rows are those of the batch's keys as they are
+                touched = lambda found: found
+            else:
+                touched = lambda found, own=own: found.join(sized(own.select(F.col("key").alias("_key"))), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
             changes = touched(state).withColumn("exists", F.lit(True))
             if name in before:
                 left = state.select(F.col("key").alias("_key"))
