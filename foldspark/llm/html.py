@@ -4,15 +4,19 @@ The standard library's parser streams events into lines, one for each block of t
 on the way. A line's ratio of text to tags is smoothed with its neighbours'; lines over the threshold (the spread of
 the smoothed ratios) are the content cluster. The content region is the deepest element with most of the cluster's
 text. Tags refine it: a region inside an article or main element grows to that element, and one that holds such
-elements with most of its content shrinks to them. Of any other region the cluster sets the bounds: lines before its
-first and after its last content line go, save headings and paragraphs next to it. All lines within the bounds are
-kept, short ones too, save those inside elements that are no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments), known by their tags or by whole names in class, id and role. A name
-never hides a wrapper: an element with nearly all of the text, or with most of it and the page's heading.
+elements with most of its content shrinks to them. Of any other region the cluster sets the bounds: units (a list, table or
+quotation is one, any other line one of its own) before its first and after its last content line go, save those next to
+it that read on: headings, paragraphs, and lists, tables, preformatted text and plain blocks beside content of the same
+parent, unless they are mostly links. All lines within the bounds are kept, short ones too, save those inside elements
+that are no article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments),
+known by their tags or by whole names in class, id and role. Neither a name nor a form hides a wrapper: an element with
+nearly all of the text, or with most of it and the page's heading. An iframe, button or the like without an end tag
+hides what follows only up to the next block.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -28,7 +32,14 @@ _CONTAINERS = frozenset("html body main article section div nav aside header foo
 #: Elements inside a line whose text is none of it.
 _MUTED = frozenset("select button iframe svg object video audio canvas".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 hr pre dt dd figcaption address caption title option legend details summary center".split())
-_NEVER = frozenset("nav aside footer form script style noscript template head title dialog menu fieldset textarea option datalist".split()) | _MUTED
+_NEVER = frozenset("nav aside footer script style noscript template head title dialog menu textarea option datalist".split()) | _MUTED
+#: Elements that hide what they hold unless they are wrappers, as a form around a whole page is.
+_FORMS = frozenset({"form", "fieldset"})
+#: Lists, tables and quotations: at the edges of a region their lines stay or go together.
+_GROUPS = frozenset("ul ol dl table blockquote figure".split())
+#: Muted elements that never hold one of their kind.
+_FLAT = frozenset("select button iframe video audio canvas".split())
+_ENDS = re.compile(rf"<(/?)({'|'.join(sorted(_FLAT))})(?=[\s/>])", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names in class, id and role that mark an element as no article text, and words that may stand beside one in a name, as in site-header or ad-slot.
@@ -66,10 +77,18 @@ def marks(attrs: dict[str, str]) -> set[str]:
 class _Lines(HTMLParser):
     """Collects lines (text, tags, container, block's tag, hidden by it, characters in links) and the tree of containers; a container's number is over its parent's."""
 
-    def __init__(self) -> None:
+    CDATA_CONTENT_ELEMENTS = ("script", "style")
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.ends: dict[str, list[tuple[int, bool]]] = {}  # where tags of flat elements stand, and whether they are end tags
+        for m in _ENDS.finditer(html):
+            self.ends.setdefault(m[2].lower(), []).append((m.start(), bool(m[1])))
+        self.loose: set[int] = set()  # open muted elements without an end tag: they end at the next block
         self.lines: list[tuple[str, int, int, str, bool, int]] = []
         self.names, self.parents, self.hidden, self.marked, self.headed = [""], [-1], [False], [set()], [False]
+        self.prose = [False]
         self.stack = [0]
         self.open: Counter = Counter()  # how many of each tag are on the stack
         self.skip: str | None = None  # inside an element without a container's place, such as script
@@ -80,7 +99,8 @@ class _Lines(HTMLParser):
     def _break(self, block: str = "", gone: bool = False) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.stack[-1], self.block, self.gone, self.linked))
+            at = next(n for n in reversed(self.stack) if self.names[n] not in _MUTED)  # what a muted element interrupts is not in it
+            self.lines.append((text, self.tags, at, self.block, self.gone, self.linked))
             self.tags = 0
         self.parts.clear()
         self.linked, self.block, self.gone = 0, block, gone
@@ -98,10 +118,14 @@ class _Lines(HTMLParser):
             self._close("head")
         if self.skip == "option" and tag in _CONTAINERS:
             self.skip = None
+        if tag in _BLOCKS or tag in _FLAT and self.open[tag]:
+            self._tighten()
         own = {k: v or "" for k, v in attrs}
         unseen = "hidden" in own or own.get("aria-hidden") == "true" or bool(_NONE.search(own.get("style", "")))
         if tag in _BLOCKS:
             self._break(tag, tag not in _CONTAINERS and (unseen or tag not in _HEADINGS and bool(marks(own))))
+        if tag == "p" or tag in _HEADINGS:
+            self.prose[self.stack[-1]] = True
         if tag in ("h1", "main", "article"):
             self.headed[self.stack[-1]] = True
         if tag in _CONTAINERS or tag in _MUTED:
@@ -113,6 +137,9 @@ class _Lines(HTMLParser):
             self.hidden.append(never or unseen and not free)
             self.marked.append(set() if free else marks(own) - {"header"} if inner else marks(own))
             self.headed.append(tag in ("main", "article"))
+            self.prose.append(tag in ("main", "article"))
+            if tag in _FLAT and not self._ended(tag):
+                self.loose.add(len(self.names) - 1)
             self.stack.append(len(self.names) - 1)
             self.open[tag] += 1
         elif tag in _NEVER:
@@ -126,14 +153,29 @@ class _Lines(HTMLParser):
             self.skip = None
         if tag in _BLOCKS:
             self._break()
+            self._tighten()
         if self.open[tag]:
             if self.skip == "option":  # its end tag may be left out: it ends with what holds it
                 self.skip = None
             self._close(tag)
 
+    def _ended(self, tag: str) -> bool:
+        """Whether the flat element that starts here has an end tag before the next one of its kind starts."""
+        line, column = self.getpos()
+        places = self.ends.get(tag, [])
+        at = bisect.bisect_right(places, (self.starts[line - 1] + column, True))
+        return at < len(places) and places[at][1]
+
+    def _tighten(self) -> None:
+        """Ends the muted elements that have no end tag."""
+        while self.loose:
+            self._close(self.names[min(self.loose)])
+
     def _close(self, tag: str) -> None:
         while True:
-            closed = self.names[self.stack.pop()]
+            n = self.stack.pop()
+            self.loose.discard(n)
+            closed = self.names[n]
             self.open[closed] -= 1
             if closed == tag:
                 return
@@ -159,14 +201,22 @@ def _sums(parents: list[int], at: list[int], values: list[int]) -> list[int]:
 
 def _hide(page: _Lines) -> list[bool]:
     """Which containers are hidden, by their tags, by their names, or by one around them."""
-    parents, headed = page.parents, list(page.headed)
+    parents, headed, prose = page.parents, list(page.headed), list(page.prose)
+    for n in range(len(parents) - 1, 0, -1):
+        headed[parents[n]] = headed[parents[n]] or headed[n]
+        prose[parents[n]] = prose[parents[n]] or prose[n]
     hidden = list(page.hidden)
     for n in range(1, len(parents)):
         hidden[n] = hidden[n] or hidden[parents[n]]
+    if any(name in _FORMS for name in page.names):
+        shown = [x for x in page.lines if not hidden[x[2]] and not x[4]]
+        held = _sums(parents, [x[2] for x in shown], [len(x[0]) for x in shown])
+        for n in range(1, len(parents)):
+            share = held[n] / max(1, held[0])
+            wraps = prose[n] and share >= WRAPS or headed[n] and share > WRAPS_HEADING
+            hidden[n] = hidden[n] or hidden[parents[n]] or page.names[n] in _FORMS and not wraps
     shown = [x for x in page.lines if not hidden[x[2]] and not x[4]]
     held = _sums(parents, [x[2] for x in shown], [len(x[0]) for x in shown])
-    for n in range(len(parents) - 1, 0, -1):
-        headed[parents[n]] = headed[parents[n]] or headed[n]
     for n in range(1, len(parents)):
         share = held[n] / max(1, held[0])
         wraps = headed[n] and share == 1 if page.marked[n] & _COMMENTS else share >= WRAPS or headed[n] and share > WRAPS_HEADING
@@ -236,9 +286,48 @@ def _refined(page: _Lines, held: list[int], region: int) -> set[int]:
     return set(articles) if sum(held[n] for n in articles) >= SHARE * held[region] else set()
 
 
+def _bounds(page: _Lines, lines: list[tuple], good: list[bool], region: int) -> tuple[int, int]:
+    """From where to where ``lines`` of a region without an element of its own are kept: whole units, ``good`` ones and what reads on beside them."""
+    group = [0] * len(page.names)  # the outermost group inside the region around each container
+    for n in range(1, len(group)):
+        p = page.parents[n]
+        group[n] = group[p] or (n if n > region and page.names[n] in _GROUPS else 0)
+    units: list[list[int]] = []  # first line, last line, group
+    for i, x in enumerate(lines):
+        g = group[x[2]]
+        if units and g and units[-1][2] == g:
+            units[-1][1] = i
+        else:
+            units.append([i, i, g])
+    linked = [2 * sum(x[5] for x in lines[a : b + 1]) >= sum(len(x[0]) for x in lines[a : b + 1]) for a, b, _ in units]
+    content = [any(good[a : b + 1]) and not (g and mostly) for (a, b, g), mostly in zip(units, linked, strict=True)]
+    if not any(content):
+        return 0, len(lines)
+    beside = {page.parents[g] if g else lines[a][2] for (a, _, g), c in zip(units, content, strict=True) if c}
+    leaves = {page.parents[lines[a][2]] for (a, _, g), c in zip(units, content, strict=True) if c and not g and lines[a][3] == page.names[lines[a][2]]}
+
+    def reads_on(u: int) -> bool:
+        a, _, g = units[u]
+        if linked[u]:
+            return False
+        if g:
+            return page.parents[g] in beside
+        _, _, n, block, *_ = lines[a]
+        if block == "p" or block in _HEADINGS:
+            return True
+        return page.parents[n] in leaves if block and block == page.names[n] else n in beside and block in ("pre", "dt", "dd", "address", "figcaption")
+
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    while first > 0 and reads_on(first - 1):
+        first -= 1
+    while last < len(units) - 1 and reads_on(last + 1):
+        last += 1
+    return units[first][0], units[last][1] + 1
+
+
 def extract(html: str | None) -> str:
     """The article's text: blocks in page order, joined by a line feed; empty if there is none. Time and memory are in proportion to the page, however deep it is."""
-    page = _Lines()
+    page = _Lines(html or "")
     page.feed(html or "")
     page.close()
     page._break()
@@ -255,14 +344,8 @@ def extract(html: str | None) -> str:
         inside[n] = inside[n] or inside[page.parents[n]]
     kept = [n for n, x in enumerate(lines) if inside[x[2]]]
     if not any(page.names[n] in ("article", "main") for n in regions):
-        good = [i for i, n in enumerate(kept) if content[n]]
-        plain = lambda x: 2 * x[5] < len(x[0]) and (x[3] == "p" or x[3] in _HEADINGS)
-        first, last = (good[0], good[-1]) if good else (0, len(kept) - 1)
-        while first > 0 and plain(lines[kept[first - 1]]):
-            first -= 1
-        while last < len(kept) - 1 and plain(lines[kept[last + 1]]):
-            last += 1
-        kept = kept[first : last + 1]
+        first, last = _bounds(page, [lines[n] for n in kept], [content[n] for n in kept], region)
+        kept = kept[first:last]
     return "\n".join(lines[n][0] for n in kept)
 
 

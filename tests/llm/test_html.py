@@ -98,6 +98,35 @@ def test_names_hide_parts_and_never_wrappers():
     assert extract(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo></math>1, <button>Like</button>so.<svg><text>no</text></svg></article>") == f"{LONG} x=1, so."
 
 
+def test_lists_and_tables_at_the_edges_stay_whole():
+    parts = ["alpha", "beta", "gamma"]
+    items = "<ul>" + "".join(f"<li>{x}</li>" for x in parts) + "</ul>"
+    assert extract(f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{items}</div>").split("\n") == ["T", LONG, LONG, *parts]
+    assert extract(f"<div>{items}<p>{LONG}</p><p>{LONG}</p></div>").split("\n") == [*parts, LONG, LONG]
+    assert extract(f"<div><p>{LONG}</p><p>{LONG}</p><table><tr><td>a<td>b<tr><td>c<td>d</table></div>").split("\n") == [LONG, LONG, *"abcd"]
+    assert extract(f"<div><p>{LONG}</p><p>{LONG}</p><pre>x = 1</pre></div>").split("\n") == [LONG, LONG, "x = 1"]
+    assert extract(f"<div><div>{LONG}</div><div>{LONG}</div><div>The end.</div></div>").split("\n") == [LONG, LONG, "The end."]
+    links = "<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in parts) + "</ul>"
+    assert extract(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div>{links}</div><div>{items}</div>") == f"{LONG}\n{LONG}"
+    assert extract(f"<div><p>{LONG}</p><p>{LONG}</p>{links}</div>") == f"{LONG}\n{LONG}"
+
+
+def test_forms_around_a_page_hide_nothing():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    wrapped = [re.sub("</body>", "</form></body>", re.sub("(<body[^>]*>)", r"\1<form action=/>", p)) for p in pages]
+    assert [extract(p) for p in wrapped] == [extract(p) for p in pages] and wrapped != pages
+    inner = f"<h1>T</h1><p>{LONG}<form><p>Search <input></form><p>{LONG}"
+    assert extract(f"<body><form><fieldset>{inner}</fieldset></form>") == f"T\n{LONG}\n{LONG}"
+    assert extract(f"<body><p>{LONG}<form><p>Your name <input><p>Your mail <input></form>") == LONG
+
+
+def test_elements_without_an_end_tag_mute_only_up_to_the_next_block():
+    for tag in ("iframe", "button", "select", "video"):
+        assert extract(f"<div><p>{LONG}<{tag}>No.<p>More.<{tag}>No.</{tag}><p>{LONG}</div>") == f"{LONG}\nMore.\n{LONG}"
+        assert extract(f"<div><p>{LONG}<p>One.<{tag}>No.</p>Two.<p>{LONG}</div>") == f"{LONG}\nOne.\nTwo.\n{LONG}"
+        assert extract(f"<div><p>{LONG}<{tag}><div>No.</div></{tag}> End.<p>{LONG}</div>") in (f"{LONG}\nEnd.\n{LONG}", f"{LONG} End.\n{LONG}")
+
+
 def test_deep_pages_take_time_in_proportion():
     def seconds(page):
         began = time.process_time()
