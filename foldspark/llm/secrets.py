@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
-A subword vocabulary spends few tokens on words it knows and many on random strings. A run of credential characters
-that mixes letters and digits and gets under ``MAX_RATIO`` characters per token is reported, unless it has the form of
-a known digest or identifier. The patterns' own spans are never dropped.
+A subword vocabulary spends few tokens on words it knows and many on random strings. A run of credential characters is
+reported if it gets fewer characters per token than ``most`` allows for its length, as a whole or in one of its parts
+between separators. Known digests, UUIDs and numbers (dates, versions) count on neither side; nothing else is excluded,
+so letters alone are scored as well. The patterns' own spans are never dropped.
 """
 
 from __future__ import annotations
@@ -22,12 +23,19 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters per token below which a candidate counts as random; words of natural languages get 2.5 to 5.
 MAX_RATIO = 2.0
+#: Runs under SHORTEST characters are not scored; from there to FULL the ratio allowed grows from SHORT_RATIO to MAX_RATIO, as few tokens say little.
+SHORTEST, FULL, SHORT_RATIO = 12, 20, 1.6
+#: A run whose parts are all under this length is a list of short names, such as a path.
+LONGEST_PART = 6
+#: A text is encoded in slices of this length, so that runs of any length take time in proportion.
+_SLICE = 1024
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Greedy runs of one class that are long enough: the same as all runs less those that are too short.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+_SEPARATORS = re.compile(r"[+/_=-]+")
 _DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
 _HEXDIGITS = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -40,17 +48,24 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(text: str) -> bool:
-    """Digests of the usual lengths, UUIDs, and paths or compound words whose parts are all plain."""
-    if len(text) in _DIGESTS and _HEXDIGITS.fullmatch(text) or _UUID.fullmatch(text):
-        return True
-    return all(p.isalpha() or p.isdigit() for p in re.split(r"[+/_=-]+", text) if p)
+def is_known(part: str) -> bool:
+    """Digests of the usual lengths, and numbers, to which one or two letters may be added as in dates and versions."""
+    return len(part) in _DIGESTS and bool(_HEXDIGITS.fullmatch(part)) or sum(c.isalpha() for c in part) < 3
+
+
+def most(n: int) -> float:
+    """The characters per token under which ``n`` characters count as random."""
+    return MAX_RATIO - (MAX_RATIO - SHORT_RATIO) * max(0, FULL - n) / (FULL - SHORTEST)
 
 
 def is_random(text: str, vocabulary: str) -> bool:
-    if is_known(text) or not (re.search("[A-Za-z]", text) and re.search("[0-9]", text)):
+    parts = [p for p in _SEPARATORS.split(_UUID.sub("/", text)) if p and not is_known(p)]
+    if max(map(len, parts), default=0) < LONGEST_PART:
         return False
-    return len(text) < MAX_RATIO * len(encoding(vocabulary).encode_ordinary(text))
+    encode = encoding(vocabulary).encode_ordinary
+    sizes = [(len(p), sum(len(encode(p[at : at + _SLICE])) for at in range(0, len(p), _SLICE))) for p in parts]
+    n, tokens = map(sum, zip(*sizes, strict=True))
+    return any(n >= SHORTEST and n < most(n) * tokens for n, tokens in [(n, tokens), *sizes])
 
 
 def find_spans(text: str, vocabulary: str) -> list[tuple[int, int, int]]:
@@ -84,7 +99,7 @@ def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     A null text counts as empty; a row without spans has counts of 0 and the digest of the empty string. Texts of any
     length are scanned whole, repeated rows each, null ids stay null, an empty table gives an empty result. Random
-    strings of letters alone or digits alone are not told from words and numbers: the token test leaves them out.
+    strings of digits alone are not told from numbers: the token test leaves them out.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])

@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import public_tokenizers
+import pyarrow.parquet as pq
 
 from foldspark.llm import secrets
 
@@ -33,6 +35,38 @@ def test_token_efficiency():
         assert not [s for s in secrets.find_spans(plain, PATH) if s[1] == 3]
 
 
+def test_random_strings_by_alphabet_and_length():
+    """Nine tenths are found of letters and digits from 12 characters on, with separators or of letters alone from 16 on; lower case, whose random strings come nearest to words, from 24 on."""
+    rng = random.Random(5)
+    alphabets = {"letters": string.ascii_letters, "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "base32": string.ascii_uppercase + "234567", "upper": string.ascii_uppercase, "lower": string.ascii_lowercase}
+    for name, alphabet in alphabets.items():
+        for n in {"lower": (24, 40), "upper": (20, 40), "alnum": (12, 16, 20, 40)}.get(name, (16, 20, 40)):
+            found = sum(secrets.is_random("".join(rng.choice(alphabet) for _ in range(n)), PATH) for _ in range(400))
+            assert found >= 0.9 * 400, (name, n, found)
+
+
+def test_names_numbers_and_words_are_left_alone():
+    for plain in (
+        "img_20240102_123456_HDR_portrait_v2", "20240102T123456Z", "a/b/c/d/e/f/g/h/i/j/k/l", "2024-01-02T12-30-59", "getElementsByClassName", "internationalization", "MAX_BUFFER_SIZE_DEFAULT",
+        "github/blob/" + hashlib.sha1(b"x").hexdigest() + "/src/main", "objects/123e4567-e89b-12d3-a456-426614174000/meta", "=" * 80, "-" * 40 + "+" + "-" * 40, "1234567890" * 4,
+    ):
+        assert not [s for s in secrets.find_spans(plain, PATH) if s[1] == 3], plain
+    assert secrets.is_random("downloads/archive/x8KqPz3mWvT1bYrL9sJd/readme", PATH)
+
+
+def test_words_of_documents_are_seldom_reported():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    words = {m[0] for t in texts for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t)}
+    found = {w for w in words if w.isalpha() and secrets.is_random(w, PATH)}
+    assert len(words) > 20_000 and len(found) <= len(words) / 2000, found
+
+
+def test_long_runs_take_time_in_proportion():
+    began = time.process_time()
+    assert not secrets.is_random("a" * 2_000_000, PATH)
+    assert time.process_time() - began < 10
+
+
 def test_redaction():
     text = "a password: hunter2hunter AKIA" + "A" * 16 + " b"
     assert secrets.redact(text, PATH) == "a [SECRET] [SECRET] b"
