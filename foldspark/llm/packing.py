@@ -4,7 +4,8 @@ What fits where depends on lengths alone, and there are at most ``capacity`` of
 histogram of lengths: a sequence is filled greedily, largest first; then, while it helps, its smallest piece gives way
 to the two unpacked pieces that fill its expanded gap most tightly. The pattern found is used for as many sequences as
 the histogram allows. Pieces then find their places by their rank among the pieces of their length. The plan's size is
-bounded by ``capacity``, not by the data; ranks come from salted groups and a table of their offsets.
+bounded by ``capacity``, not by the data; ranks come from salted groups and a table of their offsets, with as many
+groups to a length as it has pieces for. A piece of full length is a sequence of its own and needs no rank.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldspark.llm.bpe import encoder
-from foldspark.llm.common import cut
+from foldspark.llm.common import cut, sized
 
 CAPACITY = 2048
-#: Groups that the pieces of one length are ranked in; the table of offsets has at most CAPACITY * SALTS rows.
-SALTS = 128
+#: Pieces of one length that are ranked in one group, as many as one task sorts with ease; the table of offsets has at most CAPACITY + pieces / PER_GROUP rows.
+PER_GROUP = 250_000
 VOCABULARY = "byte_bpe_50k"
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -122,20 +123,26 @@ def _places(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
     return (*table.T, np.array(offsets, dtype=np.int64))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP) -> DataFrame:
     """``pieces`` (any columns, with length) with sequence_id and offset. Pieces of one length are interchangeable; an empty table stays empty.
 
-    ``pieces`` is read twice and must be a stored table, so that both reads see the same rows.
+    ``pieces`` must be a stored table, as it is read several times and all reads must see the same rows. Sequences of
+    one full piece have negative ids.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int"))
+    spark = pieces.sparkSession
+    counts = {r.length: r.n for r in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    full = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not counts:
+        return full
+    salts = spark.createDataFrame([(n, 1 + c // per_group) for n, c in sorted(counts.items())], "length int, salts long")
+    salted = pieces.where(F.col("length") < capacity).join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), "salts").cast("int"))
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    groups = cut(groups.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).coalesce(1), "pack-groups")
-    counts = {r.length: r.n for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    groups = cut(groups.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")), "pack-groups")
     key, each, first, where, offsets = _places(plan(counts, capacity))
     columns = pieces.columns
-    shared = pieces.sparkSession.sparkContext.broadcast((key, each, first, where, offsets))
+    shared = spark.sparkContext.broadcast((key, each, first, where, offsets))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("rank", rank.cast("long")).join(F.broadcast(groups.select("length", "salt", "base")), ["length", "salt"])
+    ranked = salted.withColumn("rank", rank.cast("long")).join(sized(groups.select("length", "salt", "base")), ["length", "salt"])
     ranked = ranked.select(*columns, (F.col("rank") + F.col("base")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

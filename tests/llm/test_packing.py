@@ -59,3 +59,20 @@ def test_documents(spark):
         assert own.offset.tolist() == (own.length.cumsum() - own.length).tolist() and own.length.sum() <= 64
     assert found.sequence_id.nunique() <= 1.1 * found.length.sum() / 64 + 1
     assert packing.pack_documents(docs.limit(0), 64).count() == 0
+
+
+def test_groups_follow_the_counts(spark):
+    """Few pieces to a group: many groups of one length; full pieces are sequences of their own."""
+    rng = random.Random(6)
+    lengths = [rng.choice([3, 7, 20, 64]) for _ in range(600)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing._PIECES)
+    stored = packing.cut(pieces, "test-pieces")
+    few, many = (packing.pack(stored, 64, n).toPandas() for n in (10, 10**9))
+    for found in (few, many):
+        assert sorted(found.length) == sorted(lengths)
+        for _, own in found.sort_values("offset").groupby("sequence_id"):
+            assert own.offset.tolist() == (own.length.cumsum() - own.length).tolist() and own.length.sum() <= 64
+        assert found.sequence_id[found.length == 64].is_unique and (found.sequence_id[found.length == 64] < 0).all()
+    assert few.sequence_id.nunique() == many.sequence_id.nunique()
+    full = packing.pack(packing.cut(pieces.where("length = 64"), "test-full"), 64)
+    assert full.count() == lengths.count(64) == full.select("sequence_id").distinct().count()
