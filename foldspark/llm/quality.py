@@ -1,6 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A logistic model of byte-class shares gives each document its evidence. Sums of the documents' probabilities, grouped
+A logistic model of byte-class shares and of two n-gram shares gives each document its evidence: how usual its byte
+trigrams are in good labelled documents, and how much more so than in bad ones. It also learns from copies of the good
+documents with their letters replaced at random, so that text which is usual in its marks alone counts as bad. Sums of the documents' probabilities, grouped
 by host and by path, become posteriors that shrink towards the level above (path to host, host to the whole corpus),
 the more the fewer documents a site has; how much follows from the variance between and within sites. A document's
 evidence is combined with its path's posterior, so that a borderline page of a good site is kept and one of a bad site
@@ -52,6 +54,59 @@ def features(column: pa.Array) -> np.ndarray:
     return out
 
 
+#: Cells that byte trigrams are hashed to.
+CELLS = 1 << 16
+
+
+def trigrams(data: np.ndarray) -> np.ndarray:
+    """The cell of the trigram that begins at each byte."""
+    d = data.astype(np.uint32)
+    return (d[:-2] * np.uint32(2654435761) + d[1:-1] * np.uint32(2246822507) + d[2:] * np.uint32(3266489909)) >> np.uint32(16)
+
+
+def logs(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the cells' shares in bad and in good documents, one added to each count."""
+    return np.log(counts + 1) - np.log(counts.sum(1, keepdims=True) + CELLS)
+
+
+def usual(column: pa.Array, table: np.ndarray) -> np.ndarray:
+    """A row for each text: the mean of its trigrams' logarithms in good documents, and how far it is over that in bad ones. Zeros under three bytes."""
+    offsets, data = text_bytes(column)
+    out = np.zeros((len(offsets) - 1, 2))
+    values = np.stack([table[1], table[1] - table[0]])
+    for a, b in slices(offsets):
+        cells = trigrams(data[offsets[a] : offsets[b]])
+        own = offsets[a : b + 1] - offsets[a]
+        first, last = np.minimum(own[:-1], len(cells)), np.maximum(own[1:] - 2, np.minimum(own[:-1], len(cells)))
+        for n in range(2):
+            upto = np.concatenate([[0.0], np.cumsum(values[n][cells])])
+            out[a:b, n] = (upto[last] - upto[first]) / np.maximum(last - first, 1)
+    return out
+
+
+def usual_apart(text: str, counts: np.ndarray, label: int) -> np.ndarray:
+    """``usual`` of one labelled text by the counts of all others."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    if len(data) < 3:
+        return np.zeros(2)
+    cells = trigrams(data)
+    means = []
+    for k in (0, 1):
+        own, size = (np.bincount(cells, minlength=CELLS)[cells], len(cells)) if k == label else (0, 0)
+        means.append((np.log(counts[k][cells] - own + 1) - np.log(counts[k].sum() - size + CELLS)).mean())
+    return np.array([means[1], means[1] - means[0]])
+
+
+def scramble(text: str, seed: int) -> str | None:
+    """``text`` with each letter a-z replaced at random; none if fewer than half of its bytes are such letters."""
+    data = np.frombuffer(text.encode(), np.uint8).copy()
+    letters = (data >= 97) & (data <= 122)
+    if 2 * letters.sum() < max(1, len(data)):
+        return None
+    data[letters] = np.random.default_rng(seed).integers(97, 123, letters.sum(), dtype=np.uint8)
+    return data.tobytes().decode()
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model by Newton's steps. With labels of one kind only: no weights."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -71,23 +126,43 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tu
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
-    """The document model from ``labels`` (doc_id, quality 0 or 1). Several labels of a document count by majority, null ones not at all."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float, np.ndarray]:
+    """The document model (weights, intercept, trigrams' logarithms) from ``labels`` (doc_id, quality 0 or 1). Several labels of a document count by majority, null ones not at all."""
     chosen = (
         labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").join(F.broadcast(cut(chosen, "quality-labels")), "doc_id").select("doc_id", "hash", "label", "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").join(F.broadcast(cut(chosen, "quality-labels")), "doc_id")
+    # one row for each labelled id, however many carry it: that of the smallest hash
+    known = cut(known.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), "hash").alias("r")).select("doc_id", "r.*"), "quality-known")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, CELLS), dtype=np.int64)
+        for b in batches:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                if len(data) > 2:
+                    counts[int(label)] += np.bincount(trigrams(data), minlength=CELLS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["cell", "n"])
+
+    found = known.select("label", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * CELLS rows
+    counts = np.zeros(2 * CELLS, dtype=np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    counts = counts.reshape(2, CELLS)
+    table = logs(counts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(3))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "hash", "label", "x"])
+            for i, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = text or ""
+                x = [(label, np.append(features(pa.array([text])), usual_apart(text, counts, int(label))))]
+                if label and (noise := scramble(text, i & 0xFFFFFFFF)):
+                    x.append((0.0, np.append(features(pa.array([noise])), usual(pa.array([noise]), table))))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(x)), pa.array([k for k, _ in x]), pa.array([v.tolist() for _, v in x])], names=["doc_id", "label", "x"])
 
-    # one row for each labelled id, however many carry it: that of the smallest hash
-    each = known.mapInArrow(rows, "doc_id long, hash long, label double, x array<double>").groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "hash").alias("r"))
-    table = each.select("r.*").orderBy("doc_id").toPandas()
-    return fit(np.array(table["x"].tolist()).reshape(-1, N_FEATURES), table["label"].to_numpy(float))
+    fitted = known.select("doc_id", "label", "text").mapInArrow(rows, "doc_id long, label double, x array<double>").orderBy("doc_id", F.desc("label")).toPandas()
+    return *fit(np.array(fitted["x"].tolist()).reshape(-1, N_FEATURES + 2), fitted["label"].to_numpy(float)), table
 
 
 def _logit(p: Column) -> Column:
@@ -110,14 +185,15 @@ _ADDED = ("_evidence", "_host_rate", "_path_rate", "_posterior")
 
 def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, max_labelled: int, kept: list[str]) -> DataFrame:
     """(row, evidence, host_rate, path_rate, posterior), row being a struct of the columns ``kept``: no name of theirs can clash."""
-    weights, bias = train(docs, labels, max_labelled)
+    weights, bias, table = train(docs, labels, max_labelled)
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 * CELLS numbers
     h, p = F.coalesce(F.col(host).cast("string"), F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*kept).alias("row"), h.alias("h"), p.alias("p"), *([] if "text" in kept else ["text"]))
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("row").field("text") if "text" in kept else b.column("text")
-            z = features(text) @ weights + bias
+            z = np.column_stack([features(text), usual(text, shared.value)]) @ weights + bias
             empty = np.array([not t for t in _text_sizes(text)], dtype=bool)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), mask=empty)], names=["row", "h", "p", "evidence"])
 
