@@ -29,6 +29,8 @@ SHORTEST, FULL, SHORT_RATIO = 12, 20, 1.6
 LONGEST_PART = 6
 #: A text is encoded in slices of this length, so that runs of any length take time in proportion.
 _SLICE = 1024
+#: Rows whose texts are redacted at once; a batch's are not all held as Python strings.
+ROWS = 512
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Greedy runs of one class that are long enough: the same as all runs less those that are too short.
@@ -122,7 +124,7 @@ def redact_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     at, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             columns = list(batch.columns)
             old = columns[at].to_pylist()
             new = [t if t is None else redact(t, path) for t in old]

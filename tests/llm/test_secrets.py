@@ -84,3 +84,19 @@ def test_rows(spark):
     kept = secrets.redact_documents(docs.withColumnRenamed("spans", "n_chars").selectExpr("doc_id", "text", "cast(7 as long) as n_chars")).orderBy("doc_id").collect()
     assert kept[-1].text.endswith("word [SECRET]") and kept[-1].n_chars == 200_008 and kept[1].text is None and kept[0].n_chars == 7
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_a_batch_is_redacted_some_rows_at_a_time(spark):
+    """A worker does not hold all texts of a batch of 10,000 as Python strings."""
+    import pyarrow as pa
+
+    class Docs:
+        columns, schema = ["text"], None
+
+        def mapInArrow(self, rows, _):
+            return rows
+
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "token = abcdef123", *["word " * 3] * 10_000])], names=["text"])
+    out = list(secrets.redact_documents(Docs())(iter([batch])))
+    assert max(b.num_rows for b in out) <= 1000
+    assert [t for b in out for t in b.column(0).to_pylist()] == [t if t is None else secrets.redact(t, public_tokenizers.path(secrets.VOCABULARY)) for t in batch.column(0).to_pylist()]

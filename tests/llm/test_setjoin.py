@@ -163,3 +163,16 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(100, 140)] + [(7, 5), (7, 7), (5, 7)], "a long, b long")
     assert {r.id: r.root for r in components(edges).collect()} == {**{i: 100 for i in range(100, 141)}, 5: 5, 7: 5}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_hashing_words_takes_little_memory():
+    """A batch's texts are hashed in slices, so that two workers fit beside an executor's heap."""
+    import tracemalloc
+
+    column = pa.array(["some words of a text " * 50] * 8_000)  # 8 MB
+    next(words.batches_of_words(column))
+    tracemalloc.start()
+    n = sum(len(h) for _, _, h, _ in words.batches_of_words(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8_000 * 250 and peak < 30e6
