@@ -33,49 +33,94 @@ ERR_RULE, ERR_CONDITION, ERR_SETS = 1, 2, 4
 FILTER = "filter"
 
 
-def op_rows(plan: ProjectionPlan, log: DataFrame, risks: Risks | None = None) -> DataFrame:
+def op_rows(plan: ProjectionPlan, log: DataFrame, risks: Risks | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """(checkpoint, event_seq, rule_seq, transaction_id, event_type, op, key, action, policy, accepts, err, set_<field>, add_<field>, body).
 
     ``accepts`` says whether a duplicate is applied, or a miss created. ``set_<field>`` is a struct, so that NULL can be
     assigned. With ``risks``, what can fail is captured: ``err`` has the parts of an op that failed, whose columns are
-    NULL, and an event on which a filter failed is an op of its own kind; without, a failure ends the job.
+    NULL, and an event on which a filter failed is an op of its own kind; without, a failure ends the job. ``more``:
+    columns of the event that its ops have too.
     """
     fields = plan.fields or {}
     accepted = plan.handled()
     torn = failed(accepted) if risks and risks.filters else None
-    rows = [] if torn is None else [F.when(torn, F.struct(*_filter_op(plan)))]
+    # an event meets its rules by their numbers: rules of which it can meet but one share a slot, and columns are worked out once the number is known
+    met: list[tuple[frozenset[str] | None, Column]] = []
+    ops: list[dict[str, object]] = []
+    shared: dict[tuple, Column] = {}  # what rules have in common stays one column
+    if torn is not None:
+        met.append((None, torn))
+        ops.append(_filter_op())
     for n, rule in enumerate(plan.rules):
         broken, bad_key, bad_condition, bad_sets = risks.rules[n] if risks else (False,) * 4
-        key = (F.lit(None) if rule.key is None else rule.key).cast(plan.key_type)
-        accepts, sets = {ACCEPT: F.lit(True), CONDITION: F.lit(False) if rule.condition is None else rule.condition}.get(rule.policy, F.lit(False)), []
+        key = F.lit(None).cast(plan.key_type) if rule.key is None else shared.setdefault((id(rule.key), "key"), rule.key.cast(plan.key_type))
+        accepts, sets = {ACCEPT: True, CONDITION: False if rule.condition is None else rule.condition}.get(rule.policy, False), []
         for name, (kind, _) in fields.items():
-            sets.append((rule.assigns[name].cast(kind) if name in rule.assigns else None, f"set_{name}", f"struct<v:{kind}>"))
+            x = rule.assigns.get(name)
+            sets.append((None if x is None else shared.setdefault((id(x), name), F.struct(x.cast(kind).alias("v"))), f"set_{name}"))
         for name, (kind, how) in fields.items():
             if how:
-                sets.append((rule.adds[name].cast(kind) if name in rule.adds else None, f"add_{name}", kind))
-        for order, condition in plan.matches(n):
+                sets.append((rule.adds[name].cast(kind) if name in rule.adds else None, f"add_{name}"))
+        for (order, condition), types in zip(plan.matches(n), plan.matched(n), strict=True):
             no_rule = failed(condition) if broken else F.lit(False)
             no_key = no_rule | failed(key) if bad_key else no_rule
             no_accepts = failed(accepts) if bad_condition else F.lit(False)
-            no_sets = failed(F.struct(*(x for x, _, _ in sets if x is not None))) if bad_sets else F.lit(False)
-            err = F.when(no_key, ERR_RULE).otherwise(F.when(no_accepts, ERR_CONDITION).otherwise(0) + F.when(no_sets, ERR_SETS).otherwise(0)) if broken or bad_key or bad_condition or bad_sets else F.lit(0)
+            no_sets = failed(F.struct(*(x for x, _ in sets if x is not None))) if bad_sets else F.lit(False)
+            err = F.when(no_key, ERR_RULE).otherwise(F.when(no_accepts, ERR_CONDITION).otherwise(0) + F.when(no_sets, ERR_SETS).otherwise(0)) if broken or bad_key or bad_condition or bad_sets else 0
 
-            def safe(x: Column, risk: bool, wrong: Column) -> Column:
+            def safe(x: object, risk: bool, wrong: Column) -> object:
                 return F.when(~wrong, x) if risk else x
 
-            columns = [
-                F.lit(order).alias("rule_seq"), F.lit(rule.op).alias("op"), safe(key, broken or bad_key, no_key).alias("key"), F.lit(rule.action).cast("string").alias("action"),
-                F.lit(rule.policy).alias("policy"), F.coalesce(safe(accepts, broken or bad_key or bad_condition, no_key | no_accepts), F.lit(False)).alias("accepts"), err.alias("err"),
-            ]
-            for x, name, kind in sets:
-                value = None if x is None else F.struct(x.alias("v")) if name.startswith("set_") else x
-                columns.append((F.lit(None) if value is None else safe(value, broken or bad_key or bad_sets, no_key | no_sets)).cast(kind).alias(name))
+            accepted_too = safe(accepts, broken or bad_key or bad_condition, no_key | no_accepts)
+            columns = {
+                "rule_seq": order, "op": rule.op, "key": safe(key, broken or bad_key, no_key), "action": rule.action, "policy": rule.policy,
+                "accepts": F.coalesce(accepted_too, F.lit(False)) if isinstance(accepted_too, Column) else accepted_too, "err": err,
+            }
+            for x, name in sets:
+                columns[name] = None if x is None else safe(x, broken or bad_key or bad_sets, no_key | no_sets)
             meets = no_rule | condition if broken else condition
-            rows.append(F.when(meets if torn is None else ~torn & meets, F.struct(*columns)))
+            met.append((None if broken else types, meets if torn is None else ~torn & meets))
+            ops.append(columns)
     if not plan.rules:
         raise ValueError("the map has no handlers")
     kept = [c for c in ENVELOPE if c in log.columns and c != "body"] if plan.reads_row else OP_ENVELOPE
-    return log.where(accepted if torn is None else torn | accepted).select(*kept, "body", F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*kept, "body", "r.*")
+    types = {"rule_seq": "int", "op": "string", "key": plan.key_type, "action": "string", "policy": "string", "accepts": "boolean", "err": "int"}
+    types |= {f"set_{n}": f"struct<v:{kind}>" for n, (kind, _) in fields.items()} | {f"add_{n}": kind for n, (kind, how) in fields.items() if how}
+    slots = _slots(met)
+    rows = log.where(accepted if torn is None else torn | accepted)
+    # explode keeps filters on the numbers above it, and works out nothing ahead of what captures its failure
+    rows = rows.withColumn("_op", F.explode(F.array(*slots))).where("_op is not null")
+    return rows.select(*kept, "body", *(x.alias(n) for n, x in (more or {}).items()), *(_of_op([o.get(name) for o in ops], kind).alias(name) for name, kind in types.items()))
+
+
+def _slots(met: list[tuple[frozenset[str] | None, Column]]) -> list[Column]:
+    """The numbers of the ops that an event makes, from (types of events, condition) of each: NULL where a slot has none. Ops of one slot have no type in common."""
+    slots: list[tuple[set[str], Column]] = []
+    for n, (types, condition) in enumerate(met):
+        at = next((i for i, (taken, _) in enumerate(slots) if types is not None and taken is not None and not taken & types), None)
+        if at is None:
+            slots.append((None if types is None else set(types), F.when(condition, n)))
+        else:
+            slots[at] = (slots[at][0] | types, slots[at][1].when(condition, n))
+    return [x for _, x in slots]
+
+
+def _of_op(values: list[object], kind: str) -> Column:
+    """The value (a column or a constant) that belongs to the number in _op."""
+    if all(not isinstance(x, Column) and x == values[0] and type(x) is type(values[0]) for x in values):
+        return F.lit(values[0]).cast(kind)
+    cases: list[tuple[list[int], object]] = []
+    for n, x in enumerate(values):
+        same = next((own for own, y in cases if y is x or not isinstance(x, Column) and not isinstance(y, Column) and y == x), None)
+        if same is not None:
+            same.append(n)
+        elif x is not None:
+            cases.append(([n], x))
+    out = None
+    for own, x in cases:
+        is_one, value = F.col("_op").isin(own) if len(own) > 1 else F.col("_op") == own[0], (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+        out = F.when(is_one, value) if out is None else out.when(is_one, value)
+    return out
 
 
 def keys_of(plan: ProjectionPlan, log: DataFrame) -> DataFrame | None:
@@ -91,13 +136,8 @@ def keys_of(plan: ProjectionPlan, log: DataFrame) -> DataFrame | None:
     return log.select(F.explode(found).alias("k")).select("k.key").distinct()
 
 
-def _filter_op(plan: ProjectionPlan) -> list[Column]:
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    fields = plan.fields or {}
-    return [
-        F.lit(-1).alias("rule_seq"), F.lit(FILTER).alias("op"), none(plan.key_type, "key"), none("string", "action"), F.lit(IGNORE).alias("policy"), F.lit(False).alias("accepts"), F.lit(ERR_RULE).alias("err"),
-        *(none(f"struct<v:{kind}>", f"set_{n}") for n, (kind, _) in fields.items()), *(none(kind, f"add_{n}") for n, (kind, how) in fields.items() if how),
-    ]
+def _filter_op() -> dict[str, object]:
+    return {"rule_seq": -1, "op": FILTER, "policy": IGNORE, "accepts": False, "err": ERR_RULE}
 
 
 def snapshot_rows(plan: ProjectionPlan, snapshot: DataFrame) -> DataFrame:
@@ -156,10 +196,20 @@ def _place() -> Column:
     return F.struct(*ORDER)
 
 
-def final_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
-    """(key, fields) of the rows that live at the end."""
+def final_rows(plan: ProjectionPlan, flagged: DataFrame, **more: Column) -> DataFrame:
+    """(key, fields) of the rows that live at the end. ``more``: aggregates over all ops of a key, in maps of plain fields; ``last_incarnation`` is there beside them."""
     whole = Window.partitionBy("key", "incarnation")
     rows = flagged.where("incarnation > 0")
+    lives = F.max_by("fixes", F.when(F.col("fixes").isNotNull(), _place()))
+    if all(how is None for _, how in plan.fields.values()):
+        # only a key's last incarnation can live, so keys are the groups: one sort serves the flags and this
+        sets = {n: F.col("effective") & F.col(f"set_{n}").isNotNull() for n in plan.fields}
+        last = {n: F.max_by(F.struct("incarnation", F.col(f"set_{n}")["v"].alias("v")), F.when(x, _place())).alias(f"_l_{n}") for n, x in sets.items()}
+        found = rows.groupBy("key").agg(*last.values(), lives.alias("_lives"), F.max("incarnation").alias("last_incarnation"), *(x.alias(n) for n, x in more.items())).where("_lives")
+        fields = [F.when(F.col(f"_l_{n}.incarnation") == F.col("last_incarnation"), F.col(f"_l_{n}.v")).alias(n) for n in plan.fields]
+        return found.select("key", *fields, *(["last_incarnation", *more] if more else []))
+    if more:
+        raise ValueError("a map with accumulators has no more aggregates")
     out = []
     for name, (kind, how) in plan.fields.items():
         sets = F.col("effective") & F.col(f"set_{name}").isNotNull()
@@ -184,7 +234,6 @@ def final_rows(plan: ProjectionPlan, flagged: DataFrame) -> DataFrame:
             out.append(F.greatest(last, F.max(counts)).alias(name))
         else:
             raise ValueError(f"no such accumulator: {how}")
-    lives = F.max_by("fixes", F.when(F.col("fixes").isNotNull(), _place()))
     return rows.groupBy("key", "incarnation").agg(*out, lives.alias("_lives")).where("_lives").drop("incarnation", "_lives")
 
 

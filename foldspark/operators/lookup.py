@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from foldspark.sources.tables import BROADCAST_ROWS
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, order: list[str], values: list[str], prefix: str = "", split_every: int | None = None) -> DataFrame:
     """``left`` with ``values`` of the last row of ``right`` of the same key at or before its place.
@@ -32,6 +34,27 @@ def as_of(left: DataFrame, right: DataFrame, key: str, order: list[str], values:
     return found.select("_row.*", *(F.col(f"_found.{v}").alias(prefix + v) for v in values))
 
 
+#: Rows of a key up to which its history is joined as intervals: each row that asks is compared with so many at most.
+INTERVALS = 16
+
+
+def as_of_small(left: DataFrame, right: DataFrame, key: Column, asks: Column, order: list[str], value: str, name: str) -> DataFrame | None:
+    """``left`` with ``name``: ``value`` of the last row of ``right`` (_key, ``order``, rule_seq, ``value``) of ``key`` at or before its place, for the rows that ask.
+
+    ``right`` is broadcast, each row as the interval until its key's next one, so that rows of ``left`` stay where they
+    are, however many ask for one key. None if ``right`` has too many rows for it, over all or of one key.
+    """
+    size = right.groupBy("_key").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    if (size.n or 0) > BROADCAST_ROWS or (size.most or 0) > INTERVALS:
+        return None
+    place = F.struct(*order)
+    until = F.lead(place).over(Window.partitionBy("_key").orderBy(*order, "rule_seq"))
+    intervals = right.select("_key", place.alias("_from"), until.alias("_until"), F.col(value).alias(name))
+    here = F.struct(*(left[c] for c in order))
+    same = asks & key.eqNullSafe(F.col("_key")) & (F.col("_from") <= here) & (F.col("_until").isNull() | (here < F.col("_until")))
+    return left.join(F.broadcast(intervals), same, "left").drop("_key", "_from", "_until")
+
+
 def carried(rows: DataFrame, by: list[str], last: dict[str, Column]) -> DataFrame:
     """``rows`` (with _range) with, for each name in ``last``, the figure of the latest earlier range of the same ``by`` that has one.
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from foldspark.operators import fold
 from foldspark.operators.capture import Risks, risks
-from foldspark.operators.lookup import as_of
+from foldspark.operators.lookup import as_of, as_of_small
 from foldspark.plans.event_map import CONDITION, CUSTOM, DELETE, THROW, ProjectionPlan
 from foldspark.sources.tables import written
 
@@ -100,12 +100,12 @@ class Projector:
         """Children first, each before its parent."""
         return [*(p for c in self.children for p in c._in_order()), self]
 
-    def flagged(self, log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-        """This projection's op rows with what becomes of them (see ``fold.flag``). An error of a rule ends the job that reads them."""
-        runs = self._runs(log, {} if snapshot is None else {self.plan.name: snapshot}, captured=False)
+    def flagged(self, log: DataFrame, snapshot: DataFrame | None = None, **more: Column) -> DataFrame:
+        """This projection's op rows with what becomes of them (see ``fold.flag``), and ``more`` columns of their events. An error of a rule ends the job that reads them."""
+        runs = self._runs(log, {} if snapshot is None else {self.plan.name: snapshot}, captured=False, more=more)
         return runs[self.plan.name].flagged
 
-    def _runs(self, log: DataFrame, snapshots: dict[str, DataFrame], captured: bool = True) -> dict[str, _Run]:
+    def _runs(self, log: DataFrame, snapshots: dict[str, DataFrame], captured: bool = True, more: dict[str, Column] | None = None) -> dict[str, _Run]:
         """By name: each projection's log, with the child rows that its rules read, and its ops."""
         runs: dict[str, _Run] = {}
         for p in self._in_order():
@@ -113,7 +113,7 @@ class Projector:
             found = risks(plan, own) if captured else None
             run = _Run(plan, own, found if found and found.any else None)
             if plan.fields is not None:
-                ops = fold.op_rows(plan, own, run.risks).where(~F.col("op").isin(CUSTOM, fold.FILTER))
+                ops = fold.op_rows(plan, own, run.risks, more if p is self else None).where(~F.col("op").isin(CUSTOM, fold.FILTER))
                 before = snapshots.get(plan.name)
                 if before is not None:
                     ops = ops.unionByName(fold.snapshot_rows(plan, before), allowMissingColumns=True)
@@ -138,15 +138,21 @@ class Projector:
     def _with_children(self, log: DataFrame, runs: dict[str, _Run]) -> DataFrame:
         """``log`` with a column for each child row that rules read: the child's row as of the event, which the child has seen before.
 
-        Only events whose rules read it are looked up; one union with the child's history, one window.
+        Only events whose rules read it are looked up: by a join with the child's history where that is small, else by one
+        union with it and one window.
         """
         for ref in self.plan.children_read:
             child = runs[ref.projection]
             history = fold.history_rows(child.plan, child.flagged)
             fields = ["_exists", *(n for n, (_, how) in child.plan.fields.items() if how is None)]
-            history = history.select(F.col("key").alias("_key"), "checkpoint", "event_seq", F.struct(F.col("exists").alias("_exists"), *fields[1:]).alias("_row"))
-            reads = self.plan.reads_child(ref)
-            found = as_of(log.where(reads).withColumn("_key", ref.key.cast(child.plan.key_type)), history, "_key", ["checkpoint", "event_seq"], ["_row"], split_every=self.split_every)
+            history = history.select(F.col("key").alias("_key"), *fold.ORDER, F.struct(F.col("exists").alias("_exists"), *fields[1:]).alias("_row"))
+            history = written(history, "child-history")
+            reads, key, order = self.plan.reads_child(ref), ref.key.cast(child.plan.key_type), ["checkpoint", "event_seq"]
+            found = as_of_small(log, history, key, reads, order, "_row", ref.column)
+            if found is not None:
+                log = found
+                continue
+            found = as_of(log.where(reads).withColumn("_key", key), history, "_key", order, ["_row"], split_every=self.split_every)
             found = found.withColumnRenamed("_row", ref.column).drop("_key")
             others = log.where(~reads).withColumn(ref.column, F.lit(None).cast(found.schema[ref.column].dataType))
             log = found.unionByName(others)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.fold import ORDER, final_rows, fold_rows
+from foldspark.operators.fold import ORDER, final_rows
 from foldspark.operators.projector import Projector
 from foldspark.plans.event_map import EventMapBuilder, ProjectionPlan
 from foldspark.sources.tables import written
@@ -37,70 +37,85 @@ def documents() -> ProjectionPlan:
     Period events also update their document, so a period of a missing one is a miss.
     """
     m = EventMapBuilder("documents", "string", {"type": "string", "kind": "string", "country": "string", "country_name": "string", "state": "string", "area": "string", "next_review_at": "timestamp_ntz", "lifetime_end": "timestamp_ntz"})
-    number = lambda e, c: e.DocumentNumber
+    # functions that rules share are worked out once for all of them
+    number, own, kind, initial, state = (lambda e, c, n=n: e[n] for n in ("DocumentNumber", "Number", "Kind", "InitialState", "State"))
     of_country = {"country": lambda e, c: e.Country, "country_name": lambda e, c: F.coalesce(c.child("countries", e.Country).name, F.lit(""))}
     for event, name in KINDS.items():
-        m.map(event).as_create_of(lambda e, c: e.Number).using(type=F.lit(name), kind=lambda e, c: e.Kind, state=lambda e, c: e.InitialState, **of_country)
-    m.map("ConstitutionEstablishedEvent").as_update_of(lambda e, c: e.Number).using(type=F.lit("Constitution"), kind=lambda e, c: e.Kind, state=lambda e, c: e.InitialState, **of_country)
+        m.map(event).as_create_of(own).using(type=F.lit(name), kind=kind, state=initial, **of_country)
+    m.map("ConstitutionEstablishedEvent").as_update_of(own).using(type=F.lit("Constitution"), kind=kind, state=initial, **of_country)
     m.map("AreaRestrictedEvent").as_update_of(number).using(area=lambda e, c: e.Area)
     m.map("AreaRestrictionCancelledEvent").as_update_of(number).using(area=F.lit(None))
     m.map("CountryCorrectedEvent").as_update_of(number).using(**of_country)
     m.map("NextReviewScheduledEvent").as_update_of(number).using(next_review_at=lambda e, c: e.NextReviewAt)
     m.map("LifetimeRestrictedEvent").as_update_of(number).using(lifetime_end=lambda e, c: e.PeriodEnd)
     m.map("LifetimeRestrictionRemovedEvent").as_update_of(number).using(lifetime_end=F.lit(None))
-    m.map("StateTransitionedEvent").when(lambda e, c: ~e.State.eqNullSafe(F.lit("Closed"))).as_update_of(number).using(state=lambda e, c: e.State)
-    m.map("StateRevertedEvent").as_update_of(number).using(state=lambda e, c: e.State)
+    m.map("StateTransitionedEvent").when(lambda e, c: ~e.State.eqNullSafe(F.lit("Closed"))).as_update_of(number).using(state=state)
+    m.map("StateRevertedEvent").as_update_of(number).using(state=state)
     m.map("DocumentArchivedEvent").as_delete_of(number)
     for event in PERIODS:
         m.map(event).as_update_of(number).using()
     return m.build()
 
 
-def _touch(row: dict | None, op: dict) -> dict:
-    """A document's periods after one of their events, in order of first touch, and the validity that the last approval gave it."""
-    row = row or {"periods": [], "starts": None, "ends": None}
-    period = next((p for p in row["periods"] if p["sequence"] == op["sequence"]), None)
-    if period is None:
-        period = {"sequence": op["sequence"], "from": None, "to": None, "status": None}
-        row["periods"].append(period)
-    planned, reset, approved, closed, _ = PERIODS
-    kind = op["event_type"]
-    if kind in (planned, reset):
-        period["from"], period["to"] = (op["from"], op["to"]) if kind == planned else (None, None)
-    elif kind == closed:
-        period["to"], period["status"] = op["closed_at"], "Closed"
-    elif kind == approved:
-        period["status"] = "Valid"
-        chain = adjoining(row["periods"])
-        row["starts"], row["ends"] = chain[0]["from"], chain[-1]["to"]
-    else:
-        period["status"] = "Canceled"
-    return row
-
-
-def adjoining(periods: list[dict]) -> list[dict]:
-    """The valid periods that lead up to the last valid one, by sequence: before each the valid one that ends where it starts, two NULLs being equal.
+#: A period as documents hold it.
+PERIOD = "struct<sequence: int, `from`: timestamp_ntz, `to`: timestamp_ntz, status: string>"
+
+
+def _touch() -> dict[str, Column]:
+    """What an event does to a period of its document, as columns of its ops: NULL in ``touch`` if nothing."""
+    planned, reset, approved, closed, canceled = PERIODS
+    kind, b = F.col("event_type"), F.col("body")
+    return {
+        "touch": F.when(kind == planned, "planned").when(kind == reset, "reset").when(kind == approved, "Valid").when(kind == closed, "Closed").when(kind == canceled, "Canceled"),
+        "sequence": b.Sequence, "starts": F.when(kind == planned, b["From"]), "ends": F.when(kind == planned, b["To"]).when(kind == closed, b.ClosedAt),
+    }
+
+
+def _touched(periods: Column, t: Column) -> Column:
+    """``periods`` after the touch ``t``; one that is not there yet comes last."""
+
+    def after(p: Column | None) -> Column:
+        both, status = t["touch"].isin("planned", "reset"), t["touch"]
+        none = lambda kind: F.lit(None).cast(kind)
+        start, end, old = (none("timestamp_ntz"), none("timestamp_ntz"), none("string")) if p is None else (p["from"], p["to"], p["status"])
+        return F.struct(
+            t["sequence"].alias("sequence"), F.when(both, t["starts"]).otherwise(start).alias("from"),
+            F.when(both | (status == "Closed"), t["ends"]).otherwise(end).alias("to"), F.when(both, old).otherwise(status).alias("status"),
+        )
+
+    same = lambda p: p["sequence"].eqNullSafe(t["sequence"])
+    return F.when(F.exists(periods, same), F.transform(periods, lambda p: F.when(same(p), after(p)).otherwise(p))).otherwise(F.concat(periods, F.array(after(None))))
+
+
+def adjoining(valid: Column) -> Column:
+    """Of valid periods those that lead up to the last one, that one first: before each the one that ends where it starts, two NULLs being equal.
 
     Of several such the first touched one counts, and none counts twice.
     """
-    valid = [p for p in periods if p["status"] == "Valid"]
-    chain = valid[-1:]
-    while before := next((p for p in valid if p["to"] == chain[-1]["from"] and not any(p is c for c in chain)), None):
-        chain.append(before)
-    return sorted(chain, key=lambda p: p["sequence"])
+
+    def back(chain: Column, _: Column) -> Column:
+        now = F.get(chain, F.size(chain) - 1)
+        before = F.get(F.filter(valid, lambda p: p["to"].eqNullSafe(now["from"]) & ~F.exists(chain, lambda c: c["sequence"].eqNullSafe(p["sequence"]))), F.lit(0))
+        return F.when(before.isNull(), chain).otherwise(F.concat(chain, F.array(before)))
+
+    return F.aggregate(valid, F.slice(valid, F.greatest(F.size(valid), F.lit(1)), 1), back)
 
 
-def with_periods(flagged: DataFrame) -> DataFrame:
-    """(key, incarnation, periods, starts, ends) of documents from their flagged ops, each incarnation by itself.
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents with periods, in order of first touch, starts and ends in place of ``touches``, what the ops of their incarnations did to periods.
 
-    A handler of an approval reads all periods of its document, so this is the general fold, over one document's rows at a time.
+    The dates are those of the chain that the last approval saw; later events leave them.
     """
-    ops = flagged.where(F.col("effective") & F.col("event_type").isin(PERIODS))
-    b = F.col("body")
-    touched = ops.select(F.struct("key", "incarnation").alias("parent"), *ORDER, "event_type", b.Sequence.alias("sequence"), b["From"].alias("from"), b["To"].alias("to"), b.ClosedAt.alias("closed_at"))
-    period = "struct<sequence: int, `from`: timestamp_ntz, `to`: timestamp_ntz, status: string>"
-    schema = f"parent struct<key: string, incarnation: bigint>, periods array<{period}>, starts timestamp_ntz, ends timestamp_ntz"
-    return fold_rows(touched, _touch, schema, "parent").select("parent.*", "periods", "starts", "ends")
+    docs = docs.withColumn("touches", F.sort_array(F.filter("touches", lambda t: t["incarnation"] == F.col("last_incarnation"))))
+    upto = F.array_max(F.transform("touches", lambda t, n: F.when(t["touch"] == "Valid", n + 1)))  # the last approval's place
+    docs = docs.withColumn("upto", F.coalesce(upto, F.lit(0)))
+    docs = docs.withColumn("seen", F.aggregate(F.slice("touches", 1, F.col("upto")), F.array().cast(f"array<{PERIOD}>"), _touched))
+    docs = docs.withColumn("chain", F.filter("seen", lambda p: p["status"] == "Valid")).withColumn("chain", adjoining(F.col("chain")))
+    # by sequence: the first one's start and the last one's end
+    low = F.array_min(F.transform("chain", lambda p: F.struct(p["sequence"], p["from"].alias("at"))))
+    high = F.array_max(F.transform("chain", lambda p: F.struct(p["sequence"], p["to"].alias("at"))))
+    periods = F.aggregate(F.slice("touches", F.col("upto") + 1, F.size("touches")), F.col("seen"), _touched)
+    return docs.withColumns({"periods": periods, "starts": low["at"], "ends": high["at"]}).drop("touches", "upto", "seen", "chain", "last_incarnation")
 
 
 def realtime_state(state: Column, next_review_at: Column, expiration: Column, start: Column, end: Column, now: Column | datetime) -> Column:
@@ -141,15 +156,12 @@ def counts_per_state(docs: DataFrame, lookup: DataFrame, kind: str | None = None
 def register(log: DataFrame, now: datetime | None = None) -> DataFrame:
     """Documents at the end of ``log`` with their periods and validity; with ``now`` their state is the one that holds then.
 
-    Ops are flagged once and written; rows and periods are worked out from the table.
+    One shuffle and one sort by document serve the flags of its ops, its fields and its periods.
     """
     plan = documents()
-    flagged = written(Projector(plan, [Projector(countries())]).flagged(log), "register-ops")
-    # only period events have more to say than their op
-    periods = with_periods(flagged)
-    latest = flagged.groupBy("key").agg(F.max("incarnation").alias("incarnation"))
-    parts = latest.join(periods, ["key", "incarnation"]).drop("incarnation")
-    docs = final_rows(plan, flagged).join(parts, "key", "left").withColumn("periods", F.coalesce("periods", F.array().cast(parts.schema["periods"].dataType)))
+    flagged = Projector(plan, [Projector(countries())]).flagged(log, **_touch())
+    touches = F.collect_list(F.when(F.col("effective") & F.col("touch").isNotNull(), F.struct(*ORDER, "incarnation", "touch", "sequence", "starts", "ends")))
+    docs = with_periods(final_rows(plan, flagged, touches=touches))
     if now is None:
         return docs
     return docs.withColumn("state", realtime_state(F.col("state"), F.col("next_review_at"), F.col("lifetime_end"), F.col("starts"), F.col("ends"), F.lit(now).cast("timestamp_ntz")))

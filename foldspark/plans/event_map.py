@@ -300,7 +300,7 @@ class ProjectionPlan:
         return self.accepted() & (F.coalesce(F.col("event_type").isin(types), F.lit(False)) | catch_all)
 
     def matches(self, n: int) -> list[tuple[int, Column]]:
-        """(order, condition) of rule ``n``: as the handler of an event's base type, then as that of its own type."""
+        """(order, condition) of rule ``n``: as the handler of an event's base type, then as that of its own type. ``matched`` has their types."""
         rule = self.rules[n]
         holds = F.lit(True)
         for p in rule.predicates:
@@ -315,6 +315,13 @@ class ProjectionPlan:
             out.append((n, kind.isin(below) & holds))
         return [*out, (len(self.rules) + n, (kind == rule.event_type) & holds)]
 
+    def matched(self, n: int) -> list[frozenset[str] | None]:
+        """The types of events that may meet each of ``matches``; None: any."""
+        rule = self.rules[n]
+        below = self._reach(rule.event_type)
+        base = [None] if rule.event_type == self.registry.root else [frozenset(below)] if below else []
+        return [*base, frozenset([rule.event_type])]
+
 
 class EventMapBuilder:
     """``fields``: name to a type, or to (type, "sum" | "count" | "min" | "max") for accumulators; leave out for custom actions only."""
@@ -325,10 +332,11 @@ class EventMapBuilder:
         self._filters: list[Column] = []
         self._rules: list[tuple[Rule, Action]] = []
         self._children: dict[tuple[str, str], tuple[Column, set | None]] = {}
+        self._columns: dict[Callable, Column] = {}
         self._built = False
 
     def _resolve(self, x: Expr, event_type: str | None) -> Column:
-        """The column of ``x``; the child rows that it reads are noted."""
+        """The column of ``x``, one for all rules that share a function; the child rows that it reads are noted."""
         if isinstance(x, Column):
             return x
 
@@ -337,7 +345,8 @@ class EventMapBuilder:
             types.add(event_type)
             return Child(f"_child_{list(self._children).index((projection, str(key)))}")
 
-        return x(Event(), Context(child=child))
+        found = x(Event(), Context(child=child))
+        return self._columns.setdefault(x, found)
 
     def _check_open(self) -> None:
         if self._built:
