@@ -6,7 +6,7 @@ import uuid
 from datetime import datetime
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -914,45 +914,66 @@ def _register_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foldspark.plans.documents import BODY, KINDS, PERIODS
 
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).distinct().join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey")
+    # dealt out by order, which serves both the distinct lines and the join
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n")).repartition("o_orderkey").distinct()
+    lines = lines.join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey")
     k, cust, day, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate"), F.col("n")
     names = StructType.fromDDL(BODY)
 
-    def event(rows: DataFrame, step, kind, **body) -> DataFrame:
-        fields = [body.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in names.fields]
-        return rows.select((k * 100 + step).cast("long").alias("checkpoint"), (kind if not isinstance(kind, str) else F.lit(kind)).alias("event_type"), F.struct(*fields).alias("body"))
+    def events(rows: DataFrame, *kinds: tuple) -> DataFrame:
+        """The events of ``rows`` from (condition, step, type, body) of each kind, in one pass over them."""
+        each, number = rows.withColumn("_e", F.explode(F.array(*(F.lit(i) for i in range(len(kinds)))))), F.col("_e")
 
-    number, later = k.cast("string"), lambda d: day + F.make_dt_interval(F.lit(d) if isinstance(d, int) else d.cast("int"))
+        def of(values: list) -> Column:
+            """The value of the kind; what all kinds have ends in an ELSE, so that a filter on types that no kind gives leaves nothing to read."""
+            *most, (last, otherwise) = values if len(values) == len(kinds) else [*values, (None, None)]
+            out = None
+            for i, x in most:
+                out = F.when(number == i, x) if out is None else out.when(number == i, x)
+            return F.lit(otherwise) if out is None else out if last is None else out.otherwise(otherwise)
+
+        each = each.where(of([(i, x) for i, (x, *_) in enumerate(kinds)]))
+        fields = [of([(i, body[f.name]) for i, (*_, body) in enumerate(kinds) if f.name in body]).cast(f.dataType).alias(f.name) for f in names.fields]
+        step, kind = of([(i, F.lit(x) if isinstance(x, int) else x) for i, (_, x, _, _) in enumerate(kinds)]), of([(i, F.lit(x) if isinstance(x, str) else x) for i, (_, _, x, _) in enumerate(kinds)])
+        return each.select((k * 100 + step).cast("long").alias("checkpoint"), kind.alias("event_type"), F.struct(*fields).alias("body"))
+
+    always, number, later = F.lit(True), k.cast("string"), lambda d: day + F.make_dt_interval(F.lit(d) if isinstance(d, int) else d.cast("int"))
     country = lambda plus: ((cust + plus) % 25).cast("string")
-    creators = F.element_at(F.array(*(F.lit(x) for x in KINDS)), (k % 5 + 1).cast("int"))
+    first, *others = KINDS
+    creators = F.lit(first)
+    for i, x in enumerate(others, 1):
+        creators = F.when(k % 5 == i, x).otherwise(creators)
     opened = F.when(F.col("o_orderstatus") == "O", "Active").otherwise(F.col("o_orderstatus"))
     doc = {"DocumentNumber": number}
     period = doc | {"Sequence": n}
-    parts = [
-        event(orders, 0, creators, Number=number, Kind=F.col("o_orderpriority"), Country=country(0), InitialState=opened),
-        event(orders.where(k % 11 == 0), 1, "ConstitutionEstablishedEvent", Number=number, Kind=F.col("o_orderpriority"), Country=country(1), InitialState=F.lit("P")),
-        event(orders.where(cust % 3 >= 1), 2, "AreaRestrictedEvent", **doc, Area=F.concat(F.lit("A"), (cust % 4).cast("string"))),
-        event(orders.where(cust % 3 == 2), 3, "AreaRestrictionCancelledEvent", **doc),
-        event(orders.where(k % 13 == 0), 4, "CountryCorrectedEvent", **doc, Country=country(7)),
-        event(orders.where(k % 4 == 0), 5, "NextReviewScheduledEvent", **doc, NextReviewAt=later(900)),
-        event(orders.where(k % 6 < 2), 6, "LifetimeRestrictedEvent", **doc, PeriodEnd=later(700)),
-        event(orders.where(k % 6 == 1), 7, "LifetimeRestrictionRemovedEvent", **doc),
-        event(orders.where((k % 10).isin(1, 2)), 8, "StateTransitionedEvent", **doc, State=F.when(k % 10 == 1, "Closed").otherwise("Moved")),
-        event(orders.where(k % 20 == 2), 9, "StateRevertedEvent", **doc, State=F.lit("Back")),
-        event(lines, 20 + n, PERIODS[0], **period, From=later(10 * n), To=later(10 * n + 10 + F.when(n == 4, 1).otherwise(0))),
-        event(lines.where(n != 3), 40 + n, PERIODS[2], **period),
-        event(lines.where(n == 6), 60 + n, PERIODS[1], **period),
-        event(lines.where(n == 2), 60 + n, PERIODS[3], **period, ClosedAt=later(10 * n + 5)),
-        event(lines.where(n == 5), 60 + n, PERIODS[4], **period),
-        event(lines.where((n == 1) & (k % 3 == 0)), 80, PERIODS[2], **period),
-        event(orders.where(k % 17 == 0), 90, "DocumentArchivedEvent", **doc),
-        event(orders.where(k % 34 == 0), 91, "LicenseGrantedEvent", Number=number, Kind=F.lit("anew"), Country=country(2), InitialState=F.lit("New")),
-    ]
+    made = lambda kind, plus, state: {"Number": number, "Kind": kind, "Country": country(plus), "InitialState": state}
+    of_orders = events(
+        orders,
+        (always, 0, creators, made(F.col("o_orderpriority"), 0, opened)),
+        (k % 11 == 0, 1, "ConstitutionEstablishedEvent", made(F.col("o_orderpriority"), 1, F.lit("P"))),
+        (cust % 3 >= 1, 2, "AreaRestrictedEvent", doc | {"Area": F.concat(F.lit("A"), (cust % 4).cast("string"))}),
+        (cust % 3 == 2, 3, "AreaRestrictionCancelledEvent", doc),
+        (k % 13 == 0, 4, "CountryCorrectedEvent", doc | {"Country": country(7)}),
+        (k % 4 == 0, 5, "NextReviewScheduledEvent", doc | {"NextReviewAt": later(900)}),
+        (k % 6 < 2, 6, "LifetimeRestrictedEvent", doc | {"PeriodEnd": later(700)}),
+        (k % 6 == 1, 7, "LifetimeRestrictionRemovedEvent", doc),
+        ((k % 10).isin(1, 2), 8, "StateTransitionedEvent", doc | {"State": F.when(k % 10 == 1, "Closed").otherwise("Moved")}),
+        (k % 20 == 2, 9, "StateRevertedEvent", doc | {"State": F.lit("Back")}),
+        (k % 17 == 0, 90, "DocumentArchivedEvent", doc),
+        (k % 34 == 0, 91, "LicenseGrantedEvent", made(F.lit("anew"), 2, F.lit("New"))),
+    )
+    of_lines = events(
+        lines,
+        (always, 20 + n, PERIODS[0], period | {"From": later(10 * n), "To": later(10 * n + 10 + F.when(n == 4, 1).otherwise(0))}),
+        (n != 3, 40 + n, PERIODS[2], period),
+        (n == 6, 60 + n, PERIODS[1], period),
+        (n == 2, 60 + n, PERIODS[3], period | {"ClosedAt": later(10 * n + 5)}),
+        (n == 5, 60 + n, PERIODS[4], period),
+        ((n == 1) & (k % 3 == 0), 80, PERIODS[2], period),
+    )
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") * 500).alias("o_orderkey"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
-    parts.append(event(nations, 50, "CountryRegisteredEvent", Code=F.col("code"), Name=F.col("name")))
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+    registered = events(nations, (always, 50, "CountryRegisteredEvent", {"Code": F.col("code"), "Name": F.col("name")}))
+    rows = of_orders.unionByName(of_lines).unionByName(registered)
     return logs.make_log(rows, checkpoint=F.col("checkpoint"), event_type=F.col("event_type"), body=F.col("body"))
 
 

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from foldspark import queries
 from foldspark.operators import lookup
 from foldspark.operators.fold import op_rows
 from foldspark.operators.projector import Projector
@@ -23,6 +24,18 @@ def register_log(spark, events):
     return logs.make_log(df, checkpoint=F.col("n"), event_type=F.col("t"), body=F.col("b"))
 
 
+def test_the_register_reads_each_table_once_without_python(spark):
+    plan = queries.document_register(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("l_linenumber" in line and "Relation" in line for line in plan.splitlines()) == 1
+    assert "MapInArrow" not in plan and "register-ops" not in plan
+
+
+def test_countries_read_no_orders_and_lines(spark):
+    log = queries._register_log(spark, "/root/testdata/sf0.001")
+    plan = log.where("event_type = 'CountryRegisteredEvent'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_nationkey" in plan and "l_orderkey" not in plan and "o_custkey" not in plan
+
+
 def fold(events):
     """(periods, starts, ends) by document, event by event."""
     docs = {}
